@@ -1,4 +1,4 @@
-"""The corpus queries: one for each operator, over its whole table, and the pipeline."""
+"""The corpus queries: one for each operator, over its whole table."""
 
 from __future__ import annotations
 
@@ -6,14 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import decontaminate, packing, sharding, simhash
+from fathom.llm import decontaminate, html_text, merkle, packing, pii, quality, secret_scan, sharding, simhash, url_filter
 from fathom.llm.common import ready, table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.query(table(ready(spark), sf_dir, "pages"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(table(ready(spark), sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.query(table(ready(spark), sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.query(table(ready(spark), sf_dir, "documents"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.query(table(ready(spark), sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(table(ready(spark), sf_dir, "documents"))
 
@@ -26,7 +42,27 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(ready(spark), sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.query(table(ready(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op6_packing, op7_decontamination, op8_simhash)
+    f.__name__: f
+    for f in (
+        op1_html_extraction,
+        op2_sharding,
+        op3_fingerprints,
+        op4_pii,
+        op5_url_filters,
+        op6_packing,
+        op7_decontamination,
+        op8_simhash,
+        op9_quality,
+        op10_secrets,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_url_filters": url_filter.ORACLE}
