@@ -100,7 +100,8 @@ def gps_to_utc_text(gps_seconds: Column) -> Column:
 def ground_range(r: Column, height: Column, draft: Column, toe: Column, waterline: Column) -> Column:
     """Slant to ground range over a flat bed and, beyond the toe, a straight bank up to the waterline.
 
-    A null toe means open water. Points above the bed, or beyond what the section holds, are null.
+    A null toe means open water, whose reach then stands in for the waterline. Points above the bed,
+    or beyond what the section holds, are null.
     """
     depth = height + draft
     flat = F.when(r >= height, F.sqrt(r * r - height * height))
@@ -112,7 +113,7 @@ def ground_range(r: Column, height: Column, draft: Column, toe: Column, waterlin
     c = k * k - r * r
     disc = b * b - 4 * a * c
     bank = F.when(disc >= 0, (-b + F.sqrt(disc)) / (2 * a))
-    return F.when(toe.isNull(), flat).when(flat <= toe, flat).when((bank >= toe) & (bank <= waterline), bank)
+    return F.when(toe.isNull(), F.when(flat <= waterline, flat)).when(flat <= toe, flat).when((bank >= toe) & (bank <= waterline), bank)
 
 
 def shadow_height(height: Column, far: Column, shadow_end: Column, rounds: int = 4) -> tuple[Column, Column]:

@@ -118,8 +118,8 @@ def score_offsets(samples: DataFrame, track: DataFrame, keys: list[str], offsets
     )
     n = F.count("*").over(Window.partitionBy(*keys)).alias("samples")
     probes = (
-        samples.select(*keys, F.col("t").alias("st"), F.col("lon").alias("slon"), F.col("lat").alias("slat"), "lat0", n)
-        .withColumn("offset", F.explode(offsets)).withColumn("at", F.col("st") + F.col("offset")).withColumn("second", F.floor("at"))
+        samples.select(*keys, F.col("t").alias("st"), F.col("lon").alias("slon"), F.col("lat").alias("slat"), "lat0", n, offsets.alias("_offsets"))
+        .withColumn("offset", F.explode("_offsets")).withColumn("at", F.col("st") + F.col("offset")).withColumn("second", F.floor("at"))
     )
     w = (F.col("at") - F.col("t_0")) / (F.col("t") - F.col("t_0"))
     lon, lat = F.col("lon_0") + (F.col("lon") - F.col("lon_0")) * w, F.col("lat_0") + (F.col("lat") - F.col("lat_0")) * w

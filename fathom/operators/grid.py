@@ -39,22 +39,23 @@ def around(cells: DataFrame, reach: int, keep: list[str]) -> DataFrame:
     return cells.withColumn("_o", F.explode(offsets(reach))).select((F.col("i") - F.col("_o.di")).alias("i"), (F.col("j") - F.col("_o.dj")).alias("j"), F.col("_o.di").alias("di"), F.col("_o.dj").alias("dj"), *keep)
 
 
-def idw_fill(cells: DataFrame, size: float, radius: float, value: str = "value") -> DataFrame:
-    """(i, j, value, n): cells without a value, from at least three measured ones within radius.
+def idw_fill(cells: DataFrame, size: float, radius: float, value: str = "value", keys: list[str] | None = None) -> DataFrame:
+    """(keys, i, j, value, n): cells without a value, from at least three measured ones within radius.
 
     The weight is 1/d^2. A cell whose neighbours leave an angle of pi-0.01 or more open lies outside
     the measured area and stays empty.
     """
+    at = [*(keys or []), "i", "j"]
     reach = int(radius // size)
     d = size * F.sqrt(F.col("di") * F.col("di") + F.col("dj") * F.col("dj"))
-    near = around(cells, reach, [value]).withColumn("d", d).where(F.col("d") <= radius).withColumn("angle", F.atan2(F.col("dj").cast("double"), F.col("di").cast("double")))
-    empty = near.join(cells.select("i", "j"), ["i", "j"], "left_anti")
-    w = Window.partitionBy("i", "j")
+    near = around(cells, reach, [*(keys or []), value]).withColumn("d", d).where(F.col("d") <= radius).withColumn("angle", F.atan2(F.col("dj").cast("double"), F.col("di").cast("double")))
+    empty = near.join(cells.select(*at), at, "left_anti")
+    w = Window.partitionBy(*at)
     turn = F.lead("angle").over(w.orderBy("angle", "d"))
     gaps = empty.withColumn("gap", F.coalesce(turn, F.min("angle").over(w) + 2 * F.pi()) - F.col("angle"))
     weight = 1 / (F.col("d") * F.col("d"))
-    filled = gaps.groupBy("i", "j").agg(F.count("*").alias("n"), F.max("gap").alias("gap"), (F.sum(F.col(value) * weight) / F.sum(weight)).alias("value"))
-    return filled.where((F.col("n") >= 3) & (F.col("gap") < F.pi() - 0.01)).select("i", "j", "value", "n")
+    filled = gaps.groupBy(*at).agg(F.count("*").alias("n"), F.max("gap").alias("gap"), (F.sum(F.col(value) * weight) / F.sum(weight)).alias("value"))
+    return filled.where((F.col("n") >= 3) & (F.col("gap") < F.pi() - 0.01)).select(*at, F.col("value").alias(value), "n")
 
 
 def bilinear(probes: DataFrame, cells: DataFrame, x: str, y: str, size: float, value: str = "value", name: str = "sampled") -> DataFrame:
