@@ -64,6 +64,8 @@ _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 _TITLE = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ \xa0]")
 _NAME_WORD = re.compile(r"([^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*)[ \xa0]?")
 _NAME_WORDS = 3
+#: Groups between spaces that a number may have.
+MOST_PARTS = 7
 
 Entity = tuple[int, int, str, str]  # start, end, kind, normal form
 
@@ -86,17 +88,20 @@ def number_kind(s: str) -> str | None:
 
 
 def numbers(text: str, at: int, run: str) -> list[Entity]:
-    """The entities in a run of digits and marks: the whole, or else its parts between spaces."""
-    for parts in ([(0, run)], [(m.start(), m[0]) for m in re.finditer(r"(?:\S|(?<=\)) )+", run)], [(m.start(), m[0]) for m in re.finditer(r"\S+", run)]):
-        found = []
-        for start, part in parts:
-            a, b = at + start, at + start + len(part)
+    """The entities in a run of digits and marks: at each place the longest sequence of parts that is one."""
+    parts = [(at + m.start(), at + m.end()) for m in re.finditer(r"[^ ]+", run)]
+    found, i = [], 0
+    while i < len(parts):
+        for j in range(min(len(parts), i + MOST_PARTS), i, -1):
+            a, b = parts[i][0], parts[j - 1][1]
             alone = not (a and (text[a - 1].isalnum() or text[a - 1] in "._")) and not (b < len(text) and (text[b].isalnum() or text[b] == "_"))
-            if alone and (kind := number_kind(part)):
-                found.append((a, b, kind, part if kind == "ip" else re.sub(r"\D", "", part)))
-        if found:
-            return found
-    return []
+            whole = text[a:b]
+            if alone and (kind := number_kind(whole)):
+                found.append((a, b, kind, whole if kind == "ip" else re.sub(r"\D", "", whole)))
+                i = j - 1
+                break
+        i += 1
+    return found
 
 
 def names(text: str, at: int, gender: str) -> list[Entity]:
