@@ -78,16 +78,17 @@ def nearest_cell(probes: DataFrame, cells: DataFrame, x: str, y: str, size: floa
     return keyed.join(cells.select("i", "j", F.col(value).alias(name)), ["i", "j"], "left").drop("i", "j")
 
 
-def fill_pass(cells: DataFrame, reach4: bool = True, least: int = 2, value: str = "value", inside: tuple[int, int, int, int] | None = None) -> DataFrame:
+def fill_pass(cells: DataFrame, reach4: bool = True, least: int = 2, value: str = "value", inside: tuple[int, int, int, int] | None = None, keys: list[str] | None = None) -> DataFrame:
     """cells with the empty ones that have at least `least` filled neighbours (of 4, or of 8), as their mean."""
-    near = around(cells, 1, [value])
+    at = [*(keys or []), "i", "j"]
+    near = around(cells, 1, [*(keys or []), value])
     if reach4:
         near = near.where(F.abs("di") + F.abs("dj") == 1)
-    new = near.join(cells.select("i", "j"), ["i", "j"], "left_anti").groupBy("i", "j").agg(F.count("*").alias("_n"), F.avg(value).alias(value)).where(F.col("_n") >= least)
+    new = near.join(cells.select(*at), at, "left_anti").groupBy(*at).agg(F.count("*").alias("_n"), F.avg(value).alias(value)).where(F.col("_n") >= least)
     if inside:
         low_i, high_i, low_j, high_j = inside
         new = new.where(F.col("i").between(low_i, high_i) & F.col("j").between(low_j, high_j))
-    return cells.select("i", "j", value).unionByName(new.select("i", "j", value))
+    return cells.select(*at, value).unionByName(new.select(*at, value))
 
 
 def fill_holes(cells: DataFrame, passes: int, **how) -> DataFrame:
@@ -109,7 +110,7 @@ def best_axis(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return boxes.groupBy(*keys).agg(F.min_by(F.struct("angle", "area"), F.struct(F.round("area", 9), "angle")).alias("b")).select(*keys, "b.angle", "b.area")
 
 
-def stamp(objects: DataFrame, size: float) -> DataFrame:
+def stamp(objects: DataFrame, size: float, keys: list[str] | None = None) -> DataFrame:
     """(i, j, raised, id): heights of elliptical, flat-topped objects (x, y, half_length, half_width, heading, height, id).
 
     The outer fifth of an ellipse tapers to nothing; heights add up, and the highest id names the cell.
@@ -122,7 +123,7 @@ def stamp(objects: DataFrame, size: float) -> DataFrame:
     v = (dy * F.cos("heading") - dx * F.sin("heading")) / F.col("half_width")
     r = F.sqrt(u * u + v * v)
     part = F.when(r <= 0.8, 1.0).when(r <= 1.0, (1.0 - r) / 0.2)
-    return spread.withColumn("_h", F.col("height") * part).where("_h > 0").groupBy("i", "j").agg(F.sum("_h").alias("raised"), F.max("id").alias("id"))
+    return spread.withColumn("_h", F.col("height") * part).where("_h > 0").groupBy(*(keys or []), "i", "j").agg(F.sum("_h").alias("raised"), F.max("id").alias("id"))
 
 
 def corners(cells: DataFrame, value: str = "value") -> DataFrame:
