@@ -1,5 +1,9 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
+A text is read as its distinct chunks between white space; a chunk gives its word, the word's
+beginnings and its marks as features, so a chunk's weight is remembered, and a feature counts the
+distinct chunks that have it. Coarse shares of shapes and of repetition come on top.
+
 Grades: 0 poor, 1 well-formed but toxic, 2 good; the lowest of a document's labels counts, and
 labels with a null id or no quality are left out (a null toxic counts as 0). One score, the sum of
 shared weights over the hashed features of a text, meets ordered thresholds:
@@ -17,8 +21,8 @@ columns that bear an output's name are replaced.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,58 +37,94 @@ from fathom.llm.common import ready
 
 FIT_ROWS = 8000
 DIMENSIONS = 1 << 18
-#: Features seen in fewer fitted documents carry no weight, nor do those whose mean grade is within
-#: so many standard errors of the overall mean: 0.42 log2(documents), and this at most.
+#: Features seen in fewer fitted documents carry no weight, nor do those whose share above each
+#: threshold is within so many standard errors of the overall one: 0.42 log2(documents), and this at most.
 LEAST_SEEN, MOST_TELLING = 5, 5.5
 GRADES = 3
-KEEP = 0.5
+KEEP = 0.6
 STEPS, RATE, DECAY = 600, 0.05, 1e-5
-#: Features whose numbers a worker remembers.
-REMEMBERED = 200_000
-
+#: Chunks whose features a worker remembers; it starts anew beyond that.
+REMEMBERED = 300_000
 #: Lengths of word beginnings that are features too: inflected words share them.
 STEMS = (4, 5, 6)
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_LEVELS = (0.02, 0.1, 0.25, 0.5, 0.8)
-
-
-def features(text: str | None) -> set[str]:
-    """Distinct words, word beginnings and marks, and the coarse shares of token shapes and of repetition."""
-    tokens = _TOKEN.findall(text) if text else []
-    n = len(tokens)
-    if not n:
-        return set()
-    counts = Counter(tokens)
-    upper = title = marks = digits = 0
-    out = set()
-    for t, c in counts.items():
-        if t.isalpha():
-            if t.isupper() and len(t) > 1:
-                upper += c
-            elif t[0].isupper():
-                title += c
-            t = t.lower()
-            out.add(t)
-            for k in STEMS:
-                if len(t) > k:
-                    out.add(f"{t[:k]}-")
-        else:
-            out.add(t[:8])
-            if t[0].isdigit():
-                digits += c
-            else:
-                marks += c
-    for name, k in (("upper", upper), ("title", title), ("marks", marks), ("digits", digits), ("repeats", n - len(counts)), ("top", max(counts.values()))):
-        out.add(f"\x00{name}{sum(k / n >= x for x in _LEVELS)}")
-    out.add(f"\x00length{n.bit_length()}")
-    return out
+# What is stripped from a chunk's ends to find its word.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…–—¡¿"
+_SHARES = (0.02, 0.1, 0.25, 0.5, 0.8)
+_SHAPES = ("upper", "title", "marks", "digits", "plain")
 
 
 def slot(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % DIMENSIONS
 
 
+def chunk_features(chunk: str) -> tuple[list[str], int]:
+    """The features of a run without white space, and the number of its shape."""
+    word = chunk.strip(MARKS)
+    out = []
+    if len(word) < len(chunk):
+        out.append((chunk[len(word) :] if chunk.startswith(word) else chunk.replace(word, " ", 1))[:8] if word else chunk[:8])
+    if not word:
+        return out, 2
+    low = word.lower()
+    out.append(f"{low}-")
+    out += [low[:k] for k in STEMS if len(low) > k]
+    doubled = len(chunk) - len(word) > 1
+    return out, 3 if word[0].isdigit() else 0 if len(word) > 1 and word.isupper() else 2 if doubled else 1 if word[0].isupper() else 4
+
+
+def text_features(shapes: np.ndarray, n: int, distinct: int, top: int) -> list[str]:
+    """Coarse features of a whole text: the shares of chunk shapes, repetition, and length."""
+    shares = [*(shapes / n).tolist(), 1 - distinct / n, top / n]
+    return [*(f"\x00{i}:{sum(s >= x for x in _SHARES)}" for i, s in enumerate(shares)), f"\x00n{n.bit_length()}"]
+
+
+class Reader:
+    """Turns texts into slots with counts, or into scores; remembers what it knows of chunks."""
+
+    def __init__(self, weights: np.ndarray | None = None):
+        self.weights = weights
+        self.known: dict[str, int] = {}
+        self.slots: list[list[int]] = []
+        self.values = array("d")
+        self.shapes = array("b")
+
+    def _learn(self, chunk: str) -> None:
+        found, shape = chunk_features(chunk)
+        slots = [slot(f) for f in found]
+        self.known[chunk] = len(self.shapes)
+        self.shapes.append(shape)
+        if self.weights is None:
+            self.slots.append(slots)
+        else:
+            self.values.append(float(sum(self.weights[i] for i in slots)))
+
+    def _chunks(self, text: str) -> tuple[np.ndarray, list[int]]:
+        """The numbers of the distinct chunks, and the slots of the whole text's features."""
+        if len(self.known) > REMEMBERED:
+            self.__init__(self.weights)
+        counts = Counter(text.split())
+        if not counts:
+            return np.zeros(0, dtype=np.int64), []
+        for c in [c for c in counts if c not in self.known]:
+            self._learn(c)
+        at = np.fromiter(map(self.known.__getitem__, counts), dtype=np.int64, count=len(counts))
+        times = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+        n = int(times.sum())
+        shapes = np.bincount(np.frombuffer(self.shapes, dtype=np.int8)[at], weights=times, minlength=len(_SHAPES))
+        return at, [slot(f) for f in text_features(shapes, n, len(counts), int(times.max()))]
+
+    def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(slots, counts): in how many distinct chunks of the text each feature occurs."""
+        at, whole = self._chunks(text or "")
+        return np.unique(np.array([*(i for c in at.tolist() for i in self.slots[c]), *whole], dtype=np.int32), return_counts=True)
+
+    def score(self, text: str | None) -> float:
+        at, whole = self._chunks(text or "")
+        # Sorted, so that a text's score doesn't depend on what was read before.
+        return float(np.sort(np.frombuffer(self.values, dtype=np.float64)[at]).sum() + sum(self.weights[i] for i in whole)) if len(at) else 0.0
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -95,20 +135,25 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -40, 40)))
 
 
-def fit(rows: list[tuple[np.ndarray, int]]) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     """Full-batch Adam on the log-likelihood of the cumulative logits; thresholds stay ordered."""
     weights, cuts = np.zeros(DIMENSIONS), np.array([-1.0, 0.0])
     if not rows:
         return Model(weights.astype(np.float32), np.array([-10.0, -10.0]))
-    sizes = np.array([len(f) for f, _ in rows])
-    at = np.concatenate([np.asarray(f, dtype=np.int64) for f, _ in rows])
+    sizes = np.array([len(f) for f, _, _ in rows])
+    at = np.concatenate([np.asarray(f, dtype=np.int64) for f, _, _ in rows])
+    times = np.concatenate([np.asarray(n, dtype=np.float64) for _, n, _ in rows])
     row = np.repeat(np.arange(len(rows)), sizes)
-    y = np.array([g for _, g in rows])
+    y = np.array([g for _, _, g in rows])
     seen = np.bincount(at, minlength=DIMENSIONS)
-    told = np.bincount(at, weights=(y - y.mean())[row], minlength=DIMENSIONS) / np.sqrt(np.maximum(seen, 1)) / max(y.std(), 1e-9)
+    told = np.zeros(DIMENSIONS)
+    for j in range(1, GRADES):
+        high = (y >= j).astype(float)
+        z = np.bincount(at, weights=(high - high.mean())[row], minlength=DIMENSIONS) / np.sqrt(np.maximum(seen, 1)) / max(high.std(), 1e-9)
+        told = np.maximum(told, np.abs(z))
     limit = min(MOST_TELLING, 0.42 * np.log2(len(rows) + 1))
-    used = ((seen >= LEAST_SEEN) & (np.abs(told) >= limit))[at]
-    at, row = at[used], row[used]
+    used = ((seen >= LEAST_SEEN) & (told >= limit))[at]
+    at, row, times = at[used], row[used], times[used]
     kept, at = np.unique(at, return_inverse=True)
     w = np.zeros(len(kept))
     cuts = np.array([-1.0, 0.0])  # the first threshold, and the log of the step to the second
@@ -118,14 +163,14 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Model:
         return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
     for t in range(1, STEPS + 1):
-        s = np.bincount(row, weights=w[at], minlength=len(rows))
+        s = np.bincount(row, weights=w[at] * times, minlength=len(rows))
         low, gap = cuts[0], np.exp(cuts[1])
         a, b = sigmoid(low - s), sigmoid(low + gap - s)
         p = np.select([y == 0, y == 1], [a, b - a], 1 - b) + 1e-9
         da = np.select([y == 0, y == 1], [a * (1 - a), -a * (1 - a)], 0.0) / p
         db = np.select([y == 1, y == 2], [b * (1 - b), -b * (1 - b)], 0.0) / p
         ds = (da + db) / len(rows)  # of the loss by the score
-        g = np.concatenate([np.bincount(at, weights=ds[row], minlength=len(w)) + DECAY * w, [-(da + db).sum() / len(rows), -(db * gap).sum() / len(rows)]])
+        g = np.concatenate([np.bincount(at, weights=ds[row] * times, minlength=len(w)) + DECAY * w, [-(da + db).sum() / len(rows), -(db * gap).sum() / len(rows)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w -= step[:-2]
@@ -143,15 +188,17 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
         for b in batches:
-            found = [np.array(sorted({slot(f) for f in features(t)}), dtype="<i4").tobytes() for t in b.column(1).to_pylist()]
+            found = [b"".join(x.astype("<i4").tobytes() for x in reader.features(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, type=pa.binary()), b.column(2)], names=["doc_id", "slots", "grade"])
 
     # At most `most` ids, so this side is small whatever the tables' sizes.
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, slots binary, grade int")
     once = rows.groupBy("doc_id").agg(F.max("slots").alias("slots"), F.first("grade").alias("grade"))
-    return fit([(np.frombuffer(r["slots"], dtype="<i4"), r["grade"]) for r in sorted(once.collect(), key=lambda r: r["doc_id"])])
+    held = [(*np.frombuffer(r["slots"], dtype="<i4").reshape(2, -1), r["grade"]) for r in sorted(once.collect(), key=lambda r: r["doc_id"])]
+    return fit(held)
 
 
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("keep", T.BooleanType())])
@@ -164,18 +211,9 @@ def rate(docs: DataFrame, model: Model, keep: float = KEEP, text_col: str = "tex
     docs = docs.drop(*OUT.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
-        weights = shared.value.weights
+        reader = Reader(shared.value.weights)
         for b in batches:
-            scores = np.zeros(b.num_rows)
-            for i, t in enumerate(b.column(text_col).to_pylist()):
-                found = features(t)
-                for f in found - known.keys():
-                    known[f] = float(weights[slot(f)])
-                # Sorted, so that a text's score doesn't depend on the order of a set.
-                scores[i] = sum(sorted(map(known.__getitem__, found)))
-                if len(known) > REMEMBERED:
-                    known.clear()
+            scores = np.array([reader.score(t) for t in b.column(text_col).to_pylist()], dtype=np.float64)
             tails = shared.value.tails(scores)
             made = [scores, tails.sum(axis=1), tails[:, -1], tails[:, -1] >= keep]
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, made)], names=[*b.schema.names, *OUT.names])
