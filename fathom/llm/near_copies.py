@@ -6,10 +6,13 @@ a radius at which a vantage-point tree cannot prune. So this stage joins to the
 pairs that agree in one of BANDS bands of ROWS minhashes and whose similarity reaches `similarity`:
 the SKETCH lowest shingle hashes decide where they are clear, and whole texts where they aren't.
 
-Equal word sequences meet in one row first. Each band bucket gives every member at most two
-partners, the member with the lowest id and one drawn by a hash, so that a bucket with a third of
-all rows makes rows in proportion; hot keys are broadcast, others shuffled. Links are contracted
-over the SimHash components, not over documents.
+Equal word sequences meet in one row first. In a first round each member of a band bucket meets
+the member with the lowest id and one drawn by a hash, so that a bucket with a third of all rows
+makes rows in proportion; hot keys are broadcast, others shuffled. Links are contracted over the
+SimHash components, not over documents. Then every other pair of a bucket whose members are still
+in different groups is compared, unless their sizes or the values common to their sketches rule
+the similarity out; large buckets are compared block by block. The members of a bucket's largest
+group meet only those outside it, so the work is members times members outside that group.
 
 A null or empty text has no shingles; such texts form one group by their zero fingerprints, and
 texts of fewer than five words are compared as whole sequences. Rows with a null id are all kept.
@@ -35,6 +38,8 @@ BANDS, ROWS = 16, 4
 SKETCH = 256
 #: Estimates within this of the limit are settled by the whole texts; it is four standard errors.
 NEAR = 0.1
+#: Members of a bucket that are compared with as many others at a time, and sketch values of one product.
+BLOCK, COLUMNS = 1024, 4096
 _RANDOM = np.random.default_rng(20240229)
 _MULTIPLIERS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -113,8 +118,108 @@ def _with_both(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
     return join_with_hot_keys(pairs, others, "other", "pairs", pairs.count()).join(held, "id")
 
 
+def common_values(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each sketch of a has in common with each of b."""
+    va, vb = (np.concatenate(x) if x else np.empty(0, dtype="<u4") for x in (a, b))
+    ra, rb = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b))
+    values = np.intersect1d(va, vb)
+    found = np.zeros((len(a), len(b)), dtype=np.float32)
+    for at in range(0, len(values), COLUMNS):
+        some = values[at : at + COLUMNS]
+        has = []
+        for v, r, n in ((va, ra, len(a)), (vb, rb, len(b))):
+            place = np.searchsorted(some, v).clip(max=len(some) - 1)
+            held = some[place] == v
+            m = np.zeros((n, len(some)), dtype=np.float32)
+            m[r[held], place[held]] = 1
+            has.append(m)
+        found += has[0] @ has[1].T
+    return found
+
+
+def _compare_cell(similarity: float):
+    """Compares the two blocks of a cell: links that join its groups, and the pairs that sketches leave open."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        ids, n, group, block = (cell.column(c).to_numpy() for c in ("id", "n", "group", "block"))
+        raw = cell.column("sketch").to_pylist()
+        low = [np.frombuffer(s, dtype="<u4") for s in raw]
+        size = np.array([len(x) for x in low])
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        common = common_values([low[k] for k in x], [low[k] for k in y])
+        least, most = np.minimum(n[x][:, None], n[y][None, :]), np.maximum(n[x][:, None], n[y][None, :])
+        # likeness() divides at most the common values by at least the longer sketch.
+        bound = common / np.maximum(size[x][:, None], size[y][None, :])
+        fit = (bound >= similarity - NEAR) & (least >= similarity * most) & (group[x][:, None] != group[y][None, :]) & (ids[x][:, None] != ids[y][None, :])
+        if i == j:
+            fit &= x[:, None] < y[None, :]
+        root: dict[int, int] = {}
+
+        def find(g: int) -> int:
+            while (up := root.get(g, g)) != g:
+                g = up
+            return g
+
+        at, to = np.nonzero(fit)
+        found, open_ = [], []
+        for k in np.argsort(-bound[at, to], kind="stable"):
+            p, q = int(x[at[k]]), int(y[to[k]])
+            a, b = find(int(group[p])), find(int(group[q]))
+            if a == b:
+                continue
+            share = likeness(raw[p], raw[q])
+            whole = max(len(raw[p]), len(raw[q])) < 4 * SKETCH
+            if abs(share - similarity) <= NEAR and not whole:
+                open_.append((p, q, share))
+            elif share >= similarity:
+                root[max(a, b)] = min(a, b)
+                found.append((int(ids[p]), int(ids[q]), share, True))
+        found += [(int(ids[p]), int(ids[q]), share, False) for p, q, share in open_ if find(int(group[p])) != find(int(group[q]))]
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+        return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found) if found else [[]] * 4, kinds)], names=["id", "other", "share", "sure"])
+
+    return run
+
+
+def remaining_pairs(distinct: DataFrame, groups: DataFrame, rows: int, similarity: float) -> DataFrame:
+    """(id, other, share, sure): of all pairs that share a bucket and lie in different groups, those that
+    join groups by their sketches (sure), and those that only whole texts can settle."""
+    of = groups.select(F.col("doc_id").alias("id"), F.col("component_id").alias("group"))
+    in_band = cut(distinct.join(of, "id").select("id", "n", "group", F.explode("bands").alias("band")))
+    # Buckets of one group need nothing, and are left out before groups are counted.
+    mixed = in_band.groupBy("band").agg(F.count("*").alias("members"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("band", "members")
+    open_ = cut(join_with_hot_keys(in_band, mixed.withColumn("open", F.lit(True)), "band", "members", rows * BANDS).where("open").drop("open"))
+    counts = open_.groupBy("band", "group").agg(F.count("*").alias("held"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    buckets = counts.groupBy("band").agg(F.sum("held").alias("members"), F.max(F.struct("held", "group")).alias("big"))
+    buckets = cut(buckets.select("band", "members", F.col("big.group").alias("big"), blocks(F.col("members") - F.col("big.held")).alias("few"), blocks(F.col("big.held")).alias("many")))
+    placed = join_with_hot_keys(open_, buckets, "band", "members", rows * BANDS)
+    outside = F.col("group") != F.col("big")
+    spread = F.xxhash64("id", "band")
+    placed = placed.withColumn("block", F.when(outside, F.pmod(spread, F.col("few"))).otherwise(F.col("few") + F.pmod(spread, F.col("many"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(outside, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
+    celled = placed.select("id", "n", "group", "band", "block", F.explode(meets).alias("with")).select("*", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    held = celled.join(distinct.select("id", "n", "sketch"), ["id", "n"]).select("id", "n", "group", "band", "block", "i", "j", "sketch")
+    return held.groupBy("band", "i", "j").applyInArrow(_compare_cell(similarity), "id long, other long, share double, sure boolean")
+
+
+def settled_by_texts(doubtful: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (id, other) whose whole texts are similar enough, with their share; texts has (id, text)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shares = [jaccard(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shares, type=pa.float64())], names=["id", "other", "share"])
+
+    asked = doubtful.select("id").unionByName(doubtful.select(F.col("other").alias("id"))).distinct()
+    held = texts.join(asked, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    exact = _with_both(doubtful.select("id", "other"), held, "text").select("id", "other", "text", "other_text").mapInArrow(compare, "id long, other long, share double")
+    return exact.where(F.col("share") >= similarity)
+
+
 def similar_pairs(distinct: DataFrame, texts: DataFrame, rows: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): ids of distinct contents (id, n, sketch, bands) that are similar enough; texts has (id, text).
+    """(a, b): ids of the first round's candidates (id, n, sketch, bands) that are similar enough; texts has (id, text).
 
     Sketches decide where they hold all shingles or lie over NEAR from the limit; the few other
     pairs are compared by their whole texts.
@@ -126,37 +231,49 @@ def similar_pairs(distinct: DataFrame, texts: DataFrame, rows: int, similarity:
             whole = [max(len(x), len(y)) < 4 * SKETCH for x, y, _ in found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[2] for f in found], type=pa.float64()), pa.array(whole, type=pa.bool_())], names=["id", "other", "share", "whole"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shares = [jaccard(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shares, type=pa.float64())], names=["id", "other", "share"])
-
     both = _with_both(candidate_pairs(distinct, rows, similarity), distinct.select("id", "sketch"), "sketch")
     judged = cut(both.select("id", "other", "sketch", "other_sketch").mapInArrow(estimate, "id long, other long, share double, whole boolean"))
     open_ = (F.abs(F.col("share") - similarity) <= NEAR) & ~F.col("whole")
-    doubtful = judged.where(open_).select("id", "other")
-    asked = doubtful.select("id").unionByName(doubtful.select(F.col("other").alias("id"))).distinct()
-    held = texts.join(asked, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    exact = _with_both(doubtful, held, "text").select("id", "other", "text", "other_text").mapInArrow(compare, "id long, other long, share double")
-    return judged.where(~open_).select("id", "other", "share").unionByName(exact).where(F.col("share") >= similarity).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    exact = settled_by_texts(judged.where(open_), texts, similarity)
+    return judged.where(~open_ & (F.col("share") >= similarity)).select("id", "other").unionByName(exact.select("id", "other")).select(F.col("id").alias("a"), F.col("other").alias("b"))
+
+
+def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose documents lie in different groups, with these as ca and cb."""
+    at = groups.select(F.col("doc_id").alias("a"), F.col("component_id").alias("ca"))
+    to = groups.select(F.col("doc_id").alias("b"), F.col("component_id").alias("cb"))
+    weight = pairs.groupBy("b").agg(F.count("*").alias("pairs"))
+    return join_with_hot_keys(pairs, to.join(weight, "b"), "b", "pairs", pairs.count()).join(at, "a").where("ca <> cb")
+
+
+def _contracted(groups: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
+    """groups (doc_id, component_id) after the pairs (a, b) have joined them."""
+    edges = cut(_across(pairs, groups).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if edges.isEmpty():
+        return groups
+    roots = connected_components(edges)
+    sized = groups.groupBy("component_id").agg(F.count("*").alias("members"))
+    merged = sized.join(roots.withColumnRenamed("node", "component_id"), "component_id", "left")
+    return cut(join_with_hot_keys(groups, merged, "component_id", "members", rows).select("doc_id", F.coalesce("root", "component_id").alias("component_id")))
 
 
 def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, group_id): the smallest id reachable over SimHash links and similar pairs."""
     seen = cut(prints(docs, id_col, text_col).where("doc_id is not null"))
     rows = seen.count()
-    by_print = cut(components(seen.select("doc_id", "fp")).select("doc_id", "component_id").distinct())
+    groups = cut(components(seen.select("doc_id", "fp")).select("doc_id", "component_id").distinct())
     distinct = cut(seen.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")).drop("content"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    pairs = cut(similar_pairs(distinct, texts, rows, similarity))
-    at = by_print.select(F.col("doc_id").alias("a"), F.col("component_id").alias("ca"))
-    to = by_print.select(F.col("doc_id").alias("b"), F.col("component_id").alias("cb"))
-    weight = pairs.groupBy("b").agg(F.count("*").alias("pairs"))
-    hung = join_with_hot_keys(pairs, to.join(weight, "b"), "b", "pairs", pairs.count()).join(at, "a")
-    roots = connected_components(hung.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b"))
-    sized = by_print.groupBy("component_id").agg(F.count("*").alias("members"))
-    merged = sized.join(roots.withColumnRenamed("node", "component_id"), "component_id", "left")
-    return join_with_hot_keys(by_print, merged, "component_id", "members", rows).select("doc_id", F.coalesce("root", "component_id").alias("group_id"))
+    groups = _contracted(groups, cut(similar_pairs(distinct, texts, rows, similarity)), rows)
+    rest = cut(remaining_pairs(distinct, groups, rows, similarity)).select(F.col("id").alias("a"), F.col("other").alias("b"), "share", "sure")
+    groups = _contracted(groups, rest.where("sure"), rows)
+    # The likelier doubtful pairs first: they often join what the others would have to be read for.
+    for likely in (F.col("share") >= similarity, F.col("share") < similarity):
+        doubtful = cut(_across(rest.where(~F.col("sure") & likely), groups).select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other")).distinct())
+        if not doubtful.isEmpty():
+            found = cut(settled_by_texts(doubtful, texts, similarity))
+            groups = _contracted(groups, found.select(F.col("id").alias("a"), F.col("other").alias("b")), rows)
+    return groups.select("doc_id", F.col("component_id").alias("group_id"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
