@@ -43,6 +43,8 @@ BUCKET_DOCS = 2048
 RUN = 256
 SEPARATOR = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The added token of the vocabulary's JSON file, which the rank file lacks.
+ADDED = {"<|endoftext|>": 50256}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -52,7 +54,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def model_of(path: str):
-    """The vocabulary read as ranks, once for each worker process.
+    """The vocabulary read as ranks with its added token, once for each worker process.
 
     tiktoken's ids are those of the same vocabulary's JSON file under tokenizers (tests compare
     them), at a fifth of the time.
@@ -64,14 +66,25 @@ def model_of(path: str):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
-        held[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        held[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
     return held[path]
 
 
-def token_ids(texts: list[str | None], path: str, separator: int = SEPARATOR) -> list[bytes]:
-    """Ids and the separator of each text, as little-endian unsigned 32-bit integers."""
-    encode = model_of(path).encode_ordinary
-    return [array("I", [*encode(t or ""), separator]).tobytes() for t in texts]
+def token_ids(texts: list[str | None], path: str, separator: int = SEPARATOR, added: bool = False) -> list[bytes]:
+    """Ids and the separator of each text, as little-endian unsigned 32-bit integers.
+
+    With `added`, the literal of an added token is that token, as under the JSON file's default
+    settings; else it is split like any other text.
+    """
+    model = model_of(path)
+    encode = model.encode_ordinary
+    marks = tuple(ADDED) if added else ()
+    made = []
+    for t in texts:
+        t = t or ""
+        ids = model.encode(t, allowed_special="all") if any(m in t for m in marks) else encode(t)
+        made.append(array("I", [*ids, separator]).tobytes())
+    return made
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -166,7 +179,7 @@ def pieces(docs: DataFrame, buckets: int, path: str, capacity: int = CAPACITY, i
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 rows = []
-                for key, place, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), token_ids(batch.column(2).to_pylist(), path)):
+                for key, place, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), token_ids(batch.column(2).to_pylist(), path, added=True)):
                     for j in range(0, len(ids), step):
                         rows.append((key, j // 4, len(ids) // 4, ids[j : j + step], (place + j // step // RUN) % buckets))
                 types_ = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
