@@ -2,34 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.operators.skew import join_with_hot_keys
+from fathom.session import cut, ready
+
+
+#: Edges that a task contracts at a time.
+EDGES_PER_TASK = 250_000
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least one that the links a-b reach: hooks to smaller roots, and halved paths."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition, contracted: each node beside the least one of its block of edges."""
+
+    def contract(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        edges = pa.Table.from_batches(held)
+        ends = pa.chunked_array([*edges.column(0).chunks, *edges.column(1).chunks])
+        nodes, at = np.unique(ends.to_numpy(), return_inverse=True)
+        root = least_reachable(at[: len(edges)], at[len(edges) :], len(nodes))
+        other = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[x], type=ends.type) for x in (other, root[other])], names=["hi", "lo"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= EDGES_PER_TASK:
+            yield contract(held)
+            held = []
+    if held:
+        yield contract(held)
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): root is the smallest node reachable; lonely nodes aren't returned.
+    """(node, root): root is the smallest node reachable; lonely nodes aren't returned. Nodes are longs or strings.
 
-    Alternating large-star and small-star rounds, so the number of rounds grows with the logarithm
-    of a component's size; each round is written to the checkpoint folder where one is set.
+    Each task first contracts its own edges. While there are more edges than one task takes,
+    alternating large-star and small-star rounds follow, each written to the checkpoint folder, so
+    the number of rounds grows with the logarithm of a component's size; a hub's edges are dealt
+    out by broadcasting the few hubs.
     """
-    held = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    schema = edges.select(F.col(a).alias("hi"), F.col(b).alias("lo")).schema
 
-    def keep(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if held else df.cache()
+    def contracted(e: DataFrame) -> DataFrame:
+        return cut(e.mapInArrow(_stars, schema))
 
-    e = keep(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct())
+    ready(edges.sparkSession)
+    e = contracted(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo"))
     before = None
     while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == before:
+        parts = max(1, -(-e.count() // EDGES_PER_TASK))
+        e = contracted(e.coalesce(parts))
+        if parts == 1:
             break
-        before = now
         ends = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ends.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = ends.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_with_hot_keys(ends, least, "u", "n", 2 * parts * EDGES_PER_TASK).where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = cut(large)
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
-        e = keep(small.select("hi", F.col("m").alias("lo")).unionByName(small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct())
+        e = cut(small.select("hi", F.col("m").alias("lo")).unionByName(small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 

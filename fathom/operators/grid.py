@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.geo import half_up
+from fathom.session import cut
 
 
 def cell_of(x: Column | str, size: float) -> Column:
@@ -92,12 +93,9 @@ def fill_pass(cells: DataFrame, reach4: bool = True, least: int = 2, value: str
 
 
 def fill_holes(cells: DataFrame, passes: int, **how) -> DataFrame:
-    """Repeated fill_pass; lineage is cut after each pass where a checkpoint folder is set."""
-    held = cells.sparkSession.sparkContext.getCheckpointDir() is not None
+    """Repeated fill_pass; lineage is cut after each pass."""
     for _ in range(passes):
-        cells = fill_pass(cells, **how)
-        if held:
-            cells = cells.checkpoint()
+        cells = cut(fill_pass(cells, **how))
     return cells
 
 

@@ -13,6 +13,7 @@ from fathom.operators.signal import RELIEF_STEP
 from fathom.plans import survey as read
 from fathom.plans.align import KEY
 from fathom.plans.lake import DRAFT_M
+from fathom.session import cut
 
 # A cell's sources and their ranks, the highest wins; height of the dry strip.
 SOURCES = {"measured": 1, "bed": 2, "bank": 3, "bank_assumed": 4, "land": 5, "object": 6}
@@ -125,19 +126,14 @@ def objects_of(found: DataFrame, least_pings: int = 3, least_span: float = 0.25)
 
 def canal_model(frames: DataFrame, track: DataFrame, sync: DataFrame, draft_m: float = DRAFT_M, sensitivity: float = 0.5, shading: float = 0.8, cell: float = CELL_M, fill_passes: int = 3, time_range: tuple[float, float] | None = None, stride: int = 1) -> CanalModel:
     """The model of all surveys; frames need their samples."""
-    held = frames.sparkSession.sparkContext.getCheckpointDir() is not None
-
-    def keep(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if held else df.cache()
-
-    pings = keep(read.baselines(read.steady_track(read.placed_pings(frames, track, sync, time_range, stride)), draft_m))
-    sides = keep(sides_of(pings, draft_m, sensitivity, shading))
-    cells = keep(lay_sections(pings, sides, cell))
+    pings = cut(read.baselines(read.steady_track(read.placed_pings(frames, track, sync, time_range, stride)), draft_m))
+    sides = cut(sides_of(pings, draft_m, sensitivity, shading))
+    cells = cut(lay_sections(pings, sides, cell))
     filled = cells.select("survey", "i", "j", F.col("depth").alias("value"))
     for _ in range(fill_passes):
-        filled = keep(grid.fill_pass(filled, keys=KEY))
+        filled = cut(grid.fill_pass(filled, keys=KEY))
     cells = filled.withColumnRenamed("value", "depth").join(cells.select("survey", "i", "j", "source"), ["survey", "i", "j"], "left").fillna("bed", ["source"])
-    objects = keep(objects_of(detections(pings, sides)))
+    objects = cut(objects_of(detections(pings, sides)))
     raised = objects.where("kind = 'raised'").select("survey", "id", "x", "y", (F.col("length") / 2).alias("half_length"), (F.col("width") / 2).alias("half_width"), "heading", "height")
     bumps = grid.stamp(raised, cell, KEY)
     cells = cells.join(bumps, ["survey", "i", "j"], "left").select("survey", "i", "j", (F.col("depth") - F.coalesce("raised", F.lit(0.0))).alias("depth"), F.when(F.col("id").isNotNull(), "object").otherwise(F.col("source")).alias("source"))

@@ -18,6 +18,7 @@ from fathom.functions import geo, text
 from fathom.operators import graph, signal
 from fathom.plans import survey as read
 from fathom.plans.align import KEY
+from fathom.session import cut
 
 STRETCH_M, MARGIN_M = 20.0, 1.0
 MOST_OFFSET_M, MOST_PIXELS = 20.0, 6_000_000
@@ -25,11 +26,6 @@ LEAST_SEGMENT_M, MOST_RMS_M = 0.15, 0.035
 RIDGE = "survey string, polarity string, i long, j long, z double, direction int"
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """The rows, held: in the checkpoint folder where one is set, else in memory."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.cache()
-
-
 def row_pitch(pings: DataFrame) -> float:
     """The upper median step along the track, within 1 to 10 cm; 5 cm without any."""
     w = Window.partitionBy(*KEY).orderBy("along", "ping")
@@ -134,10 +130,10 @@ def segments(pixels: DataFrame, pitch: float, sensitivity: float = 0.5) -> tuple
     linked = (F.col("p.survey") == F.col("q.survey")) & (F.col("p.polarity") == F.col("q.polarity")) & (F.least(turn, signal.DIRECTIONS - turn) <= 1)
     step = F.abs(F.col("p.i") - F.col("q.i")) <= 1
     roots = graph.connected_components(graph.cell_links(p, "id", "i", "j", 1.0, linked & step & (F.abs(F.col("p.j") - F.col("q.j")) <= 1)))
-    named = keep(p.join(roots.withColumnsRenamed({"node": "id", "root": "segment"}), "id"))
+    named = cut(p.join(roots.withColumnsRenamed({"node": "id", "root": "segment"}), "id"))
     fitted = _fits(named, ["survey", "polarity", "segment"]).where((F.col("n") >= 4) & (F.col("top") >= high) & (F.col("length") >= LEAST_SEGMENT_M))
-    fitted = keep(fitted)
-    return keep(named.join(fitted.select("segment"), "segment", "left_semi")), fitted
+    fitted = cut(fitted)
+    return cut(named.join(fitted.select("segment"), "segment", "left_semi")), fitted
 
 
 def merged_lines(points: DataFrame, fitted: DataFrame, gap: float, lateral: float, only: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -148,8 +144,8 @@ def merged_lines(points: DataFrame, fitted: DataFrame, gap: float, lateral: floa
     apart = F.pmod(F.xxhash64("survey", "polarity"), F.lit(1 << 20)) * 1e6
     roots = graph.merge_lines(named.withColumn("x1", F.col("x1") + apart).withColumn("x2", F.col("x2") + apart), gap, lateral)
     moved = points.join(roots.withColumnRenamed("id", "segment"), "segment", "left").withColumn("segment", F.coalesce("root", "segment")).drop("root")
-    moved = keep(moved)
-    return moved, keep(_fits(moved, ["survey", "polarity", "segment"]))
+    moved = cut(moved)
+    return moved, cut(_fits(moved, ["survey", "polarity", "segment"]))
 
 
 def without_echoes(lines: DataFrame) -> DataFrame:
@@ -195,11 +191,11 @@ def screen(pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: Data
     pitch = row_pitch(pings)
     high = 6 - 3 * sensitivity
     pixels = ridge_pixels(pings, sides, reference, spans, pitch, sensitivity, draft_m, stretch_m)
-    pixels = keep(pixels)
+    pixels = cut(pixels)
     points, fitted = segments(pixels, pitch, sensitivity)
     points, lines = merged_lines(points, fitted, 0.5, 0.08)
     points, lines = merged_lines(points, lines, 2.5, max(0.08, 1.5 * pitch), F.abs(F.sin("angle")) < math.sin(math.radians(20)))
-    kept = keep(without_echoes(lines).where((F.col("length") >= least_m) & (F.col("rms") <= MOST_RMS_M)))
+    kept = cut(without_echoes(lines).where((F.col("length") >= least_m) & (F.col("rms") <= MOST_RMS_M)))
     steep = F.degrees(F.acos(F.least(F.lit(1.0), F.abs(F.sin("angle")))))
     kept = kept.withColumn("angle_deg", F.floor(steep + 0.5).cast("int")).withColumn("direction", text.direction_class(steep))
     joints = kept.where("direction = 'across'").select("survey", "segment", "cy").groupBy("survey").applyInPandas(_joints, "survey string, segment long, joint boolean")
