@@ -1,87 +1,15 @@
-"""What the corpus operators share: tables, lineage cuts, checked broadcasts, components."""
+"""What the corpus operators share: their tables. Lineage cuts, checked broadcasts and components come from the library."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows times a generous row width must stay under this for a side to be broadcast.
-BROADCAST_BYTES = 16 << 20
+from fathom.operators.graph import connected_components, least_reachable
+from fathom.operators.skew import BROADCAST_BYTES, join_with_hot_keys, lookup, maybe_broadcast, parts_for
+from fathom.session import cut, ready
+
+__all__ = ["BROADCAST_BYTES", "connected_components", "cut", "join_with_hot_keys", "least_reachable", "lookup", "maybe_broadcast", "parts_for", "ready", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package and gives lineage cuts a place.
-
-    The cluster's spark.checkpoint.dir is used when it is set; only a session
-    without it (tests, a laptop) gets a folder of its own.
-    """
-    sc = spark.sparkContext
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        sc.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fathom-checkpoint-"))
-    return spark
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, kept in the shared checkpoint folder: lost executors cost no recomputation."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """A broadcast hint only where the counted rows prove the size; else Spark shuffles."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
-def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, share: int = 256) -> DataFrame:
-    """Left join on a key that is unique in right, where a few keys may hold most left rows.
-
-    right carries in `weight` how many left rows each key has, and total is their sum, so at
-    most `share` keys can exceed total/share: those are broadcast and the rest is shuffled.
-    """
-    limit = total / share
-    hot = right.where(F.col(weight) > limit).drop(weight).withColumn("_hot", F.lit(True))
-    cold = right.where(F.col(weight) <= limit).drop(weight)
-    marked = left.join(F.broadcast(hot), key, "left")
-    names = [c for c in cold.columns if c != key]
-    done = marked.where("_hot").drop("_hot")
-    rest = marked.where("_hot is null").drop("_hot", *names).join(cold, key, "left")
-    return done.unionByName(rest)
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): root is the smallest node reachable; alternating large-star and small-star rounds.
-
-    Self-edges and repeats are ignored; nodes without an edge to another node are not returned.
-    """
-    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    e = cut(e)
-    mark = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        mark = now
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        e = cut(
-            small.select("a", F.col("m").alias("b"))
-            .unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-            .distinct()
-        )

@@ -10,13 +10,15 @@ Equal word sequences meet in one row first. In a first round each member of a ba
 the member with the lowest id and one drawn by a hash, so that a bucket with a third of all rows
 makes rows in proportion; hot keys are broadcast, others shuffled. Links are contracted over the
 SimHash components, not over documents. Then every other pair of a bucket whose members are still
-in different groups is compared, unless their sizes or the values common to their sketches rule
-the similarity out; large buckets are compared block by block. The members of a bucket's largest
-group meet only those outside it, so the work is members times members outside that group.
+in different groups is compared, block by block; of buckets with the same members one is taken.
+The members of a bucket's largest group meet only those outside it, so the work is members times
+members outside that group, and of a cell only the groups that it joins come back.
 
 A null or empty text has no shingles; such texts form one group by their zero fingerprints, and
-texts of fewer than five words are compared as whole sequences. Rows with a null id are all kept.
-Of repeated rows with one id, one stays. An empty table gives an empty result.
+texts of fewer than five words are compared as whole sequences. A very long text is read in blocks
+of shingles. Rows with a null id are all kept. Of repeated rows with one id, one stays; which one of
+rows that differ beside the id isn't fixed. Ties go to the smallest id. An empty table gives an empty
+result. All columns of docs are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,17 +31,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import connected_components, cut, join_with_hot_keys, maybe_broadcast, ready
-from fathom.llm.simhash import components, fingerprint, hashes, shingles
+from fathom.llm.common import BROADCAST_BYTES, connected_components, cut, join_with_hot_keys, least_reachable, lookup, maybe_broadcast, parts_for, ready
+from fathom.llm.simhash import FOLD, fingerprint, hashes, print_components, shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-SKETCH = 256
+#: Lowest shingle hashes that are kept of a text; texts of fewer are compared exactly.
+SKETCH = 1024
 #: Estimates within this of the limit are settled by the whole texts; it is four standard errors.
-NEAR = 0.1
+NEAR = 0.05
 #: Members of a bucket that are compared with as many others at a time, and sketch values of one product.
 BLOCK, COLUMNS = 1024, 4096
+#: Texts that a worker holds as Python objects at a time.
+SLICE = 128
 _RANDOM = np.random.default_rng(20240229)
 _MULTIPLIERS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -59,13 +64,18 @@ def sketch(text: str | None, k: int = SHINGLE) -> tuple[int, bytes, list[int]]:
     return len(h), low.tobytes(), [b - (1 << 64) if b >> 63 else b for b in bands]
 
 
-def likeness(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Jaccard similarity of two sketches."""
+def top(low: np.ndarray) -> int:
+    """The value up to which a sketch has all of its text's hashes."""
+    return int(low[-1]) if len(low) >= SKETCH else 1 << 32
+
+
+def likeness(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sketches, over the values up to which both are whole."""
     x, y = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
-    both = np.union1d(x, y)
-    if len(x) == size or len(y) == size:
-        both = both[:size]
-    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).sum()) / max(1, len(both))
+    limit = min(top(x), top(y))
+    x, y = x[: np.searchsorted(x, limit, "right")], y[: np.searchsorted(y, limit, "right")]
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
 
 
 PRINT = "doc_id long, fp long, content long, n long, sketch binary, bands array<long>"
@@ -76,10 +86,10 @@ def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             texts = b.column(1).to_pylist()
             made = [sketch(t, k) for t in texts]
-            contents = [xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()) if t else b"") for t in texts]
+            contents = [xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").translate(FOLD).split()) if t else b"") for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -95,27 +105,50 @@ def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, PRINT)
 
 
-def jaccard(a: str | None, b: str | None, k: int = SHINGLE) -> float:
-    """Exact Jaccard similarity over distinct shingles."""
-    x, y = ({g for part in shingles(t, k) for g in part} for t in (a, b))
-    return len(x & y) / max(1, len(x | y))
-
+def all_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of a whole text."""
+    parts = [hashes(part) for part in shingles(text, k)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
 
-def candidate_pairs(distinct: DataFrame, rows: int, similarity: float) -> DataFrame:
-    """(id, other): each content with at most two others of each of its band buckets, of similar size."""
-    in_band = distinct.select("id", "n", F.explode("bands").alias("band"))
-    buckets = cut(in_band.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("first"), F.min(F.struct(F.xxhash64("id", "band"), "id", "n")).alias("drawn")).where("members > 1"))
-    placed = join_with_hot_keys(in_band, buckets, "band", "members", rows * BANDS).where("first is not null")
-    partner = F.explode(F.array(F.struct("first.id", "first.n"), F.struct("drawn.id", "drawn.n"))).alias("partner")
-    sized = placed.select("id", "n", partner).where((F.col("id") != F.col("partner.id")) & (F.least("n", "partner.n") >= similarity * F.greatest("n", "partner.n")))
-    return cut(sized.select("id", F.col("partner.id").alias("other")).distinct())
 
+def jaccard(a: str | None, b: str | None, k: int = SHINGLE) -> float:
+    """Jaccard similarity over the distinct shingles of whole texts (their 64-bit hashes)."""
+    x, y = all_hashes(a, k), all_hashes(b, k)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def first_pairs(distinct: DataFrame, rows: int, similarity: float) -> DataFrame:
+    """(id, part, other, other_part): each content with at most two others of each of its band buckets,
+    of similar size and another component."""
+    in_band = distinct.select("id", "n", "part", F.explode("bands").alias("band"))
+    one = F.struct("id", "n", "part")
+    buckets = cut(in_band.groupBy("band").agg(F.count("*").alias("members"), F.min(one).alias("first"), F.min(F.struct(F.xxhash64("id", "band").alias("h"), one.alias("of"))).alias("drawn")).where("members > 1"))
+    found = buckets.count()
+    buckets = buckets.select("band", "members", F.array("first", "drawn.of").alias("partners")).coalesce(parts_for(found))
+    placed = lookup(in_band, buckets, "band", found, 160, "members", rows * BANDS)
+    met = placed.where("partners is not null").select("id", "n", "part", F.explode("partners").alias("p"))
+    fit = (F.col("id") != F.col("p.id")) & (F.col("part") != F.col("p.part")) & (F.least("n", "p.n") >= similarity * F.greatest("n", "p.n"))
+    return cut(met.where(fit).select("id", "part", F.col("p.id").alias("other"), F.col("p.part").alias("other_part")).distinct())
+
+
+def first_links(distinct: DataFrame, rows: int, similarity: float) -> DataFrame:
+    """(a, b): components joined by first pairs that their sketches show to be similar enough."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sketches = [(x.as_py(), y.as_py()) for x, y in zip(b.column("sketch"), b.column("other_sketch"))]
+            sure = [likeness(x, y) >= similarity + NEAR * (max(len(x), len(y)) >= 4 * SKETCH) for x, y in sketches]
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("other_part")], names=["a", "b"]).filter(pa.array(sure, type=pa.bool_()))
 
-def _with_both(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
-    """pairs with the value of id and, as other_<name>, of other, which may be hot."""
-    wanted = pairs.groupBy("other").agg(F.count("*").alias("pairs"))
-    others = wanted.join(held.withColumnsRenamed({"id": "other", name: f"other_{name}"}), "other")
-    return join_with_hot_keys(pairs, others, "other", "pairs", pairs.count()).join(held, "id")
+    pairs = first_pairs(distinct, rows, similarity)
+    found = pairs.count()
+    pairs = pairs.coalesce(parts_for(found))
+    held = distinct.select("id", "sketch")
+    # A bucket's first member may be the partner of very many; its few sketches are broadcast.
+    others = held.withColumnsRenamed({"id": "other", "sketch": "other_sketch"}).join(pairs.groupBy("other").agg(F.count("*").alias("pairs")), "other")
+    both = join_with_hot_keys(pairs, others, "other", "pairs", found).join(held, "id")
+    return both.select("part", "other_part", "sketch", "other_sketch").mapInArrow(judge, "a long, b long")
 
 
 def common_values(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -123,6 +156,9 @@ def common_values(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     va, vb = (np.concatenate(x) if x else np.empty(0, dtype="<u4") for x in (a, b))
     ra, rb = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b))
     values = np.intersect1d(va, vb)
+    if a is b:  # a value of one sketch alone is common to none
+        values, times = np.unique(va, return_counts=True)
+        values = values[times > 1]
     found = np.zeros((len(a), len(b)), dtype=np.float32)
     for at in range(0, len(values), COLUMNS):
         some = values[at : at + COLUMNS]
@@ -138,150 +174,127 @@ def common_values(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare_cell(similarity: float):
-    """Compares the two blocks of a cell: links that join its groups, and the pairs that sketches leave open."""
+    """Compares the two blocks of a cell: (a, b) are groups that sketches join, (a, b, id, other) pairs that they leave open."""
 
     def run(cell: pa.Table) -> pa.Table:
-        ids, n, group, block = (cell.column(c).to_numpy() for c in ("id", "n", "group", "block"))
-        raw = cell.column("sketch").to_pylist()
-        low = [np.frombuffer(s, dtype="<u4") for s in raw]
-        size = np.array([len(x) for x in low])
+        ids, n, group, block = (cell.column(c).to_numpy() for c in ("id", "n", "part", "block"))
+        low = [np.frombuffer(s.as_py(), dtype="<u4") for s in cell.column("sketch")]
+        tops = np.array([top(x) for x in low])
         i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
         x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        common = common_values([low[k] for k in x], [low[k] for k in y])
-        least, most = np.minimum(n[x][:, None], n[y][None, :]), np.maximum(n[x][:, None], n[y][None, :])
-        # likeness() divides at most the common values by at least the longer sketch.
-        bound = common / np.maximum(size[x][:, None], size[y][None, :])
-        fit = (bound >= similarity - NEAR) & (least >= similarity * most) & (group[x][:, None] != group[y][None, :]) & (ids[x][:, None] != ids[y][None, :])
+        lx = [low[k] for k in x]
+        ly = lx if i == j else [low[k] for k in y]
+        common = common_values(lx, ly)
+        # How many values of a sketch lie in the range in which both are whole.
+        nx = np.stack([np.searchsorted(v, np.minimum(tops[y], t), "right") for v, t in zip(lx, tops[x])])
+        ny = np.stack([np.searchsorted(v, np.minimum(tops[x], t), "right") for v, t in zip(ly, tops[y])], axis=1)
+        share = common / np.maximum(1, nx + ny - common)
+        whole = (tops[x][:, None] >> 32 & tops[y][None, :] >> 32) == 1
+        fit = (np.minimum(n[x][:, None], n[y][None, :]) >= similarity * np.maximum(n[x][:, None], n[y][None, :])) & (group[x][:, None] != group[y][None, :])
         if i == j:
             fit &= x[:, None] < y[None, :]
-        root: dict[int, int] = {}
-
-        def find(g: int) -> int:
-            while (up := root.get(g, g)) != g:
-                g = up
-            return g
-
-        at, to = np.nonzero(fit)
-        found, open_ = [], []
-        for k in np.argsort(-bound[at, to], kind="stable"):
-            p, q = int(x[at[k]]), int(y[to[k]])
-            a, b = find(int(group[p])), find(int(group[q]))
-            if a == b:
-                continue
-            share = likeness(raw[p], raw[q])
-            whole = max(len(raw[p]), len(raw[q])) < 4 * SKETCH
-            if abs(share - similarity) <= NEAR and not whole:
-                open_.append((p, q, share))
-            elif share >= similarity:
-                root[max(a, b)] = min(a, b)
-                found.append((int(ids[p]), int(ids[q]), share, True))
-        found += [(int(ids[p]), int(ids[q]), share, False) for p, q, share in open_ if find(int(group[p])) != find(int(group[q]))]
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-        return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found) if found else [[]] * 4, kinds)], names=["id", "other", "share", "sure"])
+        groups, at = np.unique(group, return_inverse=True)
+        p, q = np.nonzero(fit & (share >= similarity + NEAR * ~whole))
+        root = least_reachable(at[x[p]], at[y[q]], len(groups))
+        joined = np.flatnonzero(root != np.arange(len(groups)))
+        p, q = np.nonzero(fit & ~whole & (share >= similarity - NEAR) & (share < similarity + NEAR) & (root[at[x]][:, None] != root[at[y]][None, :]))
+        none = np.full(len(joined), None)
+        columns = ((groups[joined], group[x[p]]), (groups[root[joined]], group[y[q]]), (none, ids[x[p]]), (none, ids[y[q]]))
+        return pa.Table.from_arrays([pa.array([*some, *more], type=pa.int64()) for some, more in columns], names=["a", "b", "id", "other"])
 
     return run
 
 
-def remaining_pairs(distinct: DataFrame, groups: DataFrame, rows: int, similarity: float) -> DataFrame:
-    """(id, other, share, sure): of all pairs that share a bucket and lie in different groups, those that
-    join groups by their sketches (sure), and those that only whole texts can settle."""
-    of = groups.select(F.col("doc_id").alias("id"), F.col("component_id").alias("group"))
-    in_band = cut(distinct.join(of, "id").select("id", "n", "group", F.explode("bands").alias("band")))
-    # Buckets of one group need nothing, and are left out before groups are counted.
-    mixed = in_band.groupBy("band").agg(F.count("*").alias("members"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("band", "members")
-    open_ = cut(join_with_hot_keys(in_band, mixed.withColumn("open", F.lit(True)), "band", "members", rows * BANDS).where("open").drop("open"))
-    counts = open_.groupBy("band", "group").agg(F.count("*").alias("held"))
+def remaining_links(distinct: DataFrame, moved: DataFrame, rows: int, similarity: float) -> DataFrame:
+    """Of all pairs that share a bucket and lie in different groups: (a, b) for groups that sketches join,
+    (a, b, id, other) for pairs that only whole texts can settle."""
+    now = lookup_groups(distinct.select("id", "n", "part", "bands"), moved, rows)
+    in_band = cut(now.select("id", "n", "part", F.explode("bands").alias("band"))).coalesce(parts_for(rows * BANDS))
+    h = F.xxhash64("id")
+    # Buckets of one group need nothing. Of buckets with the same members one is enough.
+    mixed = in_band.groupBy("band").agg(
+        F.count("*").alias("members"), F.min("part").alias("low"), F.max("part").alias("high"), F.struct(F.count("*"), F.min("id"), F.max("id"), F.bit_xor(h), F.bit_xor(F.xxhash64(h, F.lit(1)))).alias("same")
+    ).where("low <> high")
+    mixed = cut(mixed.groupBy("same").agg(F.min(F.struct("band", "members")).alias("of")).select("of.band", "of.members", F.lit(True).alias("open")))
+    found = mixed.count()
+    mixed = mixed.coalesce(parts_for(found))
+    open_ = cut(lookup(in_band, mixed, "band", found, 64, "members", rows * BANDS).where("open").drop("open"))
+    left = open_.count()
+    open_ = open_.coalesce(parts_for(left))
+    # The members of a bucket's largest group meet only those outside it.
+    counts = open_.groupBy("band", "part").agg(F.count("*").alias("held"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    buckets = counts.groupBy("band").agg(F.sum("held").alias("members"), F.max(F.struct("held", "group")).alias("big"))
-    buckets = cut(buckets.select("band", "members", F.col("big.group").alias("big"), blocks(F.col("members") - F.col("big.held")).alias("few"), blocks(F.col("big.held")).alias("many")))
-    placed = join_with_hot_keys(open_, buckets, "band", "members", rows * BANDS)
-    outside = F.col("group") != F.col("big")
+    buckets = counts.groupBy("band").agg(F.sum("held").alias("members"), F.max(F.struct("held", "part")).alias("big"))
+    buckets = cut(buckets.select("band", "members", F.col("big.part").alias("big"), blocks(F.col("members") - F.col("big.held")).alias("few"), blocks(F.col("big.held")).alias("many")))
+    placed = lookup(open_, buckets.coalesce(parts_for(found)), "band", found, 96, "members", left)
+    outside = F.col("part") != F.col("big")
     spread = F.xxhash64("id", "band")
     placed = placed.withColumn("block", F.when(outside, F.pmod(spread, F.col("few"))).otherwise(F.col("few") + F.pmod(spread, F.col("many"))).cast("int"))
     meets = F.sequence(F.lit(0), F.when(outside, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
-    celled = placed.select("id", "n", "group", "band", "block", F.explode(meets).alias("with")).select("*", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    held = celled.join(distinct.select("id", "n", "sketch"), ["id", "n"]).select("id", "n", "group", "band", "block", "i", "j", "sketch")
-    return held.groupBy("band", "i", "j").applyInArrow(_compare_cell(similarity), "id long, other long, share double, sure boolean")
+    sketched = placed.select("id", "n", "part", "band", "block", meets.alias("meets")).join(distinct.select("id", "sketch"), "id")
+    celled = sketched.select("id", "n", "part", "band", "block", "sketch", F.explode("meets").alias("with")).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
+    return cut(celled.drop("with").groupBy("band", "i", "j").applyInArrow(_compare_cell(similarity), "a long, b long, id long, other long"))
 
 
 def settled_by_texts(doubtful: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (id, other) whose whole texts are similar enough, with their share; texts has (id, text)."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shares = [jaccard(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shares, type=pa.float64())], names=["id", "other", "share"])
-
-    asked = doubtful.select("id").unionByName(doubtful.select(F.col("other").alias("id"))).distinct()
-    held = texts.join(asked, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    exact = _with_both(doubtful.select("id", "other"), held, "text").select("id", "other", "text", "other_text").mapInArrow(compare, "id long, other long, share double")
-    return exact.where(F.col("share") >= similarity)
-
-
-def similar_pairs(distinct: DataFrame, texts: DataFrame, rows: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): ids of the first round's candidates (id, n, sketch, bands) that are similar enough; texts has (id, text).
+    """(a, b) of the pairs (a, b, id, other) whose whole texts are similar enough; texts has (id, text).
 
-    Sketches decide where they hold all shingles or lie over NEAR from the limit; the few other
-    pairs are compared by their whole texts.
+    The texts are joined by sort-merge, so that Spark splits the pairs of an id that has very many.
     """
 
-    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(x, y, likeness(x, y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            whole = [max(len(x), len(y)) < 4 * SKETCH for x, y, _ in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[2] for f in found], type=pa.float64()), pa.array(whole, type=pa.bool_())], names=["id", "other", "share", "whole"])
-
-    both = _with_both(candidate_pairs(distinct, rows, similarity), distinct.select("id", "sketch"), "sketch")
-    judged = cut(both.select("id", "other", "sketch", "other_sketch").mapInArrow(estimate, "id long, other long, share double, whole boolean"))
-    open_ = (F.abs(F.col("share") - similarity) <= NEAR) & ~F.col("whole")
-    exact = settled_by_texts(judged.where(open_), texts, similarity)
-    return judged.where(~open_ & (F.col("share") >= similarity)).select("id", "other").unionByName(exact.select("id", "other")).select(F.col("id").alias("a"), F.col("other").alias("b"))
+            same = [jaccard(x.as_py(), y.as_py()) >= similarity for x, y in zip(b.column("text"), b.column("other_text"))]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(same, type=pa.bool_()))
 
-
-def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose documents lie in different groups, with these as ca and cb."""
-    at = groups.select(F.col("doc_id").alias("a"), F.col("component_id").alias("ca"))
-    to = groups.select(F.col("doc_id").alias("b"), F.col("component_id").alias("cb"))
-    weight = pairs.groupBy("b").agg(F.count("*").alias("pairs"))
-    return join_with_hot_keys(pairs, to.join(weight, "b"), "b", "pairs", pairs.count()).join(at, "a").where("ca <> cb")
+    asked = doubtful.select("id").unionByName(doubtful.select(F.col("other").alias("id"))).distinct()
+    held = texts.join(asked, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")).hint("merge")
+    both = doubtful.join(held, "id").join(held.withColumnsRenamed({"id": "other", "text": "other_text"}), "other")
+    return both.select("a", "b", "text", "other_text").mapInArrow(compare, "a long, b long")
 
 
-def _contracted(groups: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
-    """groups (doc_id, component_id) after the pairs (a, b) have joined them."""
-    edges = cut(_across(pairs, groups).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    if edges.isEmpty():
-        return groups
-    roots = connected_components(edges)
-    sized = groups.groupBy("component_id").agg(F.count("*").alias("members"))
-    merged = sized.join(roots.withColumnRenamed("node", "component_id"), "component_id", "left")
-    return cut(join_with_hot_keys(groups, merged, "component_id", "members", rows).select("doc_id", F.coalesce("root", "component_id").alias("component_id")))
+def lookup_groups(df: DataFrame, moved: DataFrame, total: int, name: str = "part") -> DataFrame:
+    """df with the groups in `name` after the moves (node, root)."""
+    moves = moved.select(F.col("node").alias(name), F.col("root").alias("_root"))
+    sized = df.groupBy(name).agg(F.count("*").alias("_rows"))
+    n = moved.count()
+    small = n * 64 <= BROADCAST_BYTES
+    held = moves.withColumn("_rows", F.lit(1)) if small else moves.join(sized, name)
+    return lookup(df, held, name, n, 64, "_rows", total).withColumn(name, F.coalesce("_root", name)).drop("_root")
 
 
 def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, group_id): the smallest id reachable over SimHash links and similar pairs."""
     seen = cut(prints(docs, id_col, text_col).where("doc_id is not null"))
     rows = seen.count()
-    groups = cut(components(seen.select("doc_id", "fp")).select("doc_id", "component_id").distinct())
-    distinct = cut(seen.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")).drop("content"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    groups = _contracted(groups, cut(similar_pairs(distinct, texts, rows, similarity)), rows)
-    rest = cut(remaining_pairs(distinct, groups, rows, similarity)).select(F.col("id").alias("a"), F.col("other").alias("b"), "share", "sure")
-    groups = _contracted(groups, rest.where("sure"), rows)
-    # The likelier doubtful pairs first: they often join what the others would have to be read for.
-    for likely in (F.col("share") >= similarity, F.col("share") < similarity):
-        doubtful = cut(_across(rest.where(~F.col("sure") & likely), groups).select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other")).distinct())
-        if not doubtful.isEmpty():
-            found = cut(settled_by_texts(doubtful, texts, similarity))
-            groups = _contracted(groups, found.select(F.col("id").alias("a"), F.col("other").alias("b")), rows)
-    return groups.select("doc_id", F.col("component_id").alias("group_id"))
+    seen = seen.coalesce(parts_for(rows))
+    by_print, n, _ = print_components(seen.select("doc_id", "fp"))
+    by_print = by_print.coalesce(parts_for(n)).withColumnRenamed("component_id", "part")
+    placed = lookup(seen.select("doc_id", "fp"), by_print, "fp", n, 64, "copies", rows).select("doc_id", "part")
+    once = seen.where("n > 0").groupBy("content").agg(*[F.min_by(c, "doc_id").alias(c) for c in ("doc_id", "fp", "n", "sketch", "bands")])
+    distinct = cut(lookup(once.withColumnRenamed("doc_id", "id"), by_print, "fp", n, 64, "copies", rows).select("id", "n", "sketch", "bands", "part"))
+    distinct = distinct.coalesce(parts_for(rows))
+    moved = cut(connected_components(first_links(distinct, rows, similarity)))
+    rest = remaining_links(distinct, moved, rows, similarity)
+    sure = rest.where("id is null").select("a", "b")
+    held = moved.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    doubtful = rest.where("id is not null")
+    if not rest.isEmpty():
+        moved = cut(connected_components(held.unionByName(sure)))
+        held = moved.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if not doubtful.isEmpty():
+        across = lookup_groups(lookup_groups(doubtful, moved, rows, "a"), moved, rows, "b").where("a <> b").distinct()
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        moved = cut(connected_components(held.unionByName(settled_by_texts(cut(across), texts, similarity))))
+    return lookup_groups(placed, moved, rows).select("doc_id", F.col("part").alias("group_id"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group: the one with the smallest id."""
     groups = cut(near_duplicate_groups(docs, similarity, id_col, text_col))
+    groups = groups.coalesce(parts_for(groups.count()))
     extra = groups.where("doc_id <> group_id").select(F.col("doc_id").alias(id_col)).distinct()
     kept = docs.join(maybe_broadcast(extra, extra.count(), 16), id_col, "left_anti")
-    ids = docs.select(id_col).where(F.col(id_col).isNotNull()).groupBy(id_col).count()
-    if ids.where("count > 1").isEmpty():
+    if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))

@@ -8,14 +8,16 @@ Links: distinct fingerprints (copies meet in one row first) are dealt to the lea
 vantage-point tree. Its vantage points come from a bounded sample; every fingerprint is indexed.
 At each node a fingerprint belongs to the near or the far side; by the triangle inequality only
 near-side points within `radius` of the boundary can have partners on the far side, so only those
-are sent there as queries, and a query goes on to each side that its ball reaches. Each leaf then
-recurses with vantage points of its own and compares what is left exactly. It returns its local
-components, never pairs, so that dense groups cost one row per member; the components of leaves
-that share a fingerprint are joined by star contraction.
+are sent there as queries, and a query goes on to each side that its ball reaches. A leaf's points
+and queries are dealt to cells of bounded size, whatever the leaf has received; each cell then
+recurses with vantage points of its own and compares what is left exactly. It returns each point
+beside the first of its local component, never pairs, so that dense groups cost one row per
+member; components of cells that share a fingerprint are joined by star contraction.
 
 Nulls: a null text has no words, and so fingerprint zero like an empty one; these link with each
 other. A null id never becomes a component's id unless all ids of the component are null.
-Repeated rows, ties and empty tables need no special care: one row comes back for each row.
+Repeated rows, ties and empty tables need no special care: one row comes back for each row. A very
+long text is read in blocks of shingles. Other columns are kept; one named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -24,14 +26,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.common import connected_components, cut, join_with_hot_keys, ready
+from fathom.llm.common import connected_components, cut, least_reachable, lookup, maybe_broadcast, parts_for, ready
 
 SEED = 42
 RADIUS = 3
@@ -42,12 +43,12 @@ LEAF = 24_000
 MIN_LEAVES = 48
 _BLOCK = 65_536
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
+FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
 def shingles(text: str | None, k: int) -> Iterator[list[bytes]]:
     """The shingles of a text, in blocks of bounded length."""
-    w = text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
+    w = text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
     if 0 < len(w) < k:
         yield [b" ".join(w)]
     for at in range(0, len(w) - k + 1, _BLOCK):
@@ -150,74 +151,84 @@ def route(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], radius: int)
             stack += [(near, x[d <= mu + radius], False), (far, x[d > mu - radius], False)]
 
 
-class Forest:
-    """Union-find over positions, fed with blocks of links."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def flat(self) -> None:
-        while True:
-            up = self.root[self.root]
-            if np.array_equal(up, self.root):
-                return
-            self.root = up
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        ra, rb = self.root[a], self.root[b]
-        new = ra != rb
-        if not new.any():
-            return
-        pairs = np.unique(np.stack([ra[new], rb[new]], axis=1), axis=0)
-        root = self.root
-        for x, y in pairs.tolist():
-            while root[x] != x:
-                x = root[x]
-            while root[y] != y:
-                y = root[y]
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        self.flat()
-
-
-def join_leaf(points: np.ndarray, own: np.ndarray, queries: np.ndarray, radius: int, forest: Forest, base: int = 512) -> None:
-    """Links positions within radius: own with own, and queries with own; prunes by vantage points of its own."""
-    stack = [(own, queries)]
-    crossed: list[tuple[np.ndarray, np.ndarray]] = []
+def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    while not np.array_equal(up := parent[x], x):
+        x = up
+    return x
+
+
+def join_leaf(points: np.ndarray, own: np.ndarray, queries: np.ndarray, radius: int, within: bool = True, base: int = 512) -> np.ndarray:
+    """For each position another one that it is linked with, directly or not (itself if none): queries with
+    own, and if `within`, own with own; prunes by vantage points of its own."""
+    stack, parent = [(own, queries)], np.arange(len(points))
     while stack:
         p, q = stack.pop()
         split = vantage(points[p], 4) if len(p) > base else None
-        if split is None:
-            crossed.append((np.concatenate([p, q]), p))
+        if split is not None:
+            v, mu = split
+            dp, dq = distance(points[p], v).astype(np.int16), distance(points[q], v).astype(np.int16)
+            near, far = dp <= mu, dp > mu
+            reach = [q[dq > mu - radius], p[near & (dp > mu - radius)]] if within else [q[dq > mu - radius]]
+            stack += [(p[near], q[dq <= mu + radius]), (p[far], np.concatenate(reach))]
             continue
-        v, mu = split
-        dp, dq = distance(points[p], v).astype(np.int16), distance(points[q], v).astype(np.int16)
-        near, far = dp <= mu, dp > mu
-        stack.append((p[near], q[dq <= mu + radius]))
-        stack.append((p[far], np.concatenate([q[dq > mu - radius], p[near & (dp > mu - radius)]])))
-    for q, p in crossed:
+        if within:
+            q = np.concatenate([p, q])
         for i in range(0, len(q), base):
             for j in range(0, len(p), base):
                 a, b = q[i : i + base], p[j : j + base]
                 x, y = np.nonzero(np.bitwise_count(points[a][:, None] ^ points[b][None, :]) <= radius)
-                forest.link(a[x], b[y])
+                x, y = _roots(parent, a[x]), _roots(parent, b[y])
+                apart = x != y
+                if apart.any():
+                    nodes, at = np.unique(np.concatenate([x[apart], y[apart]]), return_inverse=True)
+                    parent[nodes] = nodes[least_reachable(at[: len(at) // 2], at[len(at) // 2 :], len(nodes))]
+    return _roots(parent, np.arange(len(points)))
 
 
-def _leaf_components(radius: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-        order = np.lexsort((points, ~pdf["own"].to_numpy(dtype=bool)))
+def _cell_links(radius: int):
+    """(fp, root) of the points of a cell that have another within reach."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        points = cell.column("fp").to_numpy().view(np.uint64)
+        side, within = cell.column("side").to_numpy(), cell.column("within")[0].as_py()
+        order = np.lexsort((points, side))
         points = points[order]
-        n_own = int(pdf["own"].sum())
-        forest = Forest(len(points))
-        join_leaf(points, np.arange(n_own), np.arange(n_own, len(points)), radius, forest)
-        root = forest.root
-        many = np.bincount(root, minlength=len(root))[root] > 1
-        return pd.DataFrame({"fp": points.view(np.int64)[many], "leaf": int(pdf["leaf"].iloc[0]), "root": points.view(np.int64)[root[many]]})
+        n = int((side == 0).sum())
+        root = join_leaf(points, np.arange(n), np.arange(n, len(points)), radius, within)
+        linked = np.flatnonzero(points[root] != points)
+        return pa.Table.from_arrays([pa.array(points[x].view(np.int64)) for x in (linked, root[linked])], names=["fp", "root"])
 
     return run
 
 
+def cells(dealt: DataFrame, most: int = LEAF) -> DataFrame:
+    """dealt (leaf, fp, own) by cell (leaf, a, b), with no cell much beyond twice `most` rows.
+
+    A leaf's own points, and the queries sent to it, are dealt to blocks of about `most`. Own block a
+    meets each query block, and each other own block, in a cell of its own; the cell with the first
+    query block also compares the block with itself.
+    """
+    blocks = lambda n: F.ceil(n / F.lit(most)).cast("int")
+    sizes = dealt.groupBy("leaf").agg(F.greatest(F.lit(1), blocks(F.sum(F.col("own").cast("long")))).alias("n_own"), F.greatest(F.lit(1), blocks(F.sum((~F.col("own")).cast("long")))).alias("n_asked"))
+    # A row for each leaf, of which there is one to about `most` fingerprints.
+    placed = dealt.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("fp"), F.when(F.col("own"), F.col("n_own")).otherwise(F.col("n_asked"))).cast("int"))
+
+    def cell(a: Column, b: Column, side: int) -> Column:
+        return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(side).alias("side"), (b == F.col("n_own")).alias("within"))
+
+    def up_to(n: Column, make) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: k < n), make)
+
+    block, n_own = F.col("block"), F.col("n_own")
+    own = F.concat(
+        up_to(F.col("n_asked"), lambda k: cell(block, n_own + k, 0)),
+        up_to(n_own - block - 1, lambda k: cell(block, block + 1 + k, 0)),
+        up_to(block, lambda k: cell(k, block, 1)),
+    )
+    asked = up_to(n_own, lambda k: cell(k, n_own + block, 1))
+    return placed.select("leaf", "fp", F.explode(F.when(F.col("own"), own).otherwise(asked)).alias("c")).select("leaf", "fp", "c.*")
+
+
 def hamming_components(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """(fp, root) for each of the n distinct fingerprints that has another within reach; root names its component."""
     spark = ready(distinct.sparkSession)
@@ -230,28 +241,31 @@ def hamming_components(distinct: DataFrame, n: int, radius: int = RADIUS) -> Dat
             for leaf, x, own in route(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), tree.value, radius):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), leaf, dtype=np.int32)), pa.array(x.view(np.int64)), pa.array(np.full(len(x), own))], names=["leaf", "fp", "own"])
 
-    dealt = distinct.select("fp").mapInArrow(deal, "leaf int, fp long, own boolean")
-    local = cut(dealt.groupBy("leaf").applyInPandas(_leaf_components(radius), "fp long, leaf int, root long").withColumn("part", F.struct("leaf", "root")).select("fp", "part"))
-    first = local.groupBy("fp").agg(F.min("part").alias("first"))
-    shared = local.join(first, "fp").where("part <> first").select(F.col("part").alias("a"), F.col("first").alias("b"))
-    roots = connected_components(shared)
-    return first.join(roots, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("root", "first").alias("root"))
+    dealt = cut(distinct.select("fp").mapInArrow(deal, "leaf int, fp long, own boolean"))
+    links = cells(dealt).groupBy("leaf", "a", "b").applyInArrow(_cell_links(radius), "fp long, root long")
+    return connected_components(links, "fp", "root").select(F.col("node").alias("fp"), "root")
 
 
-def components(prints: DataFrame, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
-    """prints (id_col, fp, ...) with component_id: the smallest id reachable over fingerprints within radius."""
-    prints = cut(prints)
+def print_components(prints: DataFrame, radius: int = RADIUS, id_col: str = "doc_id") -> tuple[DataFrame, int, int]:
+    """(fp, component_id, copies) of the distinct fingerprints; how many these are, and how many rows."""
     distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies")))
     size = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
-    found = hamming_components(distinct, size["n"], radius)
-    joined = cut(distinct.join(found, "fp", "left"))
-    lowest = joined.where("root is not null").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    # A root stands for distinct fingerprints, copies are merged; members meet at their root by a skew-safe join.
+    n = size["n"]
+    distinct = distinct.coalesce(parts_for(n))
+    found = hamming_components(distinct, n, radius)
+    joined = cut(distinct.join(maybe_broadcast(found, n, 64), "fp", "left"))
     members = joined.where("root is not null")
-    sizes = members.groupBy("root").agg(F.count("*").alias("members"))
-    linked = join_with_hot_keys(members, lowest.join(sizes, "root"), "root", "members", size["n"])
-    by_print = linked.select("fp", "component_id", "copies").unionByName(joined.where("root is null").select("fp", F.col("first_id").alias("component_id"), "copies"))
-    return join_with_hot_keys(prints, cut(by_print), "fp", "copies", size["rows"])
+    lowest = cut(members.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")))
+    linked = lookup(members, lowest, "root", n, 64, "members", n)
+    alone = joined.where("root is null").select("fp", F.col("first_id").alias("component_id"), "copies")
+    return cut(linked.select("fp", "component_id", "copies").unionByName(alone)), n, size["rows"]
+
+
+def components(prints: DataFrame, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
+    """prints (id_col, fp, ...) with component_id (replaced where prints has one): the smallest id reachable over fingerprints within radius."""
+    prints = cut(prints.drop("component_id"))
+    by_print, n, rows = print_components(prints, radius, id_col)
+    return lookup(prints, by_print, "fp", n, 64, "copies", rows)
 
 
 def query(docs: DataFrame) -> DataFrame:

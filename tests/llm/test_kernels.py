@@ -15,9 +15,8 @@ def test_token_ids_are_those_of_the_json_vocabulary():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = ["", " a", "a  b", "a\nb", "don't 'll x's", "<|endoftext|> a <|endoftext|>", "x y", "　", "a 1234 5,6 !!", "é ñ ü ß", "emoji 😀 😀a", "a\x85b", "tab\tx", "你好 世界", None]
-    for text, ids in zip(texts, packing.token_ids(texts, packing.vocabulary_path())):
+    for text, ids in zip(texts, packing.token_ids(texts, packing.vocabulary_path(), added=True)):
         assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -88,15 +87,36 @@ def test_leaf_links_are_those_of_all_pairs(n):
     points = np.unique(points)
     own = np.arange(len(points) // 2)
     queries = np.arange(len(points) // 2, len(points))
-    forest = simhash.Forest(len(points))
-    simhash.join_leaf(points, own, queries, 3, forest, base=64)
-    want = simhash.Forest(len(points))
-    for i in own:
-        near = np.flatnonzero(np.bitwise_count(points ^ points[i]) <= 3)
-        want.link(np.full(len(near), i), near)
+    got = simhash.join_leaf(points, own, queries, 3, base=64)
+    i, j = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, own]) <= 3) if n else (own, own)
+    want = simhash.least_reachable(i, j, len(points))
     label = {}
-    assert all(label.setdefault(a, b) == b for a, b in zip(forest.root.tolist(), want.root.tolist()))
-    assert len(set(forest.root.tolist())) == len(set(want.root.tolist()))
+    assert all(label.setdefault(a, b) == b for a, b in zip(got.tolist(), want.tolist()))
+    assert len(set(got.tolist())) == len(set(want.tolist()))
+    across = simhash.join_leaf(points, own, queries, 3, within=False, base=64)
+    far = i >= len(own)
+    want = simhash.least_reachable(i[far], j[far], len(points))
+    assert len(set(across.tolist())) == len(set(want.tolist())) and len({*zip(across.tolist(), want.tolist())}) == len(set(want.tolist()))
+
+
+@pytest.mark.parametrize("most", [24_000, 150])
+def test_cells_are_bounded_and_join_what_all_pairs_join(spark, monkeypatch, most):
+    rnd = np.random.default_rng(8)
+    points = rnd.integers(0, 1 << 62, 1500)
+    points[1000:] = points[:500] ^ (1 << rnd.integers(0, 62, 500))
+    real, seen = simhash.cells, []
+
+    def cells(dealt):
+        made = real(dealt, most)
+        seen.append(made.groupBy("leaf", "a", "b").count().agg(simhash.F.max("count")).first()[0])
+        return made
+
+    monkeypatch.setattr(simhash, "cells", cells)
+    rows = simhash.ready(spark).createDataFrame(list(enumerate(points.tolist())), "doc_id long, fp long")
+    got = {r.doc_id: r.component_id for r in simhash.components(rows).collect()}
+    i, j = np.nonzero(np.bitwise_count(points.view(np.uint64)[:, None] ^ points.view(np.uint64)[None, :]) <= 3)
+    assert [got[k] for k in range(1500)] == simhash.least_reachable(i, j, 1500).tolist()
+    assert most > 1000 or seen[0] <= 3 * most
 
 
 def test_routing_meets_every_close_pair():
