@@ -293,9 +293,9 @@ def test_pseudonyms(spark, docs, texts, odd, empty):
 def test_surrogates_are_distinct_and_settled(spark):
     ready(spark)
     people = spark.createDataFrame([(i, f"Mr. {n} called") for i, n in enumerate(f"{a}{b}" for a in ("Al", "Bo", "Cy", "Da", "Ed") for b in [chr(97 + x) + chr(97 + y) for x in range(26) for y in range(26)])], "doc_id long, text string")
-    out = [r.text for r in pii.pseudonymise(people).collect()]
+    out = [r.text for r in pii.pseudonymise(people, b"k").collect()]
     assert len(set(out)) == people.count()
-    again = {r.doc_id: r.text for r in pii.pseudonymise(people.repartition(7)).collect()}
+    again = {r.doc_id: r.text for r in pii.pseudonymise(people.repartition(7), b"k").collect()}
     assert sorted(again.values()) == sorted(out)
 
 
