@@ -5,31 +5,44 @@ gives its windows of `window` consecutive words (an item with fewer words, but n
 window). Each text is normalised and scanned once; hits are mapped back to word numbers and to
 code points of the original text.
 
-The automaton is built in each Python worker from the items. Items beyond AUTOMATON_BYTES of
-text are dealt to further automata of the same bound, which scan one after the other in the
-same stage; nothing is left out and no shuffle is added.
-
-Nulls: a null text or item has no words. Empty tables, repeated items and repeated rows are
-plain cases: every row is judged by itself, item ids are counted once. A column named like an
-output column is replaced by the output.
+The automaton holds an item's chunks of about half a window, end to end: every window holds one
+of them whole, so each occurrence of a window is found by a chunk and settled by comparing the
+words on both sides. The automaton is then as large as the items, not thirteen times as large.
+
+A worker process builds it once and holds one at a time. Items are streamed to the driver in blocks
+of at most AUTOMATON_BYTES. One block is scanned in a narrow pass that adds the result to each row.
+With more blocks, each is scanned in a job of its own which keeps only the hits; these are then
+joined to the rows by two hashes of the id and the text.
+
+Nulls: a null text or item has no words; an item whose id is null counts for n_hit, but not for
+n_items and items_sha256, as it has no id to list. Very long texts, empty tables, repeated items and
+repeated rows are plain cases: every row is judged by itself, item ids are counted once. A column
+named like an output column is replaced by the output.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.common import ready
+from fathom.llm.common import cut, maybe_broadcast, ready
 
 WINDOW = 13
-AUTOMATON_BYTES = 8 << 20
+#: Bytes of item text in one automaton; it takes some fifty times as much of a worker's memory.
+AUTOMATON_BYTES = 4 << 20
+#: Texts that a worker holds as Python objects at a time.
+SLICE = 256
 
 # ASCII bytes that are part of words; bytes from 0x80 are as well.
 WORD_BYTES = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -47,59 +60,85 @@ def normalised(text: str | None) -> list[bytes]:
     return [w for w in words(text) if w]
 
 
-def windows(item: str | None, size: int) -> list[str]:
-    w = normalised(item)
-    spans = range(max(1, len(w) - size + 1)) if w else ()
-    return [" " + b" ".join(w[i : i + size]).decode("utf-8", "surrogatepass") + " " for i in spans]
-
-
 class Scanner:
-    """One automaton; scan() gives the hit words and the items whose windows occur in a text."""
+    """One automaton; scan() gives the runs of words that hold windows, with the items that they come from."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.automaton = ahocorasick.Automaton()
-        owners: dict[str, set[str]] = {}
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        ids: dict[tuple[bytes, ...], set[str | None]] = {}
+        known: dict[bytes, bytes] = {}
         for item_id, text in items:
-            for w in windows(text, window):
-                owners.setdefault(w, set()).add(item_id)
-        for w, ids in owners.items():
-            self.automaton.add_word(w, (w.count(" ") - 1, tuple(ids)))
-        self.any = bool(owners)
-        if self.any:
+            if w := normalised(text):
+                ids.setdefault(tuple(known.setdefault(x, x) for x in w), set()).add(item_id)
+        self.items, self.ids = list(ids), [tuple(x) for x in ids.values()]
+        self.least = [min(window, len(w)) for w in self.items]
+        owners: dict[str, tuple[int, list[tuple[int, int]]]] = {}
+        for k, w in enumerate(self.items):
+            n = (self.least[k] + 1) // 2
+            for at in range(0, len(w) - n + 1, n):
+                line = " " + b" ".join(w[at : at + n]).decode("utf-8", "surrogatepass") + " "
+                owners.setdefault(line, (n, []))[1].append((k, at))
+        self.automaton = ahocorasick.Automaton()
+        for line, owner in owners.items():
+            self.automaton.add_word(line, owner)
+        if owners:
             self.automaton.make_automaton()
 
-    def scan(self, line: str) -> list[tuple[int, int, tuple[str, ...]]]:
-        """(first word, end word, items) of each occurrence in ' w1 w2 ... '."""
-        if not self.any:
+    def scan(self, words: list[bytes]) -> list[tuple[int, int, tuple[str | None, ...]]]:
+        """(first word, end word, items) of the longest common runs that hold a window."""
+        if not self.items or not words:
             return []
-        found = list(self.automaton.iter(line))
-        if not found:
+        line = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
+        hits = list(self.automaton.iter(line))
+        if not hits:
             return []
-        # A window ends at the space before the next word; the spaces up to there count its words.
+        # A chunk ends at the space before the next word; the spaces up to there count its words.
         spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4") == 0x20)
-        ends = np.searchsorted(spaces, [e for e, _ in found])
-        return [(int(e) - n, int(e), ids) for e, (_, (n, ids)) in zip(ends, found)]
-
-
-def judge(text: str | None, scanners: list[Scanner], min_share: int = 20) -> tuple:
+        ends = np.searchsorted(spaces, [e for e, _ in hits]).tolist()
+        done: dict[tuple[int, int], int] = {}
+        found = []
+        for end, (_, (n, owners)) in sorted(zip(ends, hits), key=lambda x: x[0]):
+            for k, at in owners:
+                first = end - n
+                if done.get((k, first - at), -1) >= end:
+                    continue
+                item, a, b = self.items[k], first, end
+                while a and a - first + at and words[a - 1] == item[a - 1 - first + at]:
+                    a -= 1
+                while b < len(words) and b - first + at < len(item) and words[b] == item[b - first + at]:
+                    b += 1
+                done[k, first - at] = b
+                if b - a >= self.least[k]:
+                    found.append((a, b, self.ids[k]))
+        return found
+
+
+_HELD: dict[str, Scanner] = {}
+
+
+def scanner_of(name: str, items: list[tuple[str | None, str]], window: int) -> Scanner:
+    """This process's automaton of a block; that of another block goes first."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Scanner(items, window)
+    return _HELD[name]
+
+
+def judge(text: str | None, found: list[tuple], min_share: int = 20) -> tuple:
+    """The output columns of a text with its runs (first word, end word, items)."""
     w = normalised(text)
-    n, hit, ids, spans = len(w), 0, set(), []
-    if n:
-        line = " " + b" ".join(w).decode("utf-8", "surrogatepass") + " "
-        found = [x for s in scanners for x in s.scan(line)]
-        if found:
-            merged: list[list[int]] = []
-            for a, b, own in sorted(found):
-                ids.update(own)
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            hit = sum(b - a for a, b in merged)
-            at = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
-            spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in merged]
+    ids, merged, spans = set(), [], []
+    for a, b, own in sorted(found, key=lambda x: x[:2]):
+        ids.update(x for x in own if x is not None)
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    hit = sum(b - a for a, b in merged)
+    if merged:
+        at = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
+        spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in merged]
     digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-    return n, hit, len(ids), digest, hit > 0 and min_share * hit >= n, spans
+    return len(w), hit, len(ids), digest, hit > 0 and min_share * hit >= len(w), spans
 
 
 OUT = T.StructType(
@@ -117,33 +156,76 @@ _ARROW = pa.schema(
 )
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = AUTOMATON_BYTES) -> list[list[tuple[str, str]]]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = AUTOMATON_BYTES) -> Iterator[list[tuple[str | None, str]]]:
     """The items, streamed to the driver in blocks of a bounded size (a longer item is a block of its own)."""
-    blocks, room = [[]], most
-    for row in benchmark.select(id_col, text_col).toLocalIterator():
+    block, room = [], most
+    for row in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
         if row[1]:
-            if (n := len(row[1].encode("utf-8", "surrogatepass"))) > room and blocks[-1]:
-                blocks.append([])
-                room = most
+            if (n := len(row[1].encode("utf-8", "surrogatepass"))) > room and block:
+                yield block
+                block, room = [], most
             room -= n
-            blocks[-1].append((str(row[0]), row[1]))
-    return blocks
+            block.append((row[0], row[1]))
+    yield block
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
+
+
+def _judged(batch: pa.RecordBatch, columns: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    made = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(_ARROW)]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], names=[*columns, *_ARROW.names])
+
+
+_HITS = "k1 long, k2 long, first long, end long, items array<string>"
+
+
+def block_hits(keyed: DataFrame, block: list[tuple[str | None, str]], window: int) -> DataFrame:
+    """(k1, k2, first, end, items) of the hits of one block of items in keyed (k1, k2, text)."""
+    shared, name = keyed.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = scanner_of(name, shared.value, window)
+        for b in _slices(batches):
+            rows = [(k1, k2, *x) for k1, k2, t in zip(*(c.to_pylist() for c in b.columns)) for x in scanner.scan(normalised(t))]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["k1", "k2", "first", "end", "items"])
+
+    hits = cut(keyed.select("k1", "k2", "text").mapInArrow(scan, _HITS).distinct())
+    shared.unpersist()
+    return hits
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated and hit_spans (code points)."""
     spark = ready(docs.sparkSession)
     docs = docs.drop(*OUT.names)
-    shared = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, item_id, item_text)]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanners = [Scanner(b.value, window) for b in shared]
-        for batch in batches:
-            rows = [judge(t, scanners) for t in batch.column(text_col).to_pylist()]
-            made = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(_ARROW)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *_ARROW.names])
-
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, *OUT.fields]))
+    columns, schema = docs.columns, T.StructType([*docs.schema.fields, *OUT.fields])
+    blocks = item_blocks(benchmark, item_id, item_text)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        shared, name = spark.sparkContext.broadcast(first), uuid.uuid4().hex
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = scanner_of(name, shared.value, window)
+            for b in _slices(batches):
+                yield _judged(b, columns, [judge(t, scanner.scan(normalised(t))) for t in b.column(text_col).to_pylist()])
+
+        return docs.mapInArrow(scan, schema)
+    body = [c for c, t in docs.dtypes if t != "void" and not t.startswith(("map", "variant"))]
+    keyed = docs.withColumn("_k1", F.xxhash64(*body)).withColumn("_k2", F.xxhash64(F.lit(1), *body))
+    plain = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col(text_col).alias("text"))
+    hits = reduce(DataFrame.unionByName, [block_hits(plain, b, window) for b in chain([first, second], blocks)])
+    found = cut(hits.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list(F.struct("first", "end", "items")).alias("_found")))
+    size = found.agg(F.coalesce(F.sum(F.size("_found")), F.lit(0))).first()[0]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            rows = [judge(t, [(x["first"], x["end"], x["items"]) for x in f or ()]) for t, f in zip(b.column(text_col).to_pylist(), b.column("_found").to_pylist())]
+            yield _judged(b, columns, rows)
+
+    return keyed.join(maybe_broadcast(found, size, 256), ["_k1", "_k2"], "left").select(*columns, "_found").mapInArrow(settle, schema)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

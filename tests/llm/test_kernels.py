@@ -144,15 +144,19 @@ def test_likeness_of_sketches():
     assert near_copies.sketch(None) == (0, b"", []) and near_copies.sketch("a")[0] == 1
 
 
+def judged(text, scanner):
+    return decontaminate.judge(text, scanner.scan(decontaminate.normalised(text)))
+
+
 def test_contamination_by_hand():
     items = [("1", "A b c"), ("2", " ".join(f"q{i}" for i in range(15))), ("3", None), ("4", "!!")]
     scanner = decontaminate.Scanner([(i, t) for i, t in items if t], 13)
-    n, hit, k, _, bad, spans = decontaminate.judge("x a  B, c y", [scanner])
+    n, hit, k, _, bad, spans = judged("x a  B, c y", scanner)
     assert (n, hit, k, bad) == (5, 3, 1, True) and spans == [{"start": 2, "end": 9}]
     text = " ".join(f"q{i}" for i in range(15))
-    assert decontaminate.judge("Z " + text + " z", [scanner])[:3] == (17, 15, 1)
-    assert decontaminate.judge(" ".join(f"q{i}" for i in range(12)), [scanner])[:3] == (12, 0, 0)
-    assert decontaminate.judge(None, [scanner])[:3] == (0, 0, 0)
+    assert judged("Z " + text + " z", scanner)[:3] == (17, 15, 1)
+    assert judged(" ".join(f"q{i}" for i in range(12)), scanner)[:3] == (12, 0, 0)
+    assert judged(None, scanner)[:3] == (0, 0, 0)
 
 
 def test_contamination_against_all_windows():
@@ -170,7 +174,14 @@ def test_contamination_against_all_windows():
                     if w[j : j + len(p)] == p:
                         hit |= set(range(j, j + len(p)))
                         ids.add(i)
-        assert decontaminate.judge("  ".join(w), [scanner])[:3] == (len(w), len(hit), len(ids))
+        assert judged("  ".join(w), scanner)[:3] == (len(w), len(hit), len(ids))
+
+
+def test_a_long_shared_passage_is_compared_once():
+    words = [f"w{i}" for i in range(60_000)]
+    scanner = decontaminate.Scanner([("a", " ".join(words)), ("b", " ".join(words[100:150])), (None, " ".join(words[-13:]))], 13)
+    text = " ".join(["x", *words, "y"])
+    assert judged(text, scanner)[:3] == (60_002, 60_000, 2)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>

@@ -166,7 +166,7 @@ def test_blocks_of_items_find_the_same(monkeypatch, spark, sf, docs):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.query(docs, bench).collect()))
     real = decontaminate.item_blocks
-    monkeypatch.setattr(decontaminate, "item_blocks", lambda *a: real(*a, most=500))
+    monkeypatch.setattr(decontaminate, "item_blocks", lambda *a: real(*a, most=1500))
     assert sorted(map(tuple, decontaminate.query(docs, bench).collect())) == whole
 
 
