@@ -19,12 +19,13 @@ input that bear the name of an output column are replaced.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm.common import let, running
+
 # The patterns; group 2 of the first is the secret.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -55,26 +56,6 @@ ALLOWED = (
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is made once, however often body has it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """The running sums (or another associative op) of an array, in doubling steps."""
-
-    def made(first: Column) -> Column:
-        steps = F.ceil(F.log2(F.greatest(F.size(first), F.lit(2)))).cast("int")
-
-        def step(acc: Column, k: Column) -> Column:
-            back = F.call_function("shiftleft", F.lit(1), k)
-            return F.transform(acc, lambda x, i: F.when(i >= back, op(F.get(acc, i - back), x)).otherwise(x))
-
-        return F.aggregate(F.sequence(F.lit(0), steps - 1), first, step)
-
-    return let(values, made)
-
-
 def spans(text: Column, pattern: str, keep: int | None = None, group: int = 0) -> Column:
     """array<struct<start,end,text>> of the leftmost matches; keep: least length of the group."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
