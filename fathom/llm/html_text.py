@@ -1,18 +1,21 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of block elements; inline markup is transparent. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are cut away by element,
-role and class name. For every block, the density is characters per tag, damped by its share of
-link text against the body's; a block's density sum is that of its children. The block with the
-greatest sum is the heart of the page, the least density on its path to the body is the
-threshold, and every block whose density reaches it gives its own greatest subtree as well. The
-lowest block that holds all of these is the article. If the heart lies in an article or main
-element, that element is taken whole. Blocks that are mostly a list of links count as menus.
+A page becomes a tree of block elements; inline markup is transparent but counted. For every block
+that a reader sees, menus and adverts included, the density is characters per tag, damped by its
+share of link text against the body's; a block's density sum is that of its children. The block with
+the greatest sum is the heart of the page, and the least density on its path to the body is the
+threshold: other blocks that reach it, and whose greatest subtree has a sum of a comparable size, belong
+to the article as well, which is the lowest block that holds them all. A heading before it is part of it.
+
+Inside what density has chosen, menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments are left out by element, role and class name, and blocks that are mostly a list of links; such
+blocks can't be the heart either (comments may be denser than the article). Scripts, styles and
+hidden elements are never read.
 
 Null or empty html, and pages without text, give an empty text. Unclosed, crossing and cut-off
 markup is read as far as it goes. Depth is bounded by an explicit stack, so any nesting is read.
-Rows are judged one by one: repeated rows, ties and empty tables are plain cases. Columns named
-text or n_chars in the input are replaced.
+Rows are judged one by one: very long pages, repeated rows, ties (the first block wins) and empty
+tables are plain cases. Columns named text or n_chars in the input are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video xmp noembed noframes select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+#: Another block belongs to the article if its greatest density sum is at least this share of the heart's.
+COMPARABLE = 0.25
+#: Another block belongs to the article if its greatest density sum is at least this share of the heart's.
+COMPARABLE = 0.25
 #: A start tag in the key closes an open tag in the value, up to its list or table.
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol menu dl table body article section div main".split())
@@ -51,30 +58,28 @@ _ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]
 
 
 class Block:
-    __slots__ = ("tag", "parent", "kids", "chars", "links", "tags", "link_tags", "total", "density", "gone")
+    __slots__ = ("tag", "parent", "kids", "chars", "links", "tags", "link_tags", "total", "density", "gone", "unseen")
 
-    def __init__(self, tag: str, parent: "Block | None", gone: bool = False):
-        self.tag, self.parent, self.kids, self.gone = tag, parent, [], gone
+    def __init__(self, tag: str, parent: "Block | None", gone: bool = False, unseen: bool = False):
+        self.tag, self.parent, self.kids, self.gone, self.unseen = tag, parent, [], gone or unseen, unseen
         self.chars = self.links = self.tags = self.link_tags = 0
         self.total = self.density = 0.0
 
 
-def unwanted(tag: str, raw: str) -> bool:
-    if tag in ASIDE:
-        return True
+def unwanted(tag: str, raw: str) -> tuple[bool, bool]:
+    """Whether an element isn't part of an article, and whether it isn't shown at all."""
+    if tag == "head":
+        return True, True
+    aside = tag in ASIDE
     if not raw or "=" not in raw:
-        return raw != "" and re.search(r"(?:^|\s)hidden(?:\s|$)", raw) is not None
+        return aside, raw != "" and re.search(r"(?:^|\s)hidden(?:\s|$)", raw) is not None
     for name, *values in _ATTR.findall(raw):
         name, value = name.lower(), html.unescape("".join(values))
-        if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMES.search(_CAMEL.sub("-", value)):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name == "hidden":
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return True, True
+        if name == "role" and value.lower() in ROLES or name in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMES.search(_CAMEL.sub("-", value)):
+            aside = True
+    return aside, False
 
 
 def parse(page: str) -> Block:
@@ -125,11 +130,11 @@ def parse(page: str) -> Block:
             continue
         if tag in INLINE:
             at.tags += 1
-            gone = unwanted(tag, m[3])
+            gone, unseen = unwanted(tag, m[3])
             if tag == "a":
                 links += 1
                 at.link_tags += 1
-            if not gone:
+            if not (gone or unseen):
                 stack.append((tag, None))
                 continue
         closing = ("p",) if tag in CLOSES_P else SAME.get(tag, ())
@@ -145,7 +150,8 @@ def parse(page: str) -> Block:
         if tag in VOID:
             at.tags += 1
             continue
-        block = Block(tag, at, at.gone or unwanted(tag, m[3]))
+        gone, unseen = unwanted(tag, m[3])
+        block = Block(tag, at, at.gone or gone, at.unseen or unseen)
         at.kids.append(block)
         stack.append((tag, block))
         at = block
@@ -153,22 +159,23 @@ def parse(page: str) -> Block:
 
 
 def blocks_of(root: Block) -> list[Block]:
-    """Blocks that weren't cut away, parents first."""
+    """Blocks that a reader sees, parents first."""
     out, stack = [], [root]
     while stack:
         b = stack.pop()
-        if not b.gone:
+        if not b.unseen:
             out.append(b)
             stack += [k for k in reversed(b.kids) if type(k) is Block]
     return out
 
 
 def weigh(order: list[Block]) -> None:
+    """Characters, tags, link-adjusted densities and density sums of all blocks."""
     for b in reversed(order):
         b.tags += 1
         for k in b.kids:
             if type(k) is Block:
-                if not k.gone:
+                if not k.unseen:
                     b.chars += k.chars
                     b.links += k.links
                     b.tags += k.tags
@@ -189,8 +196,17 @@ def weigh(order: list[Block]) -> None:
             b.parent.total += b.density
 
 
-def region(heart: Block, chosen: list[Block], body: Block) -> Block:
-    """The heart's lowest ancestor that holds all the chosen blocks, or more while most of the text is below."""
+def weight(b: Block) -> float:
+    return b.total or b.density * 0.5
+
+
+def weight(b: Block) -> float:
+    return b.total or b.density * 0.5
+
+
+def region(heart: Block, others: list[Block], body: Block) -> Block:
+    """The heart's lowest ancestor that holds the others as well, or more while most of the text is below (but not the body)."""
+
     def above(b: Block) -> list[Block]:
         out = []
         while b is not None and b is not body.parent:
@@ -198,10 +214,9 @@ def region(heart: Block, chosen: list[Block], body: Block) -> Block:
             b = b.parent
         return out
 
-    common = {id(x) for x in above(heart)}
-    for b in chosen:
-        common &= {id(x) for x in above(b)}
-    up = next((x for x in above(heart) if id(x) in common), heart)
+    line = above(heart)
+    at = max((min(i for i, x in enumerate(line) if id(x) in held) for b in others if (held := {id(x) for x in above(b)})), default=0)
+    up = line[at]
     while up.parent is not None and up is not body and up.parent is not body and 2 * up.chars > up.parent.chars:
         up = up.parent
     return up
@@ -211,41 +226,34 @@ def content(root: Block) -> list[Block]:
     """The chosen blocks, in page order, none inside another."""
     order = blocks_of(root)
     weigh(order)
+    links_only = set()
     for b in order:  # lists of links are menus, whatever their names
-        if b.link_tags >= 3 and b.links > 0.7 * b.chars and b.tag in ("ul", "ol", "div", "section", "table", "p", "dl"):
+        if b.gone or id(b.parent) in links_only or b.link_tags >= 3 and b.links > 0.7 * b.chars and b.tag in ("ul", "ol", "div", "section", "table", "p", "dl"):
+            links_only.add(id(b))
             b.gone = True
-    if not order[0].chars:
-        return []
-    body = next((b for b in order if b.tag == "body"), order[0])
-    within = [b for b in blocks_of(body) if b.chars]
-    if not within:
-        body, within = order[0], [b for b in blocks_of(order[0]) if b.chars]
+    body = next((b for b in order if b.tag == "body" and b.chars and not b.gone), order[0])
+    within = [b for b in blocks_of(body) if b.chars and not b.gone]
     if not within:
         return []
-    heart = max(within, key=lambda b: (b.total or b.density * 0.5))
-    path, up = [], heart
-    while up is not None and up is not body.parent:
-        path.append(up)
+    heart = max(within, key=weight)
+    path, up = {id(heart)}, heart
+    threshold = heart.density
+    while up is not body:
         up = up.parent
-    whole = [b for b in path if b.tag in ("article", "main")]
-    if whole:
-        return [whole[-1]]
-    threshold = min(b.density for b in path)
-    chosen = {id(heart)}
+        path.add(id(up))
+        threshold = min(threshold, up.density)
     best: dict[int, Block] = {}
     for b in reversed(within):  # the greatest sum in each subtree
-        top = max([b, *(best[id(k)] for k in b.kids if type(k) is Block and id(k) in best)], key=lambda x: (x.total or x.density * 0.5))
-        best[id(b)] = top
-    for b in within:
-        if b.density >= threshold and b is not body and b is not root:
-            chosen.add(id(best[id(b)]))
-    picked, inside = [], set()
-    chosen = {id(region(heart, [b for b in within if id(b) in chosen], body))}
+        best[id(b)] = max([b, *(best[id(k)] for k in b.kids if type(k) is Block and id(k) in best)], key=weight)
+    others = [best[id(b)] for b in within if id(b) not in path and b.density >= threshold and b.total and weight(best[id(b)]) >= COMPARABLE * weight(heart)]
+    chosen = {id(region(heart, others, body))}
     chosen |= {id(b) for b in within[: within.index(heart)] if b.tag == "h1"}
+    picked, inside = [], set()
     for b in within:
-        if b.parent is not None and id(b.parent) in inside or id(b) in chosen:
-            if b.parent is None or id(b.parent) not in inside:
-                picked.append(b)
+        if b.parent is not None and id(b.parent) in inside:
+            inside.add(id(b))
+        elif id(b) in chosen:
+            picked.append(b)
             inside.add(id(b))
     return picked
 
