@@ -127,17 +127,20 @@ def line_fit(points: DataFrame, keys: list[str], x: str, y: str, weight: str) ->
 
 
 def drop_echoes(lines: DataFrame, id_col: str, key: list[str], along: str, strength: str, reach: float, beside: Column) -> DataFrame:
-    """Lines without a stronger one beside them: a band join by buckets of the along distance, then an anti join.
+    """Lines without a stronger one beside them: one anti join by buckets of the along distance, which stops
+    at a line's first echo and makes no pairs.
 
     `beside` is a condition on the structs p (the line) and q (the other one).
     """
-    body = F.struct(*lines.columns)
     bucket = F.floor(F.col(along) / reach)
-    left = lines.withColumn("_k", F.explode(F.array(bucket - 1, bucket, bucket + 1))).select(*key, "_k", body.alias("p"))
-    right = lines.select(*key, bucket.alias("_k"), body.alias("q"))
+    left = lines.select(*[F.col(c).alias(f"_p_{c}") for c in key], bucket.alias("_p_bucket"), F.struct(*lines.columns).alias("p"))
+    # The other side's copies are narrow where Spark prunes the columns of q that no condition reads.
+    right = lines.select(*[F.col(c).alias(f"_q_{c}") for c in key], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_q_bucket"), F.struct(*[c for c in lines.columns if c != id_col]).alias("q"))
     close = F.abs(F.col(f"p.{along}") - F.col(f"q.{along}")) <= reach
-    echo = left.join(right, [*key, "_k"]).where(close & (F.col(f"q.{strength}") > F.col(f"p.{strength}")) & beside).select("p.*")
-    return lines.join(echo.select(id_col).distinct(), id_col, "left_anti")
+    echo = close & (F.col(f"q.{strength}") > F.col(f"p.{strength}")) & beside
+    for c in [*key, "bucket"]:
+        echo = (F.col(f"_p_{c}") == F.col(f"_q_{c}")) & echo
+    return left.join(right, echo, "left_anti").select("p.*")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, at: str, bucket: float, margin: float = 0.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -12,18 +14,39 @@ def quantile(x: Column | str, p: float) -> Column:
 
 
 def upper_median(x: Column | str) -> Column:
-    """The element at n div 2 of the sorted values."""
+    """The element at n div 2 of the sorted values, for keys of few rows (see order_statistics for others)."""
     items = F.array_sort(F.collect_list(x))
     return F.try_element_at(items, (F.floor(F.size(items) / 2) + 1).cast("int"))
 
 
 def index_percentile(x: Column | str, p: float) -> Column:
-    """The sorted element at min(n-1, floor(n*p))."""
+    """The sorted element at min(n-1, floor(n*p)), for keys of few rows (see order_statistics for others)."""
     items = F.array_sort(F.collect_list(x))
     n = F.size(items)
     return F.try_element_at(items, (F.least(n - 1, F.floor(n * p)) + 1).cast("int"))
 
 
+def order_statistics(df: DataFrame, keys: list[str], value: str | Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(keys, names of ranks): for each name the sorted value at the place (from 0) that its function gives for n.
+
+    Equal values are counted first and the places come from running sums, so that no key's values are
+    ever held in one array. Nulls are left out; a key without values has no row.
+    """
+    counts = df.select(*keys, (F.col(value) if isinstance(value, str) else value).alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    run = counts.withColumn("_run", F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    found = [F.min(F.when(F.col("_run") > F.floor(place(F.col("_n"))), F.col("_v"))).alias(name) for name, place in ranks.items()]
+    return run.groupBy(*keys).agg(*found)
+
+
+def upper_middle(n: Column) -> Column:
+    return F.floor(n / 2)
+
+
+def share_of(p: float) -> Callable[[Column], Column]:
+    return lambda n: F.least(n - 1, F.floor(n * p))
+
+
 def histogram_quantile(df: DataFrame, keys: list[str], value: str, q: float, top: int = 255) -> DataFrame:
     """(keys, level): the smallest rounded, clamped level whose cumulative count exceeds q*n.
 
@@ -58,9 +81,9 @@ def despike(df: DataFrame, keys: list[str], order: list[str], value: str, half:
 
 def mad_z(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """df with z: the distance from the key's upper median in robust standard deviations; null where they are 0."""
-    centre = df.groupBy(*keys).agg(upper_median(value).alias("_centre"))
+    centre = order_statistics(df, keys, value, {"_centre": upper_middle})
     with_centre = df.join(centre, keys)
-    spread = with_centre.groupBy(*keys).agg((1.4826 * upper_median(F.abs(F.col(value) - F.col("_centre")))).alias("_spread"))
+    spread = order_statistics(with_centre, keys, F.abs(F.col(value) - F.col("_centre")), {"_half": upper_middle}).select(*keys, (1.4826 * F.col("_half")).alias("_spread"))
     z = F.when(F.col("_spread") > 0, (F.col(value) - F.col("_centre")) / F.col("_spread"))
     return with_centre.join(spread, keys).withColumn("z", z).drop("_centre", "_spread")
 

@@ -20,9 +20,10 @@ COLUMNS = [
 
 def sample_stats(samples: str):
     """Mean and maximum of a binary column's bytes, from its hex digits."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(samples)), lambda i: F.conv(F.substring(F.hex(samples), 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
-    some = F.when(F.length(samples) > 0, pairs)
-    return F.aggregate(some, F.lit(0), lambda s, x: s + x) / F.size(some), F.array_max(some)
+    pairs = F.when(F.length(samples) > 0, F.regexp_extract_all(F.hex(samples), F.lit(".."), F.lit(0)))
+    total = F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + F.conv(x, 16, 10).cast("long"))
+    # Pairs of digits sort like the numbers that they are.
+    return total / F.length(samples), F.conv(F.array_max(pairs), 16, 10).cast("int")
 
 
 def select_window(frames: DataFrame, channels: list[int], start: float = 0.0, duration: float | None = None) -> DataFrame:

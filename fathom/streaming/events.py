@@ -31,19 +31,20 @@ def interpolate_online(rows: DataFrame, key: str, late: str = "10 minutes", max_
 
     rows have key, ts, id, kind (fix or probe) and value. A key's state is its fixes and the probes
     that still wait for a fix after them; both are dropped once they are older than the gap allows.
-    Rows of a key are expected in order within the watermark's delay.
+    Rows of a key are expected in order within the watermark's delay: a probe that comes later than
+    the fixes kept for it has no value and is left out, like a probe outside the fixes.
     """
     schema = f"{key} string, id long, {time} timestamp, value double"
 
     def run(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fixes, waiting = ([list(x) for x in state.get]) if state.exists else ([], [])
+        fixes, waiting = ([[tuple(r) for r in x] for x in state.get]) if state.exists else ([], [])
         new = [r for p in parts for r in p.itertuples(index=False)]
         for r in sorted(new, key=lambda r: (getattr(r, time), r.kind == "fix")):
             t = getattr(r, time).timestamp()
             if r.kind == "fix":
                 fixes.append((t, float(r.value)))
             else:
-                waiting.append((int(r.id), t))
+                waiting.append((float(r.id), t))
         fixes.sort()
         out, left = [], []
         newest = max([t for t, _ in fixes] + [t for _, t in waiting], default=0.0)
@@ -56,7 +57,7 @@ def interpolate_online(rows: DataFrame, key: str, late: str = "10 minutes", max_
             k = max(1, after)
             if k < len(fixes) and fixes[k - 1][0] <= t and 0 < fixes[k][0] - fixes[k - 1][0] <= max_gap_s:
                 a, b = fixes[k - 1], fixes[k]
-                out.append((name[0], i, pd.Timestamp(t, unit="s"), a[1] + (b[1] - a[1]) * (t - a[0]) / (b[0] - a[0])))
+                out.append((name[0], int(i), pd.Timestamp(t, unit="s"), a[1] + (b[1] - a[1]) * (t - a[0]) / (b[0] - a[0])))
         oldest = min([t for _, t in left], default=newest)
         fixes = [f for k, f in enumerate(fixes) if f[0] >= oldest - max_gap_s or k == len(fixes) - 1]
         state.update(([list(f) for f in fixes], [list(w) for w in left]))

@@ -128,3 +128,33 @@ def test_order_of_rows_does_not_matter(spark):
     base = spark.range(500).select((F.col("id") % 7).alias("k"), F.col("id").alias("o"), F.pmod(F.xxhash64("id"), F.lit(100)).cast("double").alias("v"))
     a, b = (sorted(map(tuple, robust.despike(d, ["k"], ["o"], "v").collect())) for d in (base.repartition(1), base.repartition(13, "v")))
     assert a == b
+
+
+def test_repeated_probes_come_back(spark):
+    from fathom.operators import asof, grid
+
+    probes = spark.createDataFrame([(1, 0.2, 0.3), (1, 0.2, 0.3), (2, 5.0, 5.0)], "id int, x double, y double")
+    points = spark.createDataFrame([(7, 0.0, 0.0), (8, 0.3, 0.3)], "p int, x double, y double")
+    got = asof.nearest_point(probes, points, ("x", "y"), ("x", "y"), "p", 0.5, 1).collect()
+    assert sorted((r.id, r.near and r.near.order) for r in got) == [(1, 8), (1, 8), (2, None)]
+    cells = spark.createDataFrame([(0, 0, 3.0)], "i long, j long, value double")
+    assert sorted((r.id, r.sampled) for r in grid.bilinear(probes, cells, "x", "y", 1.0).collect()) == [(1, 3.0), (1, 3.0), (2, None)]
+
+
+def test_farthest_points_against_a_plain_loop(spark):
+    import math
+    import random
+
+    from fathom.operators import sample
+
+    rnd = random.Random(6)
+    rows = [("a" if i % 3 else "b", i * 11, rnd.random(), rnd.random()) for i in range(120)]
+    got = {(r.k, r.t) for r in sample.farthest_points(spark.createDataFrame(rows, "k string, t long, x double, y double"), ["k"], "x", "y", "t").collect()}
+    want = set()
+    for key in "ab":
+        own = [r for r in rows if r[0] == key]
+        taken = [own[0]]
+        while len(taken) < 8 and (free := [r for r in own if all(abs(r[1] - c[1]) >= 30 for c in taken)]):
+            taken.append(max(free, key=lambda r: min(math.dist(r[2:], c[2:]) for c in taken)))
+        want |= {(key, r[1]) for r in taken}
+    assert got == want
