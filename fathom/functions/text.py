@@ -54,3 +54,43 @@ def side_class(left: Column, right: Column, edge: float = 0.3) -> Column:
     """both when the ends lie on either side beyond the edge; else by the sign of the middle."""
     both = (F.least(left, right) < -edge) & (F.greatest(left, right) > edge)
     return F.when(both, "both").when(left + right < 0, "port").otherwise("starboard")
+
+
+def _two(n: Column) -> Column:
+    return F.lpad(n.cast("string"), 2, "0")
+
+
+def _whole_seconds(s: Column) -> Column:
+    return F.greatest(F.floor(s + 0.5), F.lit(0)).cast("long")
+
+
+def long_duration_text(s: Column) -> Column:
+    """As 1h 02m 03s."""
+    n = _whole_seconds(s)
+    return F.concat(F.floor(n / 3600).cast("string"), F.lit("h "), _two(F.floor(n % 3600 / 60)), F.lit("m "), _two(n % 60), F.lit("s"))
+
+
+def clock_text(s: Column) -> Column:
+    """As 2:03, or 1:02:03 from an hour on."""
+    n = _whole_seconds(s)
+    hours, minutes, rest = F.floor(n / 3600), F.floor(n % 3600 / 60), _two(n % 60)
+    return F.when(hours > 0, F.concat_ws(":", hours.cast("string"), _two(minutes), rest)).otherwise(F.concat_ws(":", minutes.cast("string"), rest))
+
+
+def count_text(n: Column) -> Column:
+    """With commas between thousands; a null is 0."""
+    return F.format_number(F.coalesce(n, F.lit(0)), 0)
+
+
+def size_text(size: Column) -> Column:
+    return F.when(size >= 1e9, F.format_string("%.2f GB", size / 1e9)).otherwise(F.format_string("%.1f MB", size / 1e6))
+
+
+def line_label(detail: Column, direction: Column) -> Column:
+    """The short name of a line that isn't a joint."""
+    return F.when(detail.startswith("open crack"), "Open crack").when(direction == "along", "Crack or step down").otherwise("Crack")
+
+
+def file_role(name: Column) -> Column:
+    """sonar, log, or null for a file that is neither, by its ending in either case."""
+    return F.when(name.rlike(r"(?i)\.sl3$"), "sonar").when(name.rlike(r"(?i)\.bin$"), "log")

@@ -13,9 +13,10 @@ def quantile(x: Column | str, p: float) -> Column:
     return F.percentile(x, p)
 
 
-def upper_median(x: Column | str) -> Column:
+def upper_median(x: Column | str, over: WindowSpec | None = None) -> Column:
     """The element at n div 2 of the sorted values, for keys of few rows (see order_statistics for others)."""
-    items = F.array_sort(F.collect_list(x))
+    held = F.collect_list(x)
+    items = F.array_sort(held.over(over) if over else held)
     return F.try_element_at(items, (F.floor(F.size(items) / 2) + 1).cast("int"))
 
 
@@ -72,6 +73,21 @@ def moving_average(value: str | Column, keys: list[str], order: list[str], half:
     return F.avg(value).over(rows_around(keys, order, half))
 
 
+def symmetric_average(value: str | Column, keys: list[str], order: list[str], half: int) -> Column:
+    """The mean over as many rows on either side, at most half: windows shrink at both ends alike, which so stay in place."""
+    w = Window.partitionBy(*keys)
+    near = F.collect_list(F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(float("nan")))).over(rows_around(keys, order, half))
+    before = F.least(F.row_number().over(w.orderBy(*order)) - 1, F.lit(half))
+    each = F.least(before, F.size(near) - 1 - before)
+    some = F.slice(near, before - each + 1, 2 * each + 1)
+    return F.aggregate(some, F.lit(0.0), lambda s, x: s + x) / (2 * each + 1)
+
+
+def outline_median(value: str | Column, keys: list[str], order: list[str], half: int = 2) -> Column:
+    """The upper median of the rows within half of each row, clipped at the ends."""
+    return upper_median(value, rows_around(keys, order, half))
+
+
 def despike(df: DataFrame, keys: list[str], order: list[str], value: str, half: int = 7, floor: float = 0.5, share: float = 0.25) -> DataFrame:
     """Rows within max(floor, share*median) of the rolling median."""
     med = rolling_median(value, keys, order, half)

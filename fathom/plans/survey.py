@@ -7,6 +7,7 @@ count has to be known first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from fathom.plans.lake import DRAFT_M, accepted_depths
 
 HEADING_S = 2.5
 LEAST_STEP_M, LEAST_COSINE, MOST_RATIO, MOST_LATERAL_M = 0.6, 0.9063, 2.2, 1.0
+LEAST_TURN_M, MOST_TURN_DEG = 0.3, 30.0
 RUN_STEP_M, RUN_STEP_S, LEAST_RUN_M = 1.5, 2.0, 3.0
 REFERENCE_M = 15.0
 FEATURE = "array<struct<kind:string,start:double,end:double,lit:double,height:double,shadow_start:double,shadow_end:double,contrast:double>>"
@@ -60,11 +62,17 @@ def placed_pings(frames: DataFrame, track: DataFrame, sync: DataFrame, time_rang
 
 
 def steady_track(pings: DataFrame) -> DataFrame:
-    """pings near their rolling-median track, in runs of three metres or more, with smoothed headings and along."""
+    """pings near their rolling-median track and in its direction, in runs of three metres or more, with smoothed
+    headings and along. A survey of fewer than ten pings isn't compared with its median track."""
     near = within(KEY, "t", 3)
     mx, my = F.percentile("x", 0.5).over(near), F.percentile("y", 0.5).over(near)
     dx, dy = F.col("x") - F.col("_mx"), F.col("y") - F.col("_my")
-    kept = pings.withColumn("_mx", mx).withColumn("_my", my).where(dx * dx + dy * dy <= RUN_STEP_M * RUN_STEP_M).drop("_mx", "_my")
+    ahead = within(KEY, "t", 1.5)
+    tx, ty = (F.last(c).over(ahead) - F.first(c).over(ahead) for c in ("_mx", "_my"))
+    length = F.sqrt(F.col("_tx") ** 2 + F.col("_ty") ** 2)
+    straight = (length < LEAST_TURN_M) | (F.col("_tx") * F.col("hx") + F.col("_ty") * F.col("hy") > length * math.cos(math.radians(MOST_TURN_DEG)))
+    medians = pings.withColumn("_mx", mx).withColumn("_my", my).withColumn("_few", F.count("*").over(Window.partitionBy(*KEY)) < 10).withColumn("_tx", tx).withColumn("_ty", ty)
+    kept = medians.where(F.col("_few") | (dx * dx + dy * dy <= RUN_STEP_M * RUN_STEP_M) & straight).drop("_mx", "_my", "_tx", "_ty", "_few")
     step = F.sqrt(F.pow(F.col("x") - F.col("prev.x"), 2) + F.pow(F.col("y") - F.col("prev.y"), 2))
     narrow = kept.select("survey", "ping", "t", "x", "y", "hx", "hy")
     cut = session.sessionise(narrow, KEY, ["t", "ping"], (step >= RUN_STEP_M) | (F.col("t") - F.col("prev.t") >= RUN_STEP_S), "run")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.functions import geo, text
+from fathom.functions import geo, steps, text
 from fathom.operators import arrays, asof, graph, grid, robust, sample, session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -645,3 +645,77 @@ def union_all(spark, sf_dir):
     """Set operations: UNION ALL with filters on both sides."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     return e.where("event_type = 'click'").unionByName(e.where("event_type = 'view' and value > 100")).select("event_id", "event_type")
+
+
+@query(
+    """with r as (select event_id, value, row_number() over w as j, list(value) over (partition by user_id order by ts, event_id rows between 4 preceding and 4 following) as near, count(*) over (partition by user_id) as n
+  from events window w as (partition by user_id order by ts, event_id)), h as (select *, least(4, j - 1, n - j) as h, least(j - 1, 4) as b from r)
+select event_id, round(list_sum(near[b - h + 1 : b + h + 1]) / (2 * h + 1) + 0.00000123, 5) as smooth from h"""
+)
+def symmetric_smooth(spark, sf_dir):
+    """Means over as many rows on either side, shrinking at both ends alike."""
+    e = table(spark, sf_dir, "events")
+    smooth = robust.symmetric_average("value", ["user_id"], ["ts", "event_id"], 4)
+    return e.select("event_id", smooth.alias("smooth")).select("event_id", F.round(F.col("smooth") + 0.00000123, 5).alias("smooth"))
+
+
+@query("select event_id, x[len(x) // 2 + 1] as median from (select event_id, list_sort(list(value) over (partition by user_id order by ts, event_id rows between 2 preceding and 2 following)) as x from events)")
+def outline_smooth(spark, sf_dir):
+    """Five-point upper medians."""
+    return table(spark, sf_dir, "events").select("event_id", robust.outline_median("value", ["user_id"], ["ts", "event_id"]).alias("median"))
+
+
+@query(
+    """with d as (select o_custkey, date_diff('day', timestamp '1992-01-01', o_orderdate) // 30 as j, max(o_totalprice) / 200000 as v from orders group by all)
+, n as (select *, lead(j) over w as j1, lead(v) over w as v1 from d window w as (partition by o_custkey order by j))
+, f as (select o_custkey, j, v from d union all select o_custkey, j + k, v * (1 - k / (j1 - j)) + v1 * (k / (j1 - j)) from n, range(1, 5) t(k) where j1 - j between 2 and 5 and k < j1 - j)
+select o_custkey, j, cast(least(greatest(floor(v * 110 + 0.5), 0), 255) as integer) as level from f"""
+)
+def fill_gap_rows(spark, sf_dir):
+    """Short gaps between a customer's months are interpolated; brightness in 256 levels."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.floor(F.expr("timestampdiff(DAY, timestamp_ntz'1992-01-01 00:00:00', o_orderdate)") / 30).alias("j"), "o_totalprice")
+    d = o.groupBy("o_custkey", "j").agg((F.max("o_totalprice") / 200000).alias("v"))
+    return session.fill_rows(d, ["o_custkey"], "j", ["v"]).select("o_custkey", "j", session.quantised(F.col("v")).alias("level"))
+
+
+@query(
+    """with o as (select s_suppkey, abs(s_acctbal) + 1 as x from supplier), p as (select s_suppkey, x, x / 7 as raw, power(10.0, floor(log10(x / 7))) as p from o)
+select s_suppkey, round(coalesce(case when p >= raw then p end, case when 2 * p >= raw then 2 * p end, case when 2.5 * p >= raw then 2.5 * p end, case when 5 * p >= raw then 5 * p end, 10 * p), 6) as step,
+  coalesce((select min(c) from (values (0.05), (0.1), (0.2), (0.25), (0.5), (1.0), (2.0), (5.0), (10.0)) t(c) where greatest(x / 100, 0.01) / c <= 12), 20.0)::double as contour,
+  least(greatest(floor(0.3 * 40 / greatest(x / 1000, 0.3) * 2 + 0.5) / 2, 1), 20)::double as exaggeration from p"""
+)
+def axis_steps(spark, sf_dir):
+    """niceStep, contourInterval, defaultExaggeration."""
+    x = F.abs("s_acctbal") + 1
+    none = F.lit(0.0)
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", r6(steps.nice_step(x, 7)).alias("step"), steps.contour_interval(none, x / 100).alias("contour"), steps.default_exaggeration(F.lit(40.0), none, x / 1000).alias("exaggeration")
+    )
+
+
+@query(
+    """with s as (select o_orderkey, cast(floor(o_totalprice / 17 + 0.5) as bigint) as n, o_totalprice * 10000 + 7 as b from orders)
+select o_orderkey, (n // 3600) || 'h ' || lpad(cast(n % 3600 // 60 as varchar), 2, '0') || 'm ' || lpad(cast(n % 60 as varchar), 2, '0') || 's' as duration,
+  case when n >= 3600 then (n // 3600) || ':' || lpad(cast(n % 3600 // 60 as varchar), 2, '0') else cast(n // 60 as varchar) end || ':' || lpad(cast(n % 60 as varchar), 2, '0') as clock,
+  format('{:,}', o_orderkey * 997) as count, case when b >= 1e9 then printf('%.2f GB', b / 1e9) else printf('%.1f MB', b / 1e6) end as size from s"""
+)
+def text_formats(spark, sf_dir):
+    """durationText, clockText, count and sizeText."""
+    s = F.col("o_totalprice") / 17
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", text.long_duration_text(s).alias("duration"), text.clock_text(s).alias("clock"), text.count_text(F.col("o_orderkey") * 997).alias("count"), text.size_text(F.col("o_totalprice") * 10000 + 7).alias("size")
+    )
+
+
+@query("select user_id, max(case when t < 1.7e9 - 0.5 then t end) as before, min(case when t > 1.7e9 + 0.5 then t end) as after from (select user_id, epoch(ts) as t from events) group by all")
+def neighbour_scan(spark, sf_dir):
+    """Each user's events next to a moment."""
+    return session.neighbours(events(spark, sf_dir), ["user_id"], "t", F.lit(1.7e9))
+
+
+@query()
+def route_stretch(spark, sf_dir):
+    """200 units of each user's route around the middle of all events; which moves count depends on all before."""
+    e = events(spark, sf_dir).select("user_id", "event_id", "t", "value")
+    placed = session.route_distance(e, ["user_id"], ["t", "event_id"], "value", "value")
+    return session.stretch(placed, ["user_id"], "t", "along", 200.0, F.lit(1.7e9))

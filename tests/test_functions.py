@@ -158,3 +158,52 @@ def test_farthest_points_against_a_plain_loop(spark):
             taken.append(max(free, key=lambda r: min(math.dist(r[2:], c[2:]) for c in taken)))
         want |= {(key, r[1]) for r in taken}
     assert got == want
+
+
+def test_stretches_of_a_route_against_a_plain_walk(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from fathom.operators import session
+
+    rnd = random.Random(8)
+    rows, want = [], {}
+    for key in range(12):
+        t, x, y, own = 0.0, 0.0, 0.0, []
+        for i in range(rnd.choice([2, 30, 200])):
+            t += rnd.random() + 0.1
+            x, y = x + rnd.uniform(-1, 4), y + rnd.uniform(-2, 2)
+            own.append((key, t, x, y))
+        rows += own
+        along, last, base = [0.0], own[0], 0.0
+        for p in own[1:]:
+            d = math.hypot(p[2] - last[2], p[3] - last[3])
+            if d >= 3:
+                base, last, d = base + d, p, 0.0
+            along.append(max(along[-1], base + d))
+        k = min(range(len(own)), key=lambda i: abs(own[i][1] - 20))
+        low, high = along[k] - 30, along[k] + 30
+        if low < 0:
+            low, high = 0.0, min(along[-1], high - low)
+        if high > along[-1]:
+            low, high = max(0.0, low - (high - along[-1])), along[-1]
+
+        def at(d):
+            i = next((i for i in range(1, len(own)) if along[i] >= d), len(own) - 1)
+            f = min(1, max(0, (d - along[i - 1]) / max(1e-9, along[i] - along[i - 1])))
+            return own[i - 1][1] + (own[i][1] - own[i - 1][1]) * f
+
+        want[key] = (at(low), at(high), high - low)
+    placed = session.route_distance(spark.createDataFrame(rows, "k int, t double, x double, y double"), ["k"], ["t"], "x", "y")
+    got = {r.k: (r.start, r.end, r.length) for r in session.stretch(placed, ["k"], "t", "along", 60.0, F.lit(20.0)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_file_roles_and_line_labels(spark):
+    from pyspark.sql import functions as F
+
+    from fathom.functions import text
+
+    df = spark.createDataFrame([("a.SL3", "open crack, 3 cm", "along"), ("b.bin", "line", "along"), ("c.txt", "line", "across")], "f string, d string, r string")
+    assert [tuple(r) for r in df.select(text.file_role(F.col("f")), text.line_label(F.col("d"), F.col("r"))).collect()] == [("sonar", "Open crack"), ("log", "Crack or step down"), (None, "Crack")]
