@@ -43,6 +43,10 @@ SKETCH = 1024
 NEAR = 0.05
 #: Members of a bucket that are compared with as many others at a time, and sketch values of one product.
 BLOCK, COLUMNS = 1024, 4096
+#: Narrow rows that a member of an open bucket stands for when tasks are dealt.
+CELL_WORK = 16
+#: Narrow rows that a row with a sketch stands for.
+SKETCHED = 16
 #: Texts that a worker holds as Python objects at a time.
 SLICE = 128
 _RANDOM = np.random.default_rng(20240229)
@@ -118,21 +122,27 @@ def jaccard(a: str | None, b: str | None, k: int = SHINGLE) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def first_pairs(distinct: DataFrame, rows: int, similarity: float) -> DataFrame:
+def first_pairs(narrow: DataFrame, rows: int, similarity: float) -> DataFrame:
     """(id, part, other, other_part): each content with at most two others of each of its band buckets,
     of similar size and another component."""
-    in_band = distinct.select("id", "n", "part", F.explode("bands").alias("band"))
+    in_band = narrow.select("id", "n", "part", F.explode("bands").alias("band"))
     one = F.struct("id", "n", "part")
-    buckets = cut(in_band.groupBy("band").agg(F.count("*").alias("members"), F.min(one).alias("first"), F.min(F.struct(F.xxhash64("id", "band").alias("h"), one.alias("of"))).alias("drawn")).where("members > 1"))
+    buckets = cut(in_band.groupBy("band").agg(F.count("*").alias("members"), F.min(one).alias("first"), F.min(F.struct(F.xxhash64("id", "band").alias("h"), one.alias("of"))).alias("drawn")).where("members > 1").coalesce(parts_for(rows * BANDS)))
     found = buckets.count()
     buckets = buckets.select("band", "members", F.array("first", "drawn.of").alias("partners")).coalesce(parts_for(found))
     placed = lookup(in_band, buckets, "band", found, 160, "members", rows * BANDS)
     met = placed.where("partners is not null").select("id", "n", "part", F.explode("partners").alias("p"))
     fit = (F.col("id") != F.col("p.id")) & (F.col("part") != F.col("p.part")) & (F.least("n", "p.n") >= similarity * F.greatest("n", "p.n"))
-    return cut(met.where(fit).select("id", "part", F.col("p.id").alias("other"), F.col("p.part").alias("other_part")).distinct())
+    return cut(met.where(fit).select("id", "part", F.col("p.id").alias("other"), F.col("p.part").alias("other_part")).distinct().coalesce(parts_for(rows * BANDS)))
 
 
-def first_links(distinct: DataFrame, rows: int, similarity: float) -> DataFrame:
+def sketches_of(distinct: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
+    """(id, sketch) of the asked ids only: sketches are what is large here, so the rest isn't shuffled."""
+    asked = cut(ids.distinct().coalesce(parts_for(rows)))
+    return distinct.select("id", "sketch").join(maybe_broadcast(asked, asked.count(), 16), "id", "left_semi")
+
+
+def first_links(distinct: DataFrame, narrow: DataFrame, rows: int, similarity: float) -> DataFrame:
     """(a, b): components joined by first pairs that their sketches show to be similar enough."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,14 +151,14 @@ def first_links(distinct: DataFrame, rows: int, similarity: float) -> DataFrame:
             sure = [likeness(x, y) >= similarity + NEAR * (max(len(x), len(y)) >= 4 * SKETCH) for x, y in sketches]
             yield pa.RecordBatch.from_arrays([b.column("part"), b.column("other_part")], names=["a", "b"]).filter(pa.array(sure, type=pa.bool_()))
 
-    pairs = first_pairs(distinct, rows, similarity)
+    pairs = first_pairs(narrow, rows, similarity)
     found = pairs.count()
     pairs = pairs.coalesce(parts_for(found))
-    held = distinct.select("id", "sketch")
+    held = sketches_of(distinct, pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))), rows)
     # A bucket's first member may be the partner of very many; its few sketches are broadcast.
     others = held.withColumnsRenamed({"id": "other", "sketch": "other_sketch"}).join(pairs.groupBy("other").agg(F.count("*").alias("pairs")), "other")
     both = join_with_hot_keys(pairs, others, "other", "pairs", found).join(held, "id")
-    return both.select("part", "other_part", "sketch", "other_sketch").mapInArrow(judge, "a long, b long")
+    return both.select("part", "other_part", "sketch", "other_sketch").mapInArrow(judge, "a long, b long").coalesce(parts_for(SKETCHED * found))
 
 
 def common_values(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -205,17 +215,17 @@ def _compare_cell(similarity: float):
     return run
 
 
-def remaining_links(distinct: DataFrame, moved: DataFrame, rows: int, similarity: float) -> DataFrame:
+def remaining_links(distinct: DataFrame, narrow: DataFrame, moved: DataFrame, rows: int, similarity: float) -> DataFrame:
     """Of all pairs that share a bucket and lie in different groups: (a, b) for groups that sketches join,
     (a, b, id, other) for pairs that only whole texts can settle."""
-    now = lookup_groups(distinct.select("id", "n", "part", "bands"), moved, rows)
+    now = lookup_groups(narrow, moved, rows)
     in_band = cut(now.select("id", "n", "part", F.explode("bands").alias("band"))).coalesce(parts_for(rows * BANDS))
     h = F.xxhash64("id")
     # Buckets of one group need nothing. Of buckets with the same members one is enough.
     mixed = in_band.groupBy("band").agg(
         F.count("*").alias("members"), F.min("part").alias("low"), F.max("part").alias("high"), F.struct(F.count("*"), F.min("id"), F.max("id"), F.bit_xor(h), F.bit_xor(F.xxhash64(h, F.lit(1)))).alias("same")
     ).where("low <> high")
-    mixed = cut(mixed.groupBy("same").agg(F.min(F.struct("band", "members")).alias("of")).select("of.band", "of.members", F.lit(True).alias("open")))
+    mixed = cut(mixed.groupBy("same").agg(F.min(F.struct("band", "members")).alias("of")).select("of.band", "of.members", F.lit(True).alias("open")).coalesce(parts_for(rows * BANDS)))
     found = mixed.count()
     mixed = mixed.coalesce(parts_for(found))
     open_ = cut(lookup(in_band, mixed, "band", found, 64, "members", rows * BANDS).where("open").drop("open"))
@@ -225,15 +235,15 @@ def remaining_links(distinct: DataFrame, moved: DataFrame, rows: int, similarity
     counts = open_.groupBy("band", "part").agg(F.count("*").alias("held"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
     buckets = counts.groupBy("band").agg(F.sum("held").alias("members"), F.max(F.struct("held", "part")).alias("big"))
-    buckets = cut(buckets.select("band", "members", F.col("big.part").alias("big"), blocks(F.col("members") - F.col("big.held")).alias("few"), blocks(F.col("big.held")).alias("many")))
+    buckets = cut(buckets.select("band", "members", F.col("big.part").alias("big"), blocks(F.col("members") - F.col("big.held")).alias("few"), blocks(F.col("big.held")).alias("many")).coalesce(parts_for(left)))
     placed = lookup(open_, buckets.coalesce(parts_for(found)), "band", found, 96, "members", left)
     outside = F.col("part") != F.col("big")
     spread = F.xxhash64("id", "band")
     placed = placed.withColumn("block", F.when(outside, F.pmod(spread, F.col("few"))).otherwise(F.col("few") + F.pmod(spread, F.col("many"))).cast("int"))
     meets = F.sequence(F.lit(0), F.when(outside, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
-    sketched = placed.select("id", "n", "part", "band", "block", meets.alias("meets")).join(distinct.select("id", "sketch"), "id")
+    sketched = placed.select("id", "n", "part", "band", "block", meets.alias("meets")).join(sketches_of(distinct, open_.select("id"), rows), "id")
     celled = sketched.select("id", "n", "part", "band", "block", "sketch", F.explode("meets").alias("with")).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
-    return cut(celled.drop("with").groupBy("band", "i", "j").applyInArrow(_compare_cell(similarity), "a long, b long, id long, other long"))
+    return cut(celled.drop("with").groupBy("band", "i", "j").applyInArrow(_compare_cell(similarity), "a long, b long, id long, other long").coalesce(parts_for(CELL_WORK * left)))
 
 
 def settled_by_texts(doubtful: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -272,10 +282,10 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, id_co
     by_print = by_print.coalesce(parts_for(n)).withColumnRenamed("component_id", "part")
     placed = lookup(seen.select("doc_id", "fp"), by_print, "fp", n, 64, "copies", rows).select("doc_id", "part")
     once = seen.where("n > 0").groupBy("content").agg(*[F.min_by(c, "doc_id").alias(c) for c in ("doc_id", "fp", "n", "sketch", "bands")])
-    distinct = cut(lookup(once.withColumnRenamed("doc_id", "id"), by_print, "fp", n, 64, "copies", rows).select("id", "n", "sketch", "bands", "part"))
-    distinct = distinct.coalesce(parts_for(rows))
-    moved = cut(connected_components(first_links(distinct, rows, similarity)))
-    rest = remaining_links(distinct, moved, rows, similarity)
+    distinct = cut(once.withColumnRenamed("doc_id", "id").drop("content").coalesce(parts_for(SKETCHED * rows)))
+    narrow = cut(lookup(distinct.select("id", "fp", "n", "bands").coalesce(parts_for(4 * rows)), by_print, "fp", n, 64, "copies", rows).select("id", "n", "bands", "part").coalesce(parts_for(4 * rows)))
+    moved = cut(connected_components(first_links(distinct, narrow, rows, similarity)))
+    rest = remaining_links(distinct, narrow, moved, rows, similarity)
     sure = rest.where("id is null").select("a", "b")
     held = moved.select(F.col("node").alias("a"), F.col("root").alias("b"))
     doubtful = rest.where("id is not null")

@@ -141,9 +141,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     if not rows:
         return Model(weights.astype(np.float32), np.array([-10.0, -10.0]))
     sizes = np.array([len(f) for f, _, _ in rows])
-    at = np.concatenate([np.asarray(f, dtype=np.int64) for f, _, _ in rows])
-    times = np.concatenate([np.asarray(n, dtype=np.float64) for _, n, _ in rows])
-    row = np.repeat(np.arange(len(rows)), sizes)
+    # Slots and counts are kept in 32 bits until the few features that tell something are chosen.
+    at = np.concatenate([np.asarray(f, dtype=np.int32) for f, _, _ in rows])
+    times = np.concatenate([np.asarray(n, dtype=np.float32) for _, n, _ in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     y = np.array([g for _, _, g in rows])
     seen = np.bincount(at, minlength=DIMENSIONS)
     told = np.zeros(DIMENSIONS)
@@ -153,7 +154,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
         told = np.maximum(told, np.abs(z))
     limit = min(MOST_TELLING, 0.42 * np.log2(len(rows) + 1))
     used = ((seen >= LEAST_SEEN) & (told >= limit))[at]
-    at, row, times = at[used], row[used], times[used]
+    at, row, times = at[used].astype(np.int64), row[used].astype(np.int64), times[used].astype(np.float64)
     kept, at = np.unique(at, return_inverse=True)
     w = np.zeros(len(kept))
     cuts = np.array([-1.0, 0.0])  # the first threshold, and the log of the step to the second

@@ -242,23 +242,25 @@ def hamming_components(distinct: DataFrame, n: int, radius: int = RADIUS) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), leaf, dtype=np.int32)), pa.array(x.view(np.int64)), pa.array(np.full(len(x), own))], names=["leaf", "fp", "own"])
 
     dealt = cut(distinct.select("fp").mapInArrow(deal, "leaf int, fp long, own boolean"))
-    links = cells(dealt).groupBy("leaf", "a", "b").applyInArrow(_cell_links(radius), "fp long, root long")
+    links = cells(dealt).groupBy("leaf", "a", "b").applyInArrow(_cell_links(radius), "fp long, root long").coalesce(parts_for(dealt.count()))
     return connected_components(links, "fp", "root").select(F.col("node").alias("fp"), "root")
 
 
 def print_components(prints: DataFrame, radius: int = RADIUS, id_col: str = "doc_id") -> tuple[DataFrame, int, int]:
     """(fp, component_id, copies) of the distinct fingerprints; how many these are, and how many rows."""
-    distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies")))
+    # Counted rows bound what comes of them, so results are kept in no more parts than these rows need.
+    most = prints.count()
+    distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies")).coalesce(parts_for(most)))
     size = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
     n = size["n"]
     distinct = distinct.coalesce(parts_for(n))
     found = hamming_components(distinct, n, radius)
-    joined = cut(distinct.join(maybe_broadcast(found, n, 64), "fp", "left"))
+    joined = cut(distinct.join(maybe_broadcast(found, n, 64), "fp", "left").coalesce(parts_for(n)))
     members = joined.where("root is not null")
-    lowest = cut(members.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")))
+    lowest = cut(members.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")).coalesce(parts_for(n)))
     linked = lookup(members, lowest, "root", n, 64, "members", n)
     alone = joined.where("root is null").select("fp", F.col("first_id").alias("component_id"), "copies")
-    return cut(linked.select("fp", "component_id", "copies").unionByName(alone)), n, size["rows"]
+    return cut(linked.select("fp", "component_id", "copies").unionByName(alone).coalesce(parts_for(n))), n, size["rows"]
 
 
 def components(prints: DataFrame, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
