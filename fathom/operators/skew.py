@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows times a generous row width must stay under this for a side to be broadcast.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 #: Narrow rows that a task should have at least; a counted table is read back in no more parts than that.
