@@ -60,16 +60,17 @@ def idw_fill(cells: DataFrame, size: float, radius: float, value: str = "value",
     return filled.where((F.col("n") >= 3) & (F.col("gap") < F.pi() - 0.01)).select(*at, F.col("value").alias(value), "n")
 
 
-def bilinear(probes: DataFrame, cells: DataFrame, x: str, y: str, size: float, value: str = "value", name: str = "sampled") -> DataFrame:
+def bilinear(probes: DataFrame, cells: DataFrame, x: str, y: str, size: float, value: str = "value", name: str = "sampled", keys: list[str] | None = None) -> DataFrame:
     """probes with the value between the present corners of their four cells, weights renormalised; null without any.
-    Equal probes are asked once and come back as often as they were."""
+    Equal probes are asked once and come back as often as they were. With keys, a grid for each key."""
+    at = [*(keys or []), "i", "j"]
     u, v = F.col(x) / size, F.col(y) / size
     corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
     spread = counted(probes).withColumn("_c", F.explode(corners))
     fu, fv = u - F.floor(u), v - F.floor(v)
     weight = F.when(F.col("_c.a") == 1, fu).otherwise(1 - fu) * F.when(F.col("_c.b") == 1, fv).otherwise(1 - fv)
-    spread = spread.select("_probe", "_times", (F.floor(u) + F.col("_c.a")).alias("i"), (F.floor(v) + F.col("_c.b")).alias("j"), weight.alias("_w"))
-    joined = spread.join(cells.select("i", "j", F.col(value).alias("_v")), ["i", "j"], "left")
+    spread = spread.select(*(keys or []), "_probe", "_times", (F.floor(u) + F.col("_c.a")).alias("i"), (F.floor(v) + F.col("_c.b")).alias("j"), weight.alias("_w"))
+    joined = spread.join(cells.select(*at, F.col(value).alias("_v")), at, "left")
     has = F.when(F.col("_v").isNotNull(), F.col("_w"))
     out = joined.groupBy("_probe", "_times").agg(F.sum(F.col("_v") * F.col("_w")).alias("_s"), F.sum(has).alias("_t"))
     return out.select("_probe.*", F.when(F.col("_t") > 0, F.col("_s") / F.col("_t")).alias(name), F.explode(repeats()).alias("_copy")).drop("_copy")

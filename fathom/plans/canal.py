@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.geo import lat_of, lon_of
-from fathom.operators import graph, grid
+from fathom.functions.geo import ground_range, half_up, lat_of, lon_of
+from fathom.operators import asof, graph, grid
 from fathom.operators.signal import RELIEF_STEP
 from fathom.plans import survey as read
 from fathom.plans.align import KEY
@@ -155,16 +156,71 @@ def bank_summary(sides: DataFrame) -> DataFrame:
     return out.where("_share >= 0.5").drop("_share")
 
 
-def mosaic(pings: DataFrame, sides: DataFrame, texel: float) -> DataFrame:
-    """(survey, a, b, value, hits): mean echo of each texel over the bed and banks of both sides."""
-    raw = pings.select("survey", "ping", "x", "y", "hx", "hy", "height", "range_m", F.hex("samples").alias("h"))
-    n = F.length("h") / 4
-    edge = sides.where("not empty").select("survey", "ping", "side", F.when(F.col("open"), F.col("reach")).otherwise(F.col("waterline")).alias("far"))
-    both = raw.join(edge, ["survey", "ping"])
-    each = both.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(n).cast("int") - 1)))
-    place = F.when(F.col("side") == 0, F.floor(n) - 1 - F.col("k")).otherwise(F.floor(n) + F.col("k"))
-    r = (F.col("k") + 0.5) * F.col("range_m") / n
-    each = each.withColumn("v", F.conv(F.substring(F.col("h"), (2 * place + 1).cast("int"), F.lit(2)), 16, 10).cast("int")).withColumn("g", F.sqrt(F.greatest(r * r - F.col("height") * F.col("height"), F.lit(0.0))))
+def mosaic(pings: DataFrame, sides: DataFrame, texel: float, draft_m: float = DRAFT_M) -> DataFrame:
+    """(survey, a, b, value, hits, shade): mean echo of each texel over the bed and banks of both sides, and how many
+    of its echoes lie in a shadow. Echoes in a shadow are spread evenly between its ends on the bed."""
+    pairs = F.regexp_extract_all(F.hex("samples"), F.lit(".."), F.lit(0))
+    raw = pings.select("survey", "ping", "x", "y", "hx", "hy", "height", "range_m", pairs.alias("_s")).where("size(_s) >= 2")
+    far = F.when(F.col("open"), F.col("reach")).otherwise(F.col("waterline"))
+    edge = sides.where("not empty").select("survey", "ping", "side", far.alias("far"), F.when(~F.col("open") & (F.col("toe") < far), F.col("toe")).alias("toe"), "features")
+    n = F.floor(F.size("_s") / 2).cast("int")
+    own = F.when(F.col("side") == 0, F.reverse(F.slice("_s", F.lit(1), n))).otherwise(F.slice("_s", n + 1, n))
+    each = raw.join(edge, ["survey", "ping"]).select("survey", "side", "x", "y", "hx", "hy", "height", "range_m", "far", "toe", "features", n.alias("n"), F.posexplode(own).alias("k", "v"))
+    r = (F.col("k") + 0.5) * F.col("range_m") / F.col("n")
+    top = lambda f: F.col("height") - F.when(f["kind"] == "object", f["height"]).otherwise(0.0)
+    first = lambda f: F.sqrt(f["shadow_start"] * f["shadow_start"] + top(f) * top(f))
+    last = lambda f: F.sqrt(f["shadow_end"] * f["shadow_end"] + F.col("height") * F.col("height"))
+    hit = F.get(F.filter("features", lambda f: (r >= first(f)) & (r < last(f))), F.lit(0))
+    each = each.withColumn("_f", hit)
+    f = F.col("_f")
+    behind = f["shadow_start"] + (f["shadow_end"] - f["shadow_start"]) * (r - first(f)) / (last(f) - first(f))
+    each = each.withColumn("g", F.when(f.isNotNull(), behind).otherwise(ground_range(r, F.col("height"), F.lit(draft_m), F.col("toe"), F.col("far"))))
     sign = F.when(F.col("side") == 0, 1.0).otherwise(-1.0)
-    on = each.where((F.col("g") > 0) & (F.col("g") <= F.col("far"))).select("survey", (F.col("x") - sign * F.col("g") * F.col("hy")).alias("px"), (F.col("y") + sign * F.col("g") * F.col("hx")).alias("py"), "v")
-    return on.groupBy("survey", grid.cell_of("px", texel).alias("a"), grid.cell_of("py", texel).alias("b")).agg(F.avg("v").alias("value"), F.count("*").alias("hits"))
+    on = each.where("g > 0").select("survey", (F.col("x") - sign * F.col("g") * F.col("hy")).alias("px"), (F.col("y") + sign * F.col("g") * F.col("hx")).alias("py"), F.conv("v", 16, 10).cast("int").alias("v"), f.isNotNull().alias("dark"))
+    return on.groupBy("survey", grid.cell_of("px", texel).alias("a"), grid.cell_of("py", texel).alias("b")).agg(F.avg("v").alias("value"), F.count("*").alias("hits"), F.count_if("dark").alias("shade"))
+
+
+def picture(texels: DataFrame, texel: float) -> DataFrame:
+    """(survey, a, b, value, level, shadow) of a mosaic: gaps filled from three of eight neighbours over half a metre,
+    within its bounds; level runs from 0 to 255 between a survey's 2nd and 98th percentile (of values to a
+    hundredth, so that a survey has few different ones); shadow where half the echoes or more lie in one."""
+    box = texels.groupBy("survey").agg(*[f(c).alias(f"_{f.__name__}_{c}") for c in ("a", "b") for f in (F.min, F.max)])
+    held = texels.select("survey", F.col("a").alias("i"), F.col("b").alias("j"), "value")
+    inside = F.col("i").between(F.col("_min_a"), F.col("_max_a")) & F.col("j").between(F.col("_min_b"), F.col("_max_b"))
+    for _ in range(max(2, math.ceil(0.5 / texel))):
+        held = cut(grid.fill_pass(held, reach4=False, least=3, keys=KEY).join(box, "survey").where(inside).select("survey", "i", "j", "value"))
+    ends = held.groupBy("survey").agg(F.percentile(F.round("value", 2), 0.02).alias("_lo"), F.percentile(F.round("value", 2), 0.98).alias("_hi"))
+    level = half_up((F.col("value") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6)) * 255)
+    dark = texels.where("shade * 2 >= hits").select("survey", F.col("a").alias("i"), F.col("b").alias("j"), F.lit(True).alias("_dark"))
+    shown = held.join(ends, "survey").join(dark, ["survey", "i", "j"], "left")
+    return shown.select("survey", F.col("i").alias("a"), F.col("j").alias("b"), "value", F.least(F.greatest(level, F.lit(0)), F.lit(255)).cast("int").alias("level"), F.coalesce("_dark", F.lit(False)).alias("shadow"))
+
+
+def sections(model: CanalModel, points: DataFrame, step: float = 0.1, most: float = 20.0, slack_s: float = 5.0) -> DataFrame:
+    """(columns of points, along, o, depth): the model's depths across the track at selected points (survey, t, ...).
+
+    A point takes the cross-section of the ping nearest in time, from port (positive o) to starboard; one more
+    than slack_s outside its survey's pings, or with fewer than three depths, has no rows.
+    """
+    far = F.least(F.when(F.col("open"), F.col("reach")).otherwise(F.col("waterline") + STRIP_M), F.lit(most))
+    reach = model.sides.groupBy("survey", "ping").agg(*[F.coalesce(F.max(F.when(F.col("side") == k, far)), F.lit(0.0)).alias(n) for k, n in ((0, "port"), (1, "starboard"))])
+    pings = model.pings.select("survey", "ping", "t", "x", "y", "hx", "hy", "along").join(reach, ["survey", "ping"])
+    names = points.columns
+    asked = points.distinct()
+    near = asof.nearest_in_time(asked, pings, KEY, "t", ["x", "y", "hx", "hy", "along", "port", "starboard"], ["ping"])
+    spans = pings.groupBy("survey").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+    near = near.join(spans, "survey").where(F.col("t").between(F.col("_t0") - slack_s, F.col("_t1") + slack_s))
+    offsets = F.transform(F.sequence(F.lit(0), F.floor((F.col("near.port") + F.col("near.starboard")) / step + 1e-9).cast("int")), lambda k: F.col("near.port") - k * step)
+    each = near.withColumn("o", F.explode(offsets))
+    each = each.select(*names, F.col("near.along").alias("along"), "o", (F.col("near.x") - F.col("o") * F.col("near.hy")).alias("_px"), (F.col("near.y") + F.col("o") * F.col("near.hx")).alias("_py"))
+    deep = grid.bilinear(each, model.cells, "_px", "_py", model.cell_m, "depth", "depth", KEY).where("depth is not null")
+    enough = deep.withColumn("_n", F.count("*").over(Window.partitionBy(*names))).where("_n >= 3")
+    return enough.select(*names, "along", "o", "depth")
+
+
+def crossing(found: DataFrame, objects: DataFrame, margin: float = 0.4) -> DataFrame:
+    """(survey, t, id, o): the objects whose extent along the track crosses the sections; o as there."""
+    at = found.select("survey", "t", "along").distinct().withColumn("_m", F.floor("along"))
+    half = F.col("length") / 2 + margin
+    wide = objects.select("survey", "id", "along_m", "length", F.when(F.col("side") == "port", F.col("offset_m")).otherwise(-F.col("offset_m")).alias("o")).withColumn("_m", F.explode(F.sequence(F.floor(F.col("along_m") - half), F.floor(F.col("along_m") + half))))
+    return at.join(wide, ["survey", "_m"]).where(F.abs(F.col("along_m") - F.col("along")) <= half).select("survey", "t", "id", "o")

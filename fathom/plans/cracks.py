@@ -23,6 +23,7 @@ from fathom.session import cut
 STRETCH_M, MARGIN_M = 20.0, 1.0
 MOST_OFFSET_M, MOST_PIXELS = 20.0, 6_000_000
 LEAST_SEGMENT_M, MOST_RMS_M = 0.15, 0.035
+LEAST_JOINT_M, MOST_JOINT_M, JOINT_SPREAD = 1.5, 10.0, 0.15
 RIDGE = "survey string, polarity string, i long, j long, z double, direction int"
 
 
@@ -166,24 +167,23 @@ def without_echoes(lines: DataFrame) -> DataFrame:
 
 
 def _joints(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Marks runs of three or more across-lines with even spacing; a survey has few such lines."""
-    pdf = pdf.sort_values("cy").reset_index(drop=True)
-    at = pdf["cy"].to_numpy()
-    joint = np.zeros(len(pdf), dtype=bool)
+    """The spacing of the lines in runs of three or more with even spacing, longest runs first; a survey has few
+    such lines. Means and deviations of all runs from a line come from running sums."""
+    pdf = pdf.sort_values(["cy", "segment"]).reset_index(drop=True)
+    gaps = np.diff(pdf["cy"].to_numpy())
+    spacing = np.full(len(pdf), np.nan)
     start = 0
     while start < len(pdf) - 2:
-        best = start
-        for end in range(start + 2, len(pdf)):
-            gaps = np.diff(at[start : end + 1])
-            mean = gaps.mean()
-            if 1.5 <= mean <= 10 and gaps.std() / mean <= 0.15:
-                best = end
-        if best > start:
-            joint[start : best + 1] = True
-            start = best + 1
-        else:
-            start += 1
-    return pd.DataFrame({"survey": pdf["survey"], "segment": pdf["segment"], "joint": joint})
+        count = np.arange(1, len(gaps) - start + 1)
+        mean = np.cumsum(gaps[start:]) / count
+        spread = np.sqrt(np.maximum(0, np.cumsum(gaps[start:] ** 2) / count - mean * mean))
+        even = np.flatnonzero((count >= 2) & (mean >= LEAST_JOINT_M) & (mean <= MOST_JOINT_M) & (spread <= JOINT_SPREAD * mean))
+        if len(even):
+            end = start + int(even[-1]) + 1
+            spacing[start : end + 1] = mean[even[-1]]
+            start = end
+        start += 1
+    return pd.DataFrame({"survey": pdf["survey"], "segment": pdf["segment"], "joint_spacing_m": spacing}).dropna()
 
 
 def screen(pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: DataFrame, sensitivity: float = 0.5, least_m: float = 0.6, draft_m: float = 0.2, stretch_m: float = STRETCH_M) -> DataFrame:
@@ -198,7 +198,7 @@ def screen(pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: Data
     kept = cut(without_echoes(lines).where((F.col("length") >= least_m) & (F.col("rms") <= MOST_RMS_M)))
     steep = F.degrees(F.acos(F.least(F.lit(1.0), F.abs(F.sin("angle")))))
     kept = kept.withColumn("angle_deg", F.floor(steep + 0.5).cast("int")).withColumn("direction", text.direction_class(steep))
-    joints = kept.where("direction = 'across'").select("survey", "segment", "cy").groupBy("survey").applyInPandas(_joints, "survey string, segment long, joint boolean")
+    joints = kept.where("direction = 'across' and polarity = 'dark'").select("survey", "segment", "cy").groupBy("survey").applyInPandas(_joints, "survey string, segment long, joint_spacing_m double")
     named = kept.join(joints, ["survey", "segment"], "left").withColumn("side", text.side_class(F.col("x1"), F.col("x2")))
     named = named.withColumn("side", F.when(F.col("side") == "both", "both").when(F.col("cx") >= 0, "port").otherwise("starboard"))
     toes = sides.groupBy("survey", "side").agg(F.percentile("toe", 0.5).alias("_toe")).withColumn("side", F.when(F.col("side") == 0, "port").otherwise("starboard"))
@@ -209,7 +209,7 @@ def screen(pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: Data
     rank = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
     number = F.row_number().over(Window.partitionBy(*KEY).orderBy(rank, F.desc("score"), "segment"))
     return scored.select(
-        "survey", number.alias("id"), F.when(F.coalesce("joint", F.lit(False)), "joint").otherwise("crack").alias("kind"), "polarity", "direction", "angle_deg", F.col("length").alias("length_m"),
+        "survey", number.alias("id"), F.when(F.col("joint_spacing_m").isNotNull(), "joint").otherwise("crack").alias("kind"), "joint_spacing_m", "polarity", "direction", "angle_deg", F.col("length").alias("length_m"),
         "side", F.abs("cx").alias("offset_m"), F.col("cy").alias("along_m"), "score", "contrast", "confidence", "near_toe", "x1", "y1", "x2", "y2",
     )
 

@@ -35,6 +35,17 @@ def select_window(frames: DataFrame, channels: list[int], start: float = 0.0, du
     return keyed.join(first, "survey").where(inside if duration is None else inside & (t < start + duration)).drop("_first")
 
 
+def preview(frames: DataFrame, channel: int, start: float = 0.0, seconds: float = 30.0, columns: int = 540, rows: int = 240) -> DataFrame:
+    """(survey, x, y, value): a channel's echoes in a window as a picture: up to `columns` pings, evenly chosen, each
+    read at `rows` evenly spaced samples. Pings are numbered without their samples, which only the chosen ones get."""
+    inside = select_window(frames, [channel], start, seconds).where("ping_size > 1")
+    chosen = sample.even_sample(inside.select("survey", "offset"), KEY, ["offset"], columns)
+    numbered = sample.ordinal(chosen, KEY, ["offset"], "x").withColumn("x", F.col("x") - 1)
+    each = inside.select("survey", "offset", "samples").join(numbered, ["survey", "offset"]).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    place = F.floor(F.col("y") * (F.length("samples") - 1) / (rows - 1)).cast("int") + 1
+    return each.select("survey", "x", "y", F.conv(F.hex(F.substring("samples", place, F.lit(1))), 16, 10).cast("int").alias("value"))
+
+
 def aligned(frames: DataFrame, track: DataFrame, sync: DataFrame, channels: list[int], start: float = 0.0, duration: float | None = None) -> DataFrame:
     """survey and the 25 columns, one row for each selected ping; frames need their samples."""
     pings = select_window(frames, channels, start, duration).withColumn("t", F.col("time_ms") / 1000)

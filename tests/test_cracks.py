@@ -3,6 +3,8 @@
 import json
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from fathom.plans import cracks
 from fathom.plans import survey as read
@@ -39,3 +41,10 @@ def test_one_crack(spark):
     assert abs(c.offset_m - 3.0) < 0.1 and abs(c.along_m - 3.9) < 0.3 and 1.4 < c.length_m < 2.3 and len(c.lonlat) == 2
     shape = json.loads(cracks.candidates_geojson(found).first().geojson)
     assert shape["features"][0]["properties"]["kind"] == "crack"
+
+
+def test_joints_are_evenly_spaced_runs():
+    at = [0.0, 5.0, 10.1, 14.9, 20.0, 33.0, 33.5, 60.0]
+    got = cracks._joints(pd.DataFrame({"survey": "s", "segment": range(len(at)), "cy": at}))
+    assert sorted(got["segment"]) == [0, 1, 2, 3, 4] and got["joint_spacing_m"].tolist() == pytest.approx([5.0] * 5)
+    assert cracks._joints(pd.DataFrame({"survey": "s", "segment": range(3), "cy": [1.0, 1.0, 1.0]})).empty

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import geo, text
 from fathom.operators import arrays, asof, graph, grid, robust, sample
+from fathom.plans import export
 
 
 def one(spark, *columns):
@@ -207,3 +208,11 @@ def test_file_roles_and_line_labels(spark):
 
     df = spark.createDataFrame([("a.SL3", "open crack, 3 cm", "along"), ("b.bin", "line", "along"), ("c.txt", "line", "across")], "f string, d string, r string")
     assert [tuple(r) for r in df.select(text.file_role(F.col("f")), text.line_label(F.col("d"), F.col("r"))).collect()] == [("sonar", "Open crack"), ("log", "Crack or step down"), (None, "Crack")]
+
+
+def test_preview_picks_pings_and_samples_evenly(spark):
+    rows = [("s", n, n * 1000, 5, 4 if n != 2 else 1, bytes([n, 10 + n, 20 + n, 30 + n]) if n != 2 else b"\x09") for n in range(9)]
+    frames = spark.createDataFrame(rows + [("s", 99, 500, 0, 4, b"abcd")], "survey string, offset long, time_ms long, channel int, ping_size int, samples binary")
+    got = {(r.x, r.y): r.value for r in export.preview(frames, 5, 1.0, 6.0, columns=3, rows=2).collect()}
+    # Pings 1, 3, 4, 5, 6 are in the window with samples; the first, third and fifth are shown.
+    assert got == {(0, 0): 1, (0, 1): 31, (1, 0): 4, (1, 1): 34, (2, 0): 6, (2, 1): 36}
