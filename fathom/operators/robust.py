@@ -131,6 +131,6 @@ def change_point(df: DataFrame, keys: list[str], order: list[str], value: str, l
 
 
 def regression_test(df: DataFrame, keys: list[str], x: str, y: str, least: int = 10) -> DataFrame:
-    """(keys, n, covariance, slope, spread): population moments, for keys with enough rows."""
-    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop(x, y).alias("covariance"), F.var_pop(x).alias("_var"), F.stddev_pop(y).alias("spread"))
+    """(keys, n, covariance, slope, spread, x_spread): population moments, for keys with enough rows."""
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop(x, y).alias("covariance"), F.var_pop(x).alias("_var"), F.stddev_pop(y).alias("spread"), F.stddev_pop(x).alias("x_spread"))
     return out.where(F.col("n") >= least).withColumn("slope", F.when(F.col("_var") > 0, F.col("covariance") / F.col("_var"))).drop("_var")

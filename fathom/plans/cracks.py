@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import geo, text
-from fathom.operators import graph, signal
+from fathom.operators import graph, robust, signal
 from fathom.plans import survey as read
 from fathom.plans.align import KEY
 from fathom.session import cut
@@ -23,6 +23,7 @@ from fathom.session import cut
 STRETCH_M, MARGIN_M = 20.0, 1.0
 MOST_OFFSET_M, MOST_PIXELS = 20.0, 6_000_000
 LEAST_SEGMENT_M, MOST_RMS_M = 0.15, 0.035
+LEAST_WOBBLE_M, LEAST_SLOPE, LEAST_ROWS = 0.05, 0.5, 10
 LEAST_JOINT_M, MOST_JOINT_M, JOINT_SPREAD = 1.5, 10.0, 0.15
 RIDGE = "survey string, polarity string, i long, j long, z double, direction int"
 
@@ -186,6 +187,16 @@ def _joints(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"survey": pdf["survey"], "segment": pdf["segment"], "joint_spacing_m": spacing}).dropna()
 
 
+def following_boat(points: DataFrame, sides: DataFrame, pitch: float) -> DataFrame:
+    """(survey, segment) of lines that keep their distance from the boat while it weaves between the banks: a line of
+    the lining would move against the boat as the banks do. Told only where both banks are seen beside ten rows."""
+    at = points.groupBy("survey", "segment", "j").agg(F.avg("x").alias("offset"))
+    banks = sides.where("not empty and not open").groupBy("survey", "ping").agg(F.max("along").alias("along"), *[F.max(F.when(F.col("side") == k, F.col("waterline"))).alias(n) for k, n in ((0, "_port"), (1, "_starboard"))])
+    weave = banks.where("_port is not null and _starboard is not null").groupBy("survey", F.floor(F.col("along") / pitch).alias("j")).agg(F.avg((F.col("_port") - F.col("_starboard")) / 2).alias("wobble"))
+    moved = robust.regression_test(at.join(weave, ["survey", "j"]), ["survey", "segment"], "wobble", "offset", LEAST_ROWS)
+    return moved.where((F.col("x_spread") >= LEAST_WOBBLE_M) & (F.col("slope") < LEAST_SLOPE)).select("survey", "segment")
+
+
 def screen(pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: DataFrame, sensitivity: float = 0.5, least_m: float = 0.6, draft_m: float = 0.2, stretch_m: float = STRETCH_M) -> DataFrame:
     """The candidates of all surveys, ranked; sides as settled by the canal model."""
     pitch = row_pitch(pings)
@@ -203,6 +214,8 @@ def screen(pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: Data
     named = named.withColumn("side", F.when(F.col("side") == "both", "both").when(F.col("cx") >= 0, "port").otherwise("starboard"))
     toes = sides.groupBy("survey", "side").agg(F.percentile("toe", 0.5).alias("_toe")).withColumn("side", F.when(F.col("side") == 0, "port").otherwise("starboard"))
     named = named.join(toes, ["survey", "side"], "left")
+    boat = following_boat(points, sides, pitch).withColumn("_boat", F.lit(True))
+    named = named.join(boat, ["survey", "segment"], "left").where("direction <> 'along' or _boat is null").drop("_boat")
     near = F.coalesce((F.col("direction") == "along") & (F.abs(F.abs("cx") - F.col("_toe")) < 0.8), F.lit(False))
     level = text.confidence_class(F.col("contrast"), F.lit(high), near)
     scored = named.withColumn("confidence", level).withColumn("near_toe", near).withColumn("score", F.col("contrast") * F.sqrt(F.col("length") / 0.3))

@@ -48,3 +48,15 @@ def test_joints_are_evenly_spaced_runs():
     got = cracks._joints(pd.DataFrame({"survey": "s", "segment": range(len(at)), "cy": at}))
     assert sorted(got["segment"]) == [0, 1, 2, 3, 4] and got["joint_spacing_m"].tolist() == pytest.approx([5.0] * 5)
     assert cracks._joints(pd.DataFrame({"survey": "s", "segment": range(3), "cy": [1.0, 1.0, 1.0]})).empty
+
+
+def test_lines_that_follow_the_boat(spark):
+    weave = [float(0.3 * np.sin(j / 5)) for j in range(40)]
+    rows = [("s", j, j * 0.05 + 0.01, side, False, False, 8.0 + (weave[j] if side == 0 else -weave[j])) for j in range(40) for side in (0, 1)]
+    sides = spark.createDataFrame(rows, "survey string, ping long, along double, side int, empty boolean, open boolean, waterline double")
+    lines = {1: lambda j: 3.0 + weave[j], 2: lambda j: 3.0, 3: lambda j: -2.0 + weave[j]}
+    points = [("s", k, j, float(f(j))) for k, f in lines.items() for j in range(40)] + [("s", 4, j, 1.0) for j in range(9)]
+    points = spark.createDataFrame(points, "survey string, segment long, j long, x double")
+    # The second keeps its distance; the fourth is too short to tell.
+    assert [r.segment for r in cracks.following_boat(points, sides, 0.05).collect()] == [2]
+    assert cracks.following_boat(points, sides.where("side = 0"), 0.05).count() == 0
