@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import decontaminate, html_text, merkle, packing, pii, quality, secret_scan, sharding, simhash, url_filter
+from fathom.llm import centroids, decontaminate, html_text, merkle, packing, pii, quality, secret_scan, sharding, simhash, url_filter, warc, whitening
 from fathom.llm.common import ready, table
 
 
@@ -50,6 +50,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.query(table(ready(spark), sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.query(table(ready(spark), sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(table(ready(spark), sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(ready(spark), sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_quality,
         op10_secrets,
+        op11_centroid_clustering,
+        op12_whitening,
+        op13_warc,
     )
 }
-ORACLES: dict[str, str] = {"op5_url_filters": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op5_url_filters": url_filter.ORACLE, "op11_centroid_clustering": centroids.ORACLE, "op13_warc": warc.ORACLE}
