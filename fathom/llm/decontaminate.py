@@ -6,8 +6,9 @@ window). Each text is normalised and scanned once; hits are mapped back to word
 code points of the original text.
 
 The automaton holds an item's chunks of about half a window, end to end: every window holds one
-of them whole, so each occurrence of a window is found by a chunk and settled by comparing the
-words on both sides. The automaton is then as large as the items, not thirteen times as large.
+of them whole, so each occurrence of a window is found by a chunk. The windows of the text around a chunk are then
+looked up among the items' windows, each once, and compared word by word. The automaton is then as large as the items,
+not thirteen times as large, and the work follows the text's length however often words repeat.
 
 A worker process builds it once and holds one at a time. Items are streamed to the driver in blocks
 of at most AUTOMATON_BYTES. One block is scanned in a narrow pass that adds the result to each row.
@@ -60,32 +61,84 @@ def normalised(text: str | None) -> list[bytes]:
     return [w for w in words(text) if w]
 
 
+def _keys(words: np.ndarray, at: np.ndarray, size: int, turn: int) -> np.ndarray:
+    """A 64-bit key of the `size` word numbers from each place on."""
+    mixed = (words.astype(np.int64).view(np.uint64) + np.uint64(2 * turn + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    out = np.zeros(len(at), dtype=np.uint64)
+    for j in range(size):
+        out = out * np.uint64(0xBF58476D1CE4E5B9) + mixed[at + j]
+    return out
+
+
+class Windows:
+    """The distinct windows of one size, with the items that hold them."""
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray, item: np.ndarray, size: int):
+        self.flat, self.size, self.turn = flat, size, 0
+        while True:
+            keys = _keys(flat, at, size, self.turn)
+            order = np.lexsort((item, keys))
+            keys, places, items = keys[order], at[order], item[order]
+            new = np.r_[True, keys[1:] != keys[:-1]]
+            least = places[new][np.cumsum(new) - 1]
+            if all((flat[places + j] == flat[least + j]).all() for j in range(size)):
+                break
+            self.turn += 1  # two windows share a key: other keys
+        pair = new | np.r_[True, items[1:] != items[:-1]]
+        self.keys, self.at, self.items = keys[new], places[new], items[pair]
+        self.ends = np.r_[np.flatnonzero(new[pair])[1:], len(self.items)]
+
+    def find(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the starts where one of the windows begins, and which."""
+        keys = _keys(text, starts, self.size, self.turn)
+        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        same = self.keys[k] == keys
+        starts, k = starts[same], k[same]
+        same = np.ones(len(k), dtype=bool)
+        for j in range(self.size):
+            same &= text[starts + j] == self.flat[self.at[k] + j]
+        return starts[same], k[same]
+
+    def owners(self, k: int) -> np.ndarray:
+        return self.items[self.ends[k - 1] if k else 0 : self.ends[k]]
+
+
 class Scanner:
-    """One automaton; scan() gives the runs of words that hold windows, with the items that they come from."""
+    """One automaton; scan() gives the runs of words that windows cover, with the items that they come from."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         ids: dict[tuple[bytes, ...], set[str | None]] = {}
-        known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, int] = {}
         for item_id, text in items:
             if w := normalised(text):
-                ids.setdefault(tuple(known.setdefault(x, x) for x in w), set()).add(item_id)
-        self.items, self.ids = list(ids), [tuple(x) for x in ids.values()]
-        self.least = [min(window, len(w)) for w in self.items]
-        owners: dict[str, tuple[int, list[tuple[int, int]]]] = {}
-        for k, w in enumerate(self.items):
-            n = (self.least[k] + 1) // 2
+                ids.setdefault(tuple(w), set()).add(item_id)
+        self.ids = [tuple(x) for x in ids.values()]
+        flat = np.array([self.known.setdefault(x, len(self.known)) for w in ids for x in w], dtype=np.int32)
+        chunks: dict[str, tuple[int, set[int]]] = {}
+        places: dict[int, list[tuple[int, int, int]]] = {}
+        begin = 0
+        for k, w in enumerate(ids):
+            size = min(window, len(w))
+            n = (size + 1) // 2
             for at in range(0, len(w) - n + 1, n):
                 line = " " + b" ".join(w[at : at + n]).decode("utf-8", "surrogatepass") + " "
-                owners.setdefault(line, (n, []))[1].append((k, at))
+                chunks.setdefault(line, (n, set()))[1].add(size)
+            places.setdefault(size, []).append((begin, len(w) - size + 1, k))
+            begin += len(w)
+        self.windows = {}
+        for size, own in places.items():
+            at = np.concatenate([np.arange(a, a + n) for a, n, _ in own])
+            self.windows[size] = Windows(flat, at, np.repeat([k for *_, k in own], [n for _, n, _ in own]), size)
         self.automaton = ahocorasick.Automaton()
-        for line, owner in owners.items():
-            self.automaton.add_word(line, owner)
-        if owners:
+        for line, (n, sizes) in chunks.items():
+            self.automaton.add_word(line, (n, tuple(sizes)))
+        if chunks:
             self.automaton.make_automaton()
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, tuple[str | None, ...]]]:
-        """(first word, end word, items) of the longest common runs that hold a window."""
-        if not self.items or not words:
+        """(first word, end word, items) of the longest runs that windows cover."""
+        if not self.ids or not words:
             return []
         line = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
         hits = list(self.automaton.iter(line))
@@ -93,23 +146,37 @@ class Scanner:
             return []
         # A chunk ends at the space before the next word; the spaces up to there count its words.
         spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4") == 0x20)
-        ends = np.searchsorted(spaces, [e for e, _ in hits]).tolist()
-        done: dict[tuple[int, int], int] = {}
-        found = []
-        for end, (_, (n, owners)) in sorted(zip(ends, hits), key=lambda x: x[0]):
-            for k, at in owners:
-                first = end - n
-                if done.get((k, first - at), -1) >= end:
-                    continue
-                item, a, b = self.items[k], first, end
-                while a and a - first + at and words[a - 1] == item[a - 1 - first + at]:
-                    a -= 1
-                while b < len(words) and b - first + at < len(item) and words[b] == item[b - first + at]:
-                    b += 1
-                done[k, first - at] = b
-                if b - a >= self.least[k]:
-                    found.append((a, b, self.ids[k]))
-        return found
+        ends = np.searchsorted(spaces, [e for e, _ in hits])
+        text = np.array([self.known.get(w, -1) for w in words], dtype=np.int32)
+        near: dict[tuple[int, int], list[int]] = {}
+        for end, (_, (n, sizes)) in zip(ends.tolist(), hits):
+            for size in sizes:
+                near.setdefault((size, n), []).append(end)
+        starts, stops, sizes, which = [], [], [], []
+        for (size, n), at in near.items():
+            # A window that holds the chunk begins at most size words before the chunk's end, and not after the chunk.
+            open_ = np.zeros(len(words) + 1, dtype=np.int64)
+            np.add.at(open_, np.maximum(np.array(at) - size, 0), 1)
+            np.add.at(open_, np.array(at) - n + 1, -1)
+            maybe = np.flatnonzero(np.cumsum(open_)[: max(0, len(words) - size + 1)] > 0)
+            begin, k = self.windows[size].find(text, maybe)
+            starts.append(begin)
+            stops.append(begin + size)
+            sizes.append(np.full(len(begin), size))
+            which.append(k)
+        first, end, size, k = (np.concatenate(x) for x in (starts, stops, sizes, which))
+        if not len(first):
+            return []
+        order = np.argsort(first, kind="stable")
+        first, end, size, k = first[order], end[order], size[order], k[order]
+        last = np.maximum.accumulate(end)
+        new = np.r_[True, first[1:] > last[:-1]]
+        run = np.cumsum(new) - 1
+        owners: list[set[int]] = [set() for _ in range(run[-1] + 1)]
+        for r, s, w in np.unique(np.stack([run, size, k], axis=1), axis=0).tolist():
+            owners[r].update(self.windows[s].owners(w).tolist())
+        closes = last[np.r_[np.flatnonzero(new)[1:] - 1, len(last) - 1]]
+        return [(a, b, tuple({x for o in own for x in self.ids[o]})) for a, b, own in zip(first[new].tolist(), closes.tolist(), owners)]
 
 
 _HELD: dict[str, Scanner] = {}
