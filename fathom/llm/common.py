@@ -11,13 +11,21 @@ from fathom.operators.graph import connected_components, least_reachable
 from fathom.operators.skew import BROADCAST_BYTES, join_with_hot_keys, lookup, maybe_broadcast, parts_for
 from fathom.session import cut, ready
 
-__all__ = ["BROADCAST_BYTES", "connected_components", "cut", "join_with_hot_keys", "least_reachable", "let", "lookup", "maybe_broadcast", "parts_for", "ready", "running", "table"]
+__all__ = ["BROADCAST_BYTES", "connected_components", "cut", "fresh", "join_with_hot_keys", "least_reachable", "let", "lookup", "maybe_broadcast", "parts_for", "ready", "running", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, or one like it that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is made once, however often body has it."""
     return F.transform(F.array(value), body)[0]

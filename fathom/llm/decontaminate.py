@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.common import cut, maybe_broadcast, ready
+from fathom.llm.common import cut, fresh, maybe_broadcast, ready
 
 WINDOW = 13
 #: Bytes of item text in one automaton; it takes some fifty times as much of a worker's memory.
@@ -281,18 +281,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
         return docs.mapInArrow(scan, schema)
     body = [c for c, t in docs.dtypes if t != "void" and not t.startswith(("map", "variant"))]
-    keyed = docs.withColumn("_k1", F.xxhash64(*body)).withColumn("_k2", F.xxhash64(F.lit(1), *body))
-    plain = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col(text_col).alias("text"))
+    k1, k2, own = (fresh(n, columns) for n in ("_k1", "_k2", "_found"))
+    keyed = docs.withColumn(k1, F.xxhash64(*body)).withColumn(k2, F.xxhash64(F.lit(1), *body))
+    plain = keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(text_col).alias("text"))
     hits = reduce(DataFrame.unionByName, [block_hits(plain, b, window) for b in chain([first, second], blocks)])
-    found = cut(hits.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list(F.struct("first", "end", "items")).alias("_found")))
-    size = found.agg(F.coalesce(F.sum(F.size("_found")), F.lit(0))).first()[0]
+    found = cut(hits.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_list(F.struct("first", "end", "items")).alias(own)))
+    size = found.agg(F.coalesce(F.sum(F.size(own)), F.lit(0))).first()[0]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            rows = [judge(t, [(x["first"], x["end"], x["items"]) for x in f or ()]) for t, f in zip(b.column(text_col).to_pylist(), b.column("_found").to_pylist())]
+            rows = [judge(t, [(x["first"], x["end"], x["items"]) for x in f or ()]) for t, f in zip(b.column(text_col).to_pylist(), b.column(own).to_pylist())]
             yield _judged(b, columns, rows)
 
-    return keyed.join(maybe_broadcast(found, size, 256), ["_k1", "_k2"], "left").select(*columns, "_found").mapInArrow(settle, schema)
+    return keyed.join(maybe_broadcast(found, size, 256), [k1, k2], "left").select(*columns, own).mapInArrow(settle, schema)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

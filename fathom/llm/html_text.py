@@ -11,8 +11,8 @@ Menus, headers, footers, sidebars, notices, adverts, forms and reader comments a
 and class name, and blocks that are mostly a list of links; such blocks can't be the heart either (comments
 may be denser than the article). A class name counts only if all its words say so: `has-sidebar` and
 `page-header-fixed` don't. No name empties an article: a named block stays if it holds most of the text and either
-the page's main heading or next to all that is read, and where nothing is left names are passed over and density alone
-decides. Scripts, styles and hidden elements are never read.
+the page's main heading or next to all that is read, and where nothing is left of a page with text enough for an article,
+names are passed over and density alone decides. Scripts, styles and hidden elements are never read.
 
 Null or empty html, and pages without text, give an empty text. Unclosed, crossing and cut-off
 markup is read as far as it goes. Depth is bounded by an explicit stack, so any nesting is read.
@@ -55,6 +55,8 @@ NAMES = COMMENTS | frozenset(
 PLAIN = frozenset("site page main global top bottom left right primary secondary box bar block area section wrapper wrap container list links link item items row inner outer content post posts article articles entry form buttons button icons thread reader user dialog region".split())
 #: A named block stays if it holds more than half of the text and what lies outside is less than this share of it.
 NEXT_TO_NOTHING = 0.1
+#: A page whose only text is a named block of fewer characters has no article.
+LEAST_ARTICLE = 100
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W_]", re.ASCII)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?<![^\s=\"'/>])([^\s=\"'/>]++)\s*+=\s*+(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+))")
@@ -250,7 +252,7 @@ def leave_out(order: list[Block]) -> None:
         longest[id(b.parent)] = max(longest.get(id(b.parent), 0), most)
     for b in order:
         plain = b.chars - b.links
-        alone = whole - plain < NEXT_TO_NOTHING * plain and not b.talk
+        alone = whole - plain < NEXT_TO_NOTHING * plain and plain >= LEAST_ARTICLE and not b.talk
         stays = 2 * plain > whole and (id(b) in heads or alone or 2 * longest.get(id(b), 0) > plain and not b.talk)
         listed = b.link_tags >= 3 and b.links > 0.7 * b.chars and b.tag in ("ul", "ol", "div", "section", "table", "p", "dl")
         b.gone = b.parent is not None and b.parent.gone or b.named and not stays or listed  # lists of links are menus, whatever their names
@@ -291,7 +293,7 @@ def content(root: Block) -> list[Block]:
     weigh(order)
     leave_out(order)
     picked = chosen_blocks(order)
-    if not any(lines(b) for b in picked):
+    if order[0].chars - order[0].links >= LEAST_ARTICLE and not any(lines(b) for b in picked):
         for b in order:
             b.gone = False
         picked = chosen_blocks(order)

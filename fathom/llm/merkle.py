@@ -151,7 +151,7 @@ def id_ranges(ids: DataFrame, id_col: str) -> tuple[int, DataFrame]:
     """A width that deals ids to ranges of bounded size, and each range with the next one that has rows."""
     span = ids.agg(F.count("*").alias("n"), F.min(id_col).alias("low"), F.max(id_col).alias("high")).first()
     low, high = span["low"] or 0, span["high"] or 0
-    width = max(1, (high - low + 1) * RANGE_ROWS // max(1, span["n"]))
+    width = min(1 << 62, max(1, (high - low + 1) * RANGE_ROWS // max(1, span["n"])))
     while True:
         ranges = cut(ids.groupBy(_range(F.col(id_col), width).alias("range")).count())
         if width == 1 or (ranges.agg(F.max("count")).first()[0] or 0) <= RANGE_MOST:

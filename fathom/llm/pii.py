@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.common import cut, lookup, maybe_broadcast, ready
+from fathom.llm.common import cut, fresh, lookup, maybe_broadcast, ready
 
 #: The query's key. It only makes the query's rows repeatable; a caller of pseudonymise() brings a secret one.
 QUERY_KEY = b"key of the registered query, not a secret"
@@ -67,7 +67,8 @@ DOMAINS = ("example.com", "example.net", "example.org")
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
-_NUMBER = re.compile(r"[+(0-9][0-9 ()./-]{5,}[0-9]")
+#: A whole run of a number's characters, so that no place is looked at twice.
+_NUMBER = re.compile(r"\+?[0-9 ()./-]{7,}+")
 _IP = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _CARD = re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -]?)\d{6}\2\d{5}")
@@ -78,8 +79,8 @@ _NAME_WORD = re.compile(r"([^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*)[ \xa0]?")
 _NAME_WORDS = 8
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*")
 _HAN_NAME = re.compile(rf"([{HAN_SURNAMES}][\u3400-\u9fff]{{1,2}}?)({'|'.join(HAN_TITLES)})")
-#: Groups between spaces that a number may have.
-MOST_PARTS = 7
+#: Groups between spaces, and characters, that a number of the formats above has at most.
+MOST_PARTS, MOST_CHARS = 7, 64
 
 Entity = tuple[int, int, str, str]  # start, end, kind, normal form
 
@@ -112,6 +113,8 @@ def numbers(text: str, at: int, run: str) -> list[Entity]:
     while i < len(parts):
         for j in range(min(len(parts), i + MOST_PARTS), i, -1):
             a, b = parts[i][0], parts[j - 1][1]
+            if b - a > MOST_CHARS:
+                continue
             alone = not (a and (text[a - 1].isalnum() or text[a - 1] in "._")) and not (b < len(text) and (text[b].isalnum() or text[b] == "_"))
             # Brackets at the ends may be the number's or the sentence's.
             bare = text[a] == "(", text[b - 1] == ")"
@@ -164,7 +167,8 @@ def entities(text: str | None) -> list[Entity]:
     if _DIGIT.search(text):
         found += [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in _IBAN.finditer(text) if sum(c.isdigit() for c in m[0]) >= 10]
         for m in _NUMBER.finditer(text):
-            found += numbers(text, m.start(), m[0])
+            run = m[0].lstrip(" )./-")
+            found += numbers(text, m.end() - len(run), run.rstrip(" ()./-"))
     titled: list[Entity] = []
     if any(t in text for t in TITLES):
         for m in _TITLE.finditer(text):
@@ -355,24 +359,25 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
     ready(docs.sparkSession)
     docs = docs.drop("n_entities", "kinds")
     columns = docs.columns
-    rowed = docs.withColumn("_row", F.xxhash64(*[c for c in ("doc_id", text_col) if c in docs.columns]))
-    mentions = cut(distinct_entities(rowed.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))))
+    row, again = fresh("_row", columns), fresh("_redrawn", columns)
+    rowed = docs.withColumn(row, F.xxhash64(*[c for c in ("doc_id", text_col) if c in docs.columns]))
+    mentions = cut(distinct_entities(rowed.select(F.col(row).alias("row"), F.col(text_col).alias("text"))))
     settled = settle(mentions.where("kind = 'email' or kind like 'name-%'").select("kind", "normal").distinct(), key)
     redrawn = cut(settled.where("attempt > 0").select(F.concat_ws("\x1f", "kind", "normal").alias("entity"), "kind", "normal", "attempt"))
     n = redrawn.count()
     if n == 0:
-        held = rowed.withColumn("_redrawn", F.lit(None).cast("array<struct<kind:string,normal:string,attempt:int>>"))
+        held = rowed.withColumn(again, F.lit(None).cast("array<struct<kind:string,normal:string,attempt:int>>"))
     else:
         asked = mentions.select("row", F.concat_ws("\x1f", "kind", "normal").alias("entity"))
         counted = redrawn.join(asked.groupBy("entity").agg(F.count("*").alias("times")), "entity")
         met = lookup(asked, counted, "entity", n, 256, "times", mentions.count()).where("attempt is not null")
-        lists = cut(met.distinct().groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("kind", "normal", "attempt")).alias("_redrawn")))
-        held = rowed.join(maybe_broadcast(lists, lists.count(), 512), "_row", "left")
+        lists = cut(met.distinct().groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("kind", "normal", "attempt")).alias(again)))
+        held = rowed.join(maybe_broadcast(lists, lists.count(), 512), row, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(text_col).to_pylist()
-            done = [replace(t, {(x["kind"], x["normal"]): x["attempt"] for x in r or ()}, key) for t, r in zip(texts, b.column("_redrawn").to_pylist())]
+            done = [replace(t, {(x["kind"], x["normal"]): x["attempt"] for x in r or ()}, key) for t, r in zip(texts, b.column(again).to_pylist())]
             made = {text_col: pa.array([d[0] for d in done], type=pa.string())}
             kept = [made.get(c, b.column(c)) for c in columns]
             n = pa.array([len(d[1]) for d in done], type=pa.int32())
@@ -380,7 +385,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([*kept, n, kinds], names=[*columns, "n_entities", "kinds"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.IntegerType()), T.StructField("kinds", T.StringType())])
-    return held.select(*docs.columns, "_redrawn").mapInArrow(run, schema)
+    return held.select(*docs.columns, again).mapInArrow(run, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ shared weights over the hashed features of a text, meets ordered thresholds:
 P(grade <= j) = sigmoid(threshold_j - score). The expected grade ranks documents and the tail
 probability P(grade >= 2) selects them.
 
-The model is fitted on at most FIT_ROWS labelled documents, those with the lowest hash of the id:
-only their feature numbers reach the driver. Every document is then scored whole, in one narrow
+The model is fitted on at most FIT_ROWS labelled documents, those with the lowest hash of the id. Which
+features tell the grades apart is counted by Spark, and only those of each document reach the driver. Every document is then scored whole, in one narrow
 pass with the weights (1 MB) broadcast.
 
 A null or empty text has no features and gets the intercept's grade. With no labels at all, the
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.common import ready
+from fathom.llm.common import cut, ready
 
 FIT_ROWS = 8000
 DIMENSIONS = 1 << 18
@@ -185,21 +185,46 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
+def telling(found: DataFrame) -> list[int]:
+    """The slots of found (grade, slots) that fit() gives a weight."""
+    highs = [F.sum((F.col("grade") >= j).cast("long")) for j in range(1, GRADES)]
+    whole = found.agg(F.count(F.lit(1)), *highs).first()
+    rows = whole[0]
+    if not rows:
+        return []
+    z = F.lit(0.0)
+    for j in range(1, GRADES):
+        mean = (whole[j] or 0) / rows
+        z = F.greatest(z, F.abs(F.col(f"high{j}") - F.col("seen") * mean) / F.sqrt("seen") / max((mean * (1 - mean)) ** 0.5, 1e-9))
+    limit = min(MOST_TELLING, 0.42 * float(np.log2(rows + 1)))
+    counted = found.select("grade", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("seen"), *[h.alias(f"high{j}") for j, h in enumerate(highs, 1)])
+    return [r["slot"] for r in counted.where((F.col("seen") >= LEAST_SEEN) & (z >= limit * (1 - 1e-9))).select("slot").collect()]  # DIMENSIONS at most
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for b in batches:
-            found = [b"".join(x.astype("<i4").tobytes() for x in reader.features(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, type=pa.binary()), b.column(2)], names=["doc_id", "slots", "grade"])
+            found = [reader.features(t) for t in b.column(1).to_pylist()]
+            made = [pa.array([f[k] for f in found], type=pa.list_(pa.int32())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made, b.column(2)], names=["doc_id", "slots", "times", "grade"])
 
     # At most `most` ids, so this side is small whatever the tables' sizes.
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, slots binary, grade int")
-    once = rows.groupBy("doc_id").agg(F.max("slots").alias("slots"), F.first("grade").alias("grade"))
-    held = [(*np.frombuffer(r["slots"], dtype="<i4").reshape(2, -1), r["grade"]) for r in sorted(once.collect(), key=lambda r: r["doc_id"])]
-    return fit(held)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, slots array<int>, times array<int>, grade int")
+    found = cut(rows.groupBy("doc_id").agg(F.max(F.struct("slots", "times")).alias("of"), F.first("grade").alias("grade")).select("doc_id", "of.*", "grade"))
+    mask = np.zeros(DIMENSIONS, dtype=bool)
+    mask[telling(found)] = True
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [(s[mask[s]], n[mask[s]]) for s, n in zip(*([np.asarray(x, dtype="<i4") for x in b.column(c).to_pylist()] for c in ("slots", "times")))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() + n.tobytes() for s, n in both], type=pa.binary()), b.column("grade")], names=["doc_id", "of", "grade"])
+
+    kept = found.mapInArrow(told, "doc_id long, of binary, grade int").collect()
+    return fit([(*np.frombuffer(r["of"], dtype="<i4").reshape(2, -1), r["grade"]) for r in sorted(kept, key=lambda r: r["doc_id"])])
 
 
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("keep", T.BooleanType())])

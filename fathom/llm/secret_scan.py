@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import let, running
+from fathom.llm.common import fresh, let, running
 
 # The patterns; group 2 of the first is the secret.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,12 +47,14 @@ CLASSES = (
     (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3.6),
     (r"^(?=.*[0-9].*[0-9])(?=.*[A-Za-z])", 3.5),
 )
+#: Letters only: the least entropy, and how many upper-case letters must be followed by one or two lower-case ones and an upper-case one again, as words joined in camel case rarely are.
+LETTERS, LETTERS_BITS, LETTERS_TURNS = r"^(?=.*[a-z])[A-Za-z]+$", 3.6, 3
 #: Harmless shapes: UUIDs, digests that name their kind, words or numbers joined by marks, placeholders.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^(?i:sha(1|224|256|384|512)|md5)[-=_]",
+    r"^(?i:sha(1|224|256|384|512)|md5)[-=_](?:[0-9A-Fa-f]+|[A-Za-z0-9+/]+={0,2})$",
     r"^(?!.*(?:[A-Za-z][0-9]|[0-9][A-Za-z]))[A-Za-z0-9]",
-    r"(?i)example|placeholder|changeme|xxxx|0123456789|abcdefghij",
+    r"^(?i:(?>example|placeholder|changeme|change|me|your|my|some|here|key|token|secret|password|api|test|dummy|sample|x{4,}+|0123456789|1234567890|abcdefghij|[-_=+/])++)$",
 )
 
 
@@ -115,6 +117,8 @@ def suspicious(s: Column) -> Column:
     limit = F.lit(None).cast("double")
     for pattern, threshold in reversed(CLASSES):
         limit = F.when(s.rlike(pattern), F.lit(threshold).cast("double")).otherwise(limit)
+    turns = F.regexp_count(s, F.lit("[A-Z](?=[a-z]{1,2}[A-Z])"))
+    limit = F.when(s.rlike(LETTERS), F.when(turns >= LETTERS_TURNS, F.lit(LETTERS_BITS))).otherwise(limit)
     return F.when(allowed | limit.isNull(), F.lit(False)).otherwise(greatest_entropy(s) >= limit)
 
 
@@ -130,7 +134,9 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with base and found: array<struct<start,rank,end>> by start and kind (rank in KINDS)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(F.concat(_ranked(spans(text, ASSIGN, ASSIGN_LENGTH, 2), 0), _ranked(spans(text, ACCESS), 1), _ranked(spans(text, HEX), 2)))
-    docs = docs.drop("base", "found").withColumn("_base", base).withColumn("_more", _ranked(spans(text, CANDIDATE), 3))
+    docs = docs.drop("base", "found")
+    first, more = fresh("_base", docs.columns), fresh("_more", docs.columns)
+    docs = docs.withColumn(first, base).withColumn(more, _ranked(spans(text, CANDIDATE), 3))
 
     def outside(all_: Column) -> Column:
         reach = running(F.transform(all_, lambda x: F.when(x["rank"] < 3, x["end"]).otherwise(F.lit(-1))), F.greatest)
@@ -139,8 +145,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.transform(kept, lambda x: x["span"])
 
     # By start and kind, so that all pattern spans which can hold an entropy span stand before it.
-    found = F.when(F.size("_more") > 0, let(F.array_sort(F.concat("_base", "_more")), outside)).otherwise(F.col("_base"))
-    return docs.withColumn("base", _plain(F.col("_base"))).withColumn("found", _plain(found)).drop("_base", "_more")
+    found = F.when(F.size(more) > 0, let(F.array_sort(F.concat(first, more)), outside)).otherwise(F.col(first))
+    return docs.withColumn("base", _plain(F.col(first))).withColumn("found", _plain(found)).drop(first, more)
 
 
 def listed(found: str) -> Column:
@@ -174,8 +180,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     kept = docs.columns
     cut_up = F.struct(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), F.col("found").alias("found"), F.length(text).alias("size"))
     clean = F.when(F.size("found") > 0, let(cut_up, cleaned)).otherwise(text)
-    held = find_secrets(docs.withColumnsRenamed({c: f"_kept_{c}" for c in ("base", "found") if c in kept and c != text_col}), text_col)
-    return held.withColumn(text_col, clean).select(*[F.col(f"_kept_{c}").alias(c) if c in ("base", "found") else F.col(c) for c in kept])
+    own = {c: fresh(f"_kept_{c}", kept) for c in kept if c.lower() in ("base", "found") and c != text_col}
+    held = find_secrets(docs.withColumnsRenamed(own), text_col)
+    return held.withColumn(text_col, clean).select(*[F.col(own.get(c, c)).alias(c) for c in kept])
 
 
 def query(docs: DataFrame) -> DataFrame:

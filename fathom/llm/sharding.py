@@ -6,25 +6,29 @@ capacity is highest. The bundles of up to FANOUT blocks are then packed in the s
 one block is left, so that no task ever sees more than a few thousand items.
 
 Nulls: a null text has size 1 (no bytes, plus 1) and is a group of its own. Repeated rows are
-rows like others. A group larger than 1/PIECES of a shard is split by a hash of the id (and of
-the rest of the row's size), so that a text held by a third of all rows still spreads evenly.
+rows like others. A group stays on one shard unless it holds more than 1/WHOLE of a shard's bytes or rows, at any size of
+the table; one that does is split into pieces of 1/PIECES of a shard by a hash of its rows, so that a text held by a third of
+all rows still spreads evenly. Tokens are those of the vocabulary of `path`. Further columns of the input aren't returned.
 An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import cut, maybe_broadcast
+from fathom.llm.common import cut, maybe_broadcast, ready
+from fathom.llm.packing import token_ids, vocabulary_path
 
 BLOCK_GROUPS = 4096
 FANOUT = 256
-PIECES = 64
+PIECES, WHOLE = 64, 4
 #: How much an unevenness in bytes, tokens and rows counts; the first is the law that must hold.
 WEIGHTS = (4.0, 1.0, 1.0)
 
@@ -52,26 +56,33 @@ def _pack(keys: list[str], shards: int):
     return run
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, tokens, shard, slot of every row; slots are gapless from 0 in each shard."""
-    text = F.col(text_col)
+    text, path = F.col(text_col), path or vocabulary_path()
+    ready(docs.sparkSession)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = [len(ids) // 4 - 1 for ids in token_ids(b.column("text").to_pylist(), path)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(tokens, type=pa.int64())], names=[*b.schema.names[:-1], "tokens"])
+
     base = cut(
         docs.select(
-            F.col(id_col).alias("doc_id"),
+            F.col(id_col).cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-            F.coalesce(F.size(F.split(F.trim(text), r"\s+")), F.lit(0)).cast("long").alias("tokens"),
             F.xxhash64(text).alias("key"),
-        )
+            F.monotonically_increasing_id().alias("row"),
+            text.alias("text"),
+        ).mapInArrow(counted, "doc_id long, size long, text_crc32 long, key long, row long, tokens long")
     )
     counts = base.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
-    piece_bytes = max(1, (counts["size"] or 0) // (shards * PIECES))
-    piece_rows = max(1, counts["n"] // (shards * PIECES))
-    pieces = F.least(F.ceil(F.greatest(F.col("bytes") / piece_bytes, F.col("rows") / piece_rows)), F.col("rows"))
-    # Each such group holds over 1/(shards*PIECES) of the bytes or the rows: there are at most twice that many.
+    share = F.greatest(F.col("bytes") / max(1, counts["size"] or 0), F.col("rows") / max(1, counts["n"]))
+    pieces = F.when(share * shards * WHOLE > 1, F.least(F.ceil(share * shards * PIECES), F.col("rows"))).otherwise(1)
+    # Each such group holds over 1/(shards*WHOLE) of the bytes or the rows: there are at most twice that many.
     hot = base.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).select("key", pieces.cast("int").alias("pieces")).where("pieces > 1")
     keyed = base.join(F.broadcast(hot), "key", "left").withColumn(
-        "piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id", "size"), F.col("pieces"))).otherwise(0).cast("int")
+        "piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("row"), F.col("pieces"))).otherwise(0).cast("int")
     )
     groups = cut(keyed.groupBy("key", "piece").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")))
     n_groups = groups.count()
@@ -97,8 +108,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
             "key", "piece", F.col("to_block").alias("block"), F.col("to_bundle").alias("bundle"), "rows"
         )
         blocks = up
-    placed = cut(keyed.join(path.select("key", "piece", F.col("bundle").alias("shard")), ["key", "piece"]).select("doc_id", "size", "text_crc32", "tokens", "shard"))
-    return placed.transform(lambda df: slots(df, counts["n"]))
+    placed = cut(keyed.join(path.select("key", "piece", F.col("bundle").alias("shard")), ["key", "piece"]).select("doc_id", "size", "text_crc32", "tokens", "row", "shard"))
+    return placed.transform(lambda df: slots(df, counts["n"])).drop("row")
 
 
 def slots(placed: DataFrame, rows: int, per_bucket: int = 2000) -> DataFrame:

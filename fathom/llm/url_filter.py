@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.common import cut, join_with_hot_keys, maybe_broadcast
+from fathom.llm.common import cut, fresh, join_with_hot_keys, maybe_broadcast
 
 BITS_PER_KEY = 12
 #: Blocks of 32 bytes: the filter is at most 8 MB, and fuller beyond about 5.6 million keys.
@@ -94,7 +94,9 @@ def candidates(urls: DataFrame, lengths: list[int]) -> DataFrame:
 
 def judge_urls(pages: DataFrame, listing: DataFrame, default: str = "allow", url_col: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict; listing is (rule_host, rule_path, action)."""
-    pages = pages.drop("host", "path", "rule", "verdict").withColumn("_url", F.coalesce(F.col(url_col), F.lit("")))
+    pages = pages.drop("host", "path", "rule", "verdict")
+    own = fresh("_url", pages.columns)
+    pages = pages.withColumn(own, F.coalesce(F.col(url_col), F.lit("")))
     listed = cut(
         listing.select(
             F.concat(F.translate("rule_host", _UPPER, _LOWER), F.coalesce("rule_path", F.lit(""))).alias("key"),
@@ -107,7 +109,7 @@ def judge_urls(pages: DataFrame, listing: DataFrame, default: str = "allow", url
     )
     n = listed.count()
     lengths = [r["n"] for r in listed.select("n").distinct().collect()]
-    urls = cut(pages.groupBy(F.col("_url").alias("url")).agg(F.count("*").alias("rows")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))))
+    urls = cut(pages.groupBy(F.col(own).alias("url")).agg(F.count("*").alias("rows")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))))
     total = urls.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     table, blocks = bloom(listed, n)
     hits = possible(candidates(urls, lengths or [0]), table, blocks)
@@ -122,10 +124,10 @@ def judge_urls(pages: DataFrame, listing: DataFrame, default: str = "allow", url
     best = found.groupBy("url").agg(F.max_by(F.struct("key", "action"), F.struct(F.length("key"), "key")).alias("best"))
     verdicts = cut(
         urls.join(best, "url", "left").select(
-            F.col("url").alias("_url"), "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"), "rows"
+            F.col("url").alias(own), "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"), "rows"
         )
     )
-    return join_with_hot_keys(pages, verdicts, "_url", "rows", total).drop("_url")
+    return join_with_hot_keys(pages, verdicts, own, "rows", total).drop(own)
 
 
 def query(pages: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def chosen_by_recursion(root):
         if b.parent is not None and gone(b.parent):
             return True
         head = any(x.tag in ("h1", "main") and chars(x) for x in down(b))
-        alone = plain[id(root)] - plain[id(b)] < 0.1 * plain[id(b)] and not b.talk
+        alone = plain[id(root)] - plain[id(b)] < 0.1 * plain[id(b)] >= 10 and not b.talk
         article = any(x.tag == "article" and 2 * plain[id(x)] > plain[id(b)] for x in down(b)) and not b.talk
         if b.named and not (2 * plain[id(b)] > plain[id(root)] and (head or alone or article)):
             return True
