@@ -29,12 +29,15 @@ def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str, weight: str,
     most `share` keys can exceed total/share: those are broadcast and the rest is shuffled.
     """
     limit = total / share
-    hot = right.where(F.col(weight) > limit).drop(weight).withColumn("_hot", F.lit(True))
+    mark = "_hot"
+    while mark in (*left.columns, *right.columns):
+        mark = f"_{mark}"
+    hot = right.where(F.col(weight) > limit).drop(weight).withColumn(mark, F.lit(True))
     cold = right.where(F.col(weight) <= limit).drop(weight)
     marked = left.join(F.broadcast(hot), key, "left")
     names = [c for c in cold.columns if c != key]
-    done = marked.where("_hot").drop("_hot")
-    rest = marked.where("_hot is null").drop("_hot", *names).join(cold, key, "left")
+    done = marked.where(F.col(mark)).drop(mark)
+    rest = marked.where(F.col(mark).isNull()).drop(mark, *names).join(cold, key, "left")
     return done.unionByName(rest)
 
 
