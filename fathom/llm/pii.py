@@ -117,8 +117,8 @@ def numbers(text: str, at: int, run: str) -> list[Entity]:
                 continue
             alone = not (a and (text[a - 1].isalnum() or text[a - 1] in "._")) and not (b < len(text) and (text[b].isalnum() or text[b] == "_"))
             # Brackets at the ends may be the number's or the sentence's.
-            bare = text[a] == "(", text[b - 1] == ")"
-            ends = [(a, b)] + [(a + bare[0], b - bare[1])] * any(bare)
+            x, y = b - len(text[a:b].lstrip("(")), a + len(text[a:b].rstrip(")"))
+            ends = [(a, b), (max(a, x - 1), y), (x, y)] if (x, y) != (a, b) else [(a, b)]
             if alone and (hit := next(((x, y, kind) for x, y in ends if (kind := number_kind(text[x:y]))), None)):
                 found.append((*hit, normal_number(hit[2], text[hit[0] : hit[1]])))
                 i = j - 1

@@ -53,7 +53,7 @@ LETTERS, LETTERS_BITS, LETTERS_TURNS = r"^(?=.*[a-z])[A-Za-z]+$", 3.6, 3
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^(?i:sha(1|224|256|384|512)|md5)[-=_](?:[0-9A-Fa-f]+|[A-Za-z0-9+/]+={0,2})$",
-    r"^(?!.*(?:[A-Za-z][0-9]|[0-9][A-Za-z]))[A-Za-z0-9]",
+    r"^(?=[A-Za-z0-9]+[+/_=-])(?!.*(?:[A-Za-z][0-9]|[0-9][A-Za-z]))",
     r"^(?i:(?>example|placeholder|changeme|change|me|your|my|some|here|key|token|secret|password|api|test|dummy|sample|x{4,}+|0123456789|1234567890|abcdefghij|[-_=+/])++)$",
 )
 

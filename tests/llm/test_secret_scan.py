@@ -23,6 +23,9 @@ def suspicious(s):
     if any(re.search(p, s) for p in secret_scan.ALLOWED):
         return False
     limit = next((t for p, t in secret_scan.CLASSES if re.search(p, s)), None)
+    if re.search(secret_scan.LETTERS, s):
+        turns = len(re.findall("[A-Z](?=[a-z]{1,2}[A-Z])", s))
+        limit = secret_scan.LETTERS_BITS if turns >= secret_scan.LETTERS_TURNS else None
     return limit is not None and entropy(s) >= limit - 1e-9
 
 
