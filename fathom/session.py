@@ -31,13 +31,17 @@ def ready(spark: SparkSession) -> SparkSession:
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fathom-checkpoint-"))
+    # Checkpoint folders go once nothing refers to their DataFrames any more, unless the session says otherwise.
+    if sc.getConf().get("spark.cleaner.referenceTracking.cleanCheckpoints") is None:
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """ready(), and the readers of recordings and logs."""
+    """ready(), and the readers of recordings and logs, with their filters pushed down."""
     from fathom.sources import register
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     register(ready(spark))
     return spark
 

@@ -1,7 +1,7 @@
 """Readers of echo-sounder recordings and vehicle logs."""
 
 from fathom.sources.logs import LogDataSource, fixes_from_files
-from fathom.sources.sonar import SonarDataSource, frames_from_files
+from fathom.sources.sonar import SonarDataSource, frames_from_files, index_recordings
 
 
 def register(spark) -> None:
@@ -10,4 +10,4 @@ def register(spark) -> None:
     spark.dataSource.register(LogDataSource)
 
 
-__all__ = ["LogDataSource", "SonarDataSource", "fixes_from_files", "frames_from_files", "register"]
+__all__ = ["LogDataSource", "SonarDataSource", "fixes_from_files", "frames_from_files", "index_recordings", "register"]
