@@ -2,10 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def staged(df: DataFrame, **values: Column) -> DataFrame:
+    """df with the named values, each computed once for each row. A plain projection would be merged into those that
+    follow, and a value that these use inside a function of array elements would be computed again for every element."""
+    made = F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()])))
+    return df.select(*[c for c in df.columns if c not in values], made)
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array under an associative op, in doubling steps: n log n work, nothing is appended."""
+
+    def totals(first: Column) -> Column:
+        steps = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.size(first), F.lit(2))))).cast("int")
+        backs = F.transform(F.sequence(F.lit(0), steps - 1), lambda k: F.pow(F.lit(2), k).cast("int"))
+        return F.aggregate(backs, first, lambda acc, back: F.transform(acc, lambda x, i: F.when(i >= back, op(F.get(acc, i - back), x)).otherwise(x)))
+
+    return let(values, totals)
+
+
+def bytes_of(samples: Column) -> Column:
+    """The bytes of a binary column as an array of numbers: each byte is one Latin-1 character, whose code point it is."""
+    held = F.decode(samples, "ISO-8859-1")
+    return F.when(F.length(held) > 0, F.transform(F.split(held, ""), lambda c: F.ascii(c))).when(held.isNotNull(), F.expr("cast(array() as array<int>)"))
+
+
 def split_halves(samples: Column) -> tuple[Column, Column]:
     """(port, starboard): the first half reversed, and the next as many; an odd last sample is dropped."""
     half = F.floor(F.size(samples) / 2).cast("int")

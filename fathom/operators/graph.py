@@ -149,3 +149,15 @@ def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, at: str
     spread = left.withColumn("_k", F.explode(F.sequence(first, last)))
     held = right.withColumn("_k", F.floor(F.col(at) / bucket))
     return spread.join(held, "_k").where((F.col(at) >= F.col(low) - margin) & (F.col(at) <= F.col(high) + margin)).drop("_k")
+
+
+def outside_rectangles(points: DataFrame, rectangles: DataFrame, keys: list[str], along: str, across: str, cell: float) -> DataFrame:
+    """Points in no rectangle (keys, low, high on the first axis, left, right on the second) of their key, borders included: one
+    anti join by cells of the first axis, which makes no pairs. A point with a null on either axis is in none."""
+    spread = rectangles.where("low <= high and left <= right").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor(F.col("high") / cell))))
+    held = spread.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_cell").alias("_r_cell"), *[F.col(c).alias(f"_r_{c}") for c in ("low", "high", "left", "right")])
+    inside = F.col(along).between(F.col("_r_low"), F.col("_r_high")) & F.col(across).between(F.col("_r_left"), F.col("_r_right"))
+    for k in keys:
+        inside = (F.col(k) == F.col(f"_r_{k}")) & inside
+    placed = points.withColumn("_cell", F.floor(F.col(along) / cell))
+    return placed.join(held, (F.col("_cell") == F.col("_r_cell")) & inside, "left_anti").drop("_cell")

@@ -14,6 +14,15 @@ def cell_of(x: Column | str, size: float) -> Column:
     return half_up((F.col(x) if isinstance(x, str) else x) / size)
 
 
+def fitting_size(width: Column, height: Column, most: int, least: float, margin: float = 0.0, steps: int = 400) -> Column:
+    """The smallest of the sizes s, 1.01 s, 1.01^2 s, ... with which an area and a margin of cells on each side has at most
+    `most` cells; s is the side of as many equal squares, or `least` if that is larger. Each row has its own size."""
+    first = F.greatest(F.lit(float(least)), F.sqrt(width * height / most))
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: first * F.pow(F.lit(1.01), k))
+    count = lambda s: (F.ceil(width / s) + 1 + 2 * margin) * (F.ceil(height / s) + 1 + 2 * margin)
+    return F.get(F.filter(sizes, lambda s: count(s) <= most), F.lit(0))
+
+
 def median_cells(points: DataFrame, x: str, y: str, value: str, size: float, keys: list[str] | None = None) -> DataFrame:
     """(keys, i, j, value, n, spread): median, count and p90-p10 of each cell."""
     keys = keys or []

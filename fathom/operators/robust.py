@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from fathom.operators.skew import lookup
+from fathom.session import cut
+
 
 def quantile(x: Column | str, p: float) -> Column:
     """Exact, with linear interpolation at (n-1)*p; null when empty."""
@@ -40,6 +43,33 @@ def order_statistics(df: DataFrame, keys: list[str], value: str | Column, ranks:
     return run.groupBy(*keys).agg(*found)
 
 
+def part_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], parts: int = 64) -> DataFrame:
+    """(keys, names of shares): exact quantiles with linear interpolation at (n-1)*p, as quantile(), for keys of very many values.
+
+    Equal values are counted first. A sketch cuts each key's distinct values into some 64 parts; their exact counts tell in which part
+    a rank lies, and only that part's values are ordered. So no buffer holds a key's values, and no task orders them all.
+    """
+    key = F.struct(*keys) if keys else F.lit(0)
+    counts = cut(df.select(key.alias("_key"), F.col(value).cast("double").alias("_v")).where("_v is not null").groupBy("_key", "_v").agg(F.count("*").alias("_c")))
+    sketch = counts.groupBy("_key").agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 1000).alias("_cuts"), F.count("*").alias("_rows"))
+    sketch = cut(sketch)
+    size = sketch.agg(F.count("*").alias("n"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows")).first()
+    placed = lookup(counts, sketch, "_key", size["n"], 64 + 8 * parts, "_rows", size["rows"])
+    placed = cut(placed.select("_key", "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_part")))
+    w = Window.partitionBy("_key")
+    sums = placed.groupBy("_key", "_part").agg(F.sum("_c").alias("_held"))
+    sums = sums.withColumn("_before", F.sum("_held").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_held")).withColumn("_n", F.sum("_held").over(w))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), f((F.col("_n") - 1) * p).cast("long").alias("rank"), F.lit(side).alias("side")) for name, p in shares.items() for side, f in (("low", F.floor), ("high", F.ceil))])
+    wanted = sums.withColumn("_r", F.explode(ranks)).where((F.col("_r.rank") >= F.col("_before")) & (F.col("_r.rank") < F.col("_before") + F.col("_held")))
+    run = F.sum("_c").over(Window.partitionBy("_key", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    needed = placed.join(wanted.select("_key", "_part").distinct(), ["_key", "_part"], "left_semi").withColumn("_run", run)
+    hit = needed.join(wanted, ["_key", "_part"]).where((F.col("_r.rank") < F.col("_before") + F.col("_run")) & (F.col("_r.rank") >= F.col("_before") + F.col("_run") - F.col("_c")))
+    ends = [F.max(F.when((F.col("_r.name") == name) & (F.col("_r.side") == side), F.col("_v"))).alias(f"_{side}_{name}") for name in shares for side in ("low", "high")]
+    found = hit.groupBy("_key").agg(F.max("_n").alias("_n"), *ends)
+    between = [(F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * ((F.col("_n") - 1) * p - F.floor((F.col("_n") - 1) * p))).alias(name) for name, p in shares.items()]
+    return found.select(*([F.col(f"_key.{k}").alias(k) for k in keys]), *between)
+
+
 def upper_middle(n: Column) -> Column:
     return F.floor(n / 2)
 
@@ -125,8 +155,8 @@ def change_point(df: DataFrame, keys: list[str], order: list[str], value: str, l
     left = {k: F.col(f"l_{k}") for k in parts}
     whole = {k: F.col(f"t_{k}") for k in parts}
     right = {k: whole[k] - left[k] for k in parts}
-    cut = summed.where((left["n"] >= least) & (whole["n"] - left["n"] >= least)).withColumn("_whole", error(whole)).withColumn("_both", error(left) + error(right))
-    best = cut.where("_whole > 0").groupBy(*keys).agg(F.min_by(F.struct("_x", "_both", "_whole", "t_n"), F.struct(F.round("_both", 6), "_x")).alias("b"))
+    inner = summed.where((left["n"] >= least) & (whole["n"] - left["n"] >= least)).withColumn("_whole", error(whole)).withColumn("_both", error(left) + error(right))
+    best = inner.where("_whole > 0").groupBy(*keys).agg(F.min_by(F.struct("_x", "_both", "_whole", "t_n"), F.struct(F.round("_both", 6), "_x")).alias("b"))
     return best.select(*keys, (F.col("b._x") + 1).cast("long").alias("at"), (1 - F.col("b._both") / F.col("b._whole")).alias("gain"), F.col("b.t_n").cast("long").alias("n"))
 
 

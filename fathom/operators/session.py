@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,6 +70,30 @@ def fill_rows(df: DataFrame, keys: list[str], row: str, values: list[str], most:
     return each.select(*keys, (F.col(row) + F.col("_k")).alias(row), *between)
 
 
+def blend_rows(df: DataFrame, keys: list[str], order: list[str], gap: Column, step: float, places: list[str], arrays: list[str], nearer: list[str], fits: Column) -> DataFrame:
+    """(keys, share, places, arrays, nearer): rows between neighbours of a key where `fits` holds, every `step` of their `gap`.
+
+    gap and fits may use a row's columns and those of the row before, `prev`. Places are interpolated; arrays element by element where both
+    rows have one, else the one that there is; elements of `nearer` (labels, say) come from the nearer row, or the one that has them.
+    The rows themselves are not repeated.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    both = df.select(*keys, *order, *places, *arrays, *nearer, F.lag(F.struct(*order, *places, *arrays, *nearer)).over(w).alias("prev")).withColumn("_gap", gap)
+    both = both.where(F.col("prev").isNotNull() & (F.col("_gap") > step) & fits)
+    each = both.withColumn("share", F.explode(F.transform(F.sequence(F.lit(1), F.ceil(F.col("_gap") / step).cast("int")), lambda k: k * step / F.col("_gap")))).where("share < 1")
+    t = F.col("share")
+
+    def element(c: str, pick: Callable[[Column, Column], Column]) -> Column:
+        size = F.greatest(F.size(c), F.size(f"prev.{c}"))
+        one = lambda i: pick(F.get(f"prev.{c}", i), F.get(c, i))
+        return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), one)).otherwise(F.col(c)).alias(c)
+
+    mixed = lambda a, b: F.coalesce(a + (b - a) * t, a, b)
+    label = lambda a, b: F.when(t < 0.5, F.coalesce(a, b)).otherwise(F.coalesce(b, a))
+    spots = [(F.col(f"prev.{p}") + (F.col(p) - F.col(f"prev.{p}")) * t).alias(p) for p in places]
+    return each.select(*keys, "share", *spots, *[element(c, mixed) for c in arrays], *[element(c, label) for c in nearer])
+
+
 def quantised(x: Column, scale: float = 110.0) -> Column:
     """A brightness from 0 to 255; null stays null."""
     return F.least(F.greatest(F.floor(x * scale + 0.5), F.lit(0)), F.lit(255)).cast("int")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.geo import ground_range, half_up, lat_of, lon_of
 from fathom.operators import asof, graph, grid
-from fathom.operators.signal import RELIEF_STEP
+from fathom.operators.section import RELIEF_STEP
 from fathom.plans import survey as read
 from fathom.plans.align import KEY
 from fathom.plans.lake import DRAFT_M

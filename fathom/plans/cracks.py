@@ -1,7 +1,7 @@
 """Screening of a lining for lines: raster by stretch, ridges, then lines as tables.
 
-Only the raster and its line filter are NumPy, one bounded stretch of the track at a time (with a
-margin, whose ridges are dropped). Ridge pixels are rows from there on: linking, fitting, merging,
+Echoes are normalised and placed by array functions on each side's row. Only the line filter over one bounded
+stretch of the track at a time (with a margin, whose ridges are dropped) is NumPy. Ridge pixels are rows from there on: linking, fitting, merging,
 echo removal, classes and ranks are joins and aggregations.
 """
 
@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import geo, text
-from fathom.operators import graph, robust, signal
+from fathom.operators import graph, robust
+from fathom.operators import lines as line_filter
+from fathom.operators.arrays import staged
+from fathom.operators.section import REFERENCE_STEP
 from fathom.plans import survey as read
 from fathom.plans.align import KEY
 from fathom.session import cut
@@ -46,58 +49,67 @@ def compact_spans(detections: DataFrame) -> DataFrame:
     return named.join(small.select("cluster"), "cluster", "left_semi").select("survey", "side", "along", (F.col("offset") - F.coalesce("lit", F.lit(0.3))).alias("low"), (F.col("offset") + F.col("shadow")).alias("high"))
 
 
-def ground_of(r: np.ndarray, height: float, draft: float, is_open: bool, reach: float, toe: float | None, waterline: float | None) -> np.ndarray:
-    """Ground range of slant ranges; NaN where the section holds none."""
-    flat = np.where(r >= height, np.sqrt(np.maximum(0, r * r - height * height)), np.nan)
-    if is_open:
-        return np.where(flat <= reach, flat, np.nan)
-    slope = (height + draft) / (waterline - toe)
-    k = height + slope * toe
-    disc = 4 * slope * slope * k * k - 4 * (1 + slope * slope) * (k * k - r * r)
-    bank = (2 * slope * k + np.sqrt(np.maximum(0, disc))) / (2 * (1 + slope * slope))
-    return np.where(flat <= toe, flat, np.where((disc >= 0) & (bank >= toe) & (bank <= waterline), bank, np.nan))
+def ground_of(r: Column, draft: float) -> Column:
+    """Ground range of a slant range: over the bed up to the toe (or the reach of an open side), then up the bank's straight
+    slope to the waterline; null where the section holds none."""
+    height, toe, waterline = F.col("height"), F.col("toe"), F.col("waterline")
+    bed = F.when(r >= height, F.sqrt(F.greatest(F.lit(0.0), r * r - height * height)))
+    m = (height + draft) / (waterline - toe)
+    # The bank is z = m * (y - toe) - height; r^2 = y^2 + z^2 is solved for y, with c = height + m * toe.
+    c = height + m * toe
+    square = r * r * (1 + m * m) - c * c
+    bank = F.when(square >= 0, (m * c + F.sqrt(F.greatest(F.lit(0.0), square))) / (1 + m * m))
+    return F.when(F.col("open"), F.when(bed <= F.col("reach"), bed)).when(bed <= toe, bed).otherwise(F.when(bank.between(toe, waterline), bank))
 
 
-def _raster(pitch: float, draft: float, low: float, stretch: float):
-    """Normalised echoes of one stretch as an image, and its ridges."""
+def normalised(sides: DataFrame, draft: float) -> DataFrame:
+    """sides (echo, reference and section of a ping's side, spans to leave out) with columns and values: the echoes over the
+    usual echo at their range, by COLUMN_M from the track (port is positive). Left out are the strip below the boat, what lies near
+    the toe or the waterline, and the spans."""
+    near = lambda k: F.filter(F.slice("reference", F.greatest(k - 4, F.lit(1)), F.least(k + 5, F.lit(5)) + 6), lambda x: x > 0)
+    mean = lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, b: a + b) / F.size(x))
+    wide = staged(sides, wide=F.transform("reference", lambda _, k: mean(near(k))), dr=F.col("range_m") / F.size("echo"))
+
+    def place(v: Column, k: Column) -> Column:
+        slant = (k + 0.5) * F.col("dr")
+        usual = F.get("wide", F.least(F.floor(slant / REFERENCE_STEP).cast("int"), F.size("wide") - 1))
+        return F.struct(ground_of(slant, draft).alias("g"), (v / usual).alias("v"), usual.alias("usual"))
+
+    def seen(x: Column) -> Column:
+        bank = F.col("open") | (F.abs(x["g"] - F.col("toe")) >= 0.3) & (x["g"] <= F.col("waterline") - 0.5)
+        hidden = F.coalesce(F.exists("spans", lambda o: (x["g"] >= o["low"]) & (x["g"] <= o["high"])), F.lit(False))
+        return F.coalesce((x["usual"] > 2) & (x["g"] >= F.greatest(F.lit(0.3), 0.3 * F.col("height"))) & bank & ~hidden, F.lit(False))
+
+    outward = F.when(F.col("side") == 0, 1).otherwise(-1)
+    kept = staged(wide, kept=F.filter(F.transform("echo", place), seen))
+    column = lambda x: F.floor(outward * x["g"] / line_filter.COLUMN_M + 0.5).cast("int")
+    return kept.withColumn("columns", F.transform("kept", column)).withColumn("values", F.transform("kept", lambda x: x["v"])).drop("kept", "wide", "dr")
+
+
+def _ridges(pitch: float, low: float, stretch: float):
+    """The ridges of one stretch, from the means of its normalised echoes by row and column."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        px = signal.COLUMN_M
-        reach = float(min(MOST_OFFSET_M, np.nanmax(np.where(pdf["open"], pdf["reach"], pdf["waterline"])) + 0.1))
-        first = int(math.floor(pdf["along"].min() / pitch))
-        height = int(math.floor(pdf["along"].max() / pitch)) - first + 1
-        width = math.ceil(2 * reach / px) + 1
-        if height * width > MOST_PIXELS:
-            raise ValueError(f"a stretch of {height} x {width} pixels is too large to screen; choose a shorter one")
-        total, count = np.zeros((height, width)), np.zeros((height, width))
-        for r in pdf.itertuples(index=False):
-            half = read._halves(r.samples)[r.side].astype(float)
-            dr = r.range_m / len(half)
-            ref = np.asarray(r.reference, dtype=float)
-            known = np.where(ref > 0, ref, np.nan)
-            wide = signal.box_mean(np.nan_to_num(known), 5) / np.maximum(signal.box_mean((~np.isnan(known)).astype(float), 5), 1e-9)
-            slant = (np.arange(len(half)) + 0.5) * dr
-            usual = wide[np.minimum((slant / signal.REFERENCE_STEP).astype(int), len(wide) - 1)]
-            g = ground_of(slant, r.height, draft, r.open, r.reach, r.toe, r.waterline)
-            ok = (usual > 2) & (g >= max(0.3, 0.3 * r.height))
-            if not r.open:
-                ok &= (np.abs(g - r.toe) >= 0.3) & (g <= r.waterline - 0.5)
-            for a, b in zip(r.lows if r.lows is not None else (), r.highs if r.highs is not None else ()):
-                ok &= (g < a) | (g > b)
-            at = np.floor(((1 if r.side == 0 else -1) * g[ok] + reach) / px + 0.5).astype(int)
-            value = half[ok] / usual[ok]
-            inside = (at >= 0) & (at < width)
-            j = int(math.floor(r.along / pitch)) - first
-            total[j] += np.bincount(at[inside], weights=value[inside], minlength=width)
-            count[j] += np.bincount(at[inside], minlength=width)
+        none = pd.DataFrame(columns=["survey", "polarity", "i", "j", "z", "direction"])
+        sizes = pdf["columns"].map(len).to_numpy()
+        if not sizes.sum():
+            return none
+        i = np.concatenate(pdf["columns"].to_list()).astype(int)
+        j = np.repeat(np.floor(pdf["along"].to_numpy() / pitch).astype(int), sizes)
+        v = np.concatenate(pdf["values"].to_list()).astype(float)
+        left, first = i.min(), j.min()
+        shape = (int(j.max() - first) + 1, int(i.max() - left) + 1)
+        if shape[0] * shape[1] > MOST_PIXELS:
+            raise ValueError(f"a stretch of {shape[0]} x {shape[1]} pixels is too large to screen; choose a shorter one")
+        at = (j - first) * shape[1] + i - left
+        count = np.bincount(at, minlength=shape[0] * shape[1]).reshape(shape)
+        total = np.bincount(at, weights=v, minlength=shape[0] * shape[1]).reshape(shape)
         image = np.where(count > 0, total / np.maximum(count, 1), np.nan)
-        single = np.isnan(image[:, 1:-1]) & ~np.isnan(image[:, :-2]) & ~np.isnan(image[:, 2:])
-        image[:, 1:-1] = np.where(single, (image[:, :-2] + image[:, 2:]) / 2, image[:, 1:-1])
-        # Columns count from the track, so that stretches of different reach agree.
-        middle = round(reach / px)
-        core = int(pdf["stretch"].iloc[0])
-        rows = [(pdf["survey"].iloc[0], p, i - middle, j + first, z, a) for p, i, j, z, a in signal.ridges(image, px, pitch, low)]
-        return pd.DataFrame([r for r in rows if math.floor(r[3] * pitch / stretch) == core], columns=["survey", "polarity", "i", "j", "z", "direction"])
+        between = (line_filter.shifted(image, -1, 0) + line_filter.shifted(image, 1, 0)) / 2  # NaN unless both sides are known
+        image = np.where(np.isnan(image), between, image)
+        core, survey = int(pdf["stretch"].iloc[0]), pdf["survey"].iloc[0]
+        rows = [(survey, p, a + left, b + first, z, d) for p, a, b, z, d in line_filter.ridges(image, line_filter.COLUMN_M, pitch, low)]
+        return pd.DataFrame([r for r in rows if math.floor(r[3] * pitch / stretch) == core], columns=none.columns)
 
     return run
 
@@ -105,15 +117,18 @@ def _raster(pitch: float, draft: float, low: float, stretch: float):
 def ridge_pixels(pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: DataFrame, pitch: float, sensitivity: float = 0.5, draft_m: float = 0.2, stretch_m: float = STRETCH_M) -> DataFrame:
     """Ridge pixels of all stretches: column i by COLUMN_M from the track (port is positive), row j by pitch along it."""
     low = 6 - 3 * sensitivity - 1.5
-    hidden = spans.groupBy("survey", "side", "along").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    hidden = spans.groupBy("survey", "side", "along").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     both = (
         sides.where("not empty").select("survey", "ping", "side", "open", "reach", "waterline", "toe")
-        .join(pings.select("survey", "ping", "along", "height", "range_m", "samples"), ["survey", "ping"])
+        .join(read.halves(pings, "along"), ["survey", "ping", "side"])
         .join(reference, ["survey", "ping", "side"]).join(hidden, ["survey", "side", "along"], "left")
     )
     first, last = F.floor((F.col("along") - MARGIN_M) / stretch_m), F.floor((F.col("along") + MARGIN_M) / stretch_m)
-    spread = both.withColumn("stretch", F.explode(F.sequence(first, last))).where("stretch >= 0")
-    return spread.groupBy("survey", "stretch").applyInPandas(_raster(pitch, draft_m, low, stretch_m), RIDGE)
+    near = both.withColumn("offset_limit", F.lit(MOST_OFFSET_M / line_filter.COLUMN_M))
+    placed = normalised(near, draft_m).withColumn("inside", F.filter(F.arrays_zip("columns", "values"), lambda x: F.abs(x["columns"]) <= F.col("offset_limit")))
+    rows = placed.select("survey", "along", F.col("inside.columns").alias("columns"), F.col("inside.values").alias("values"))
+    spread = rows.withColumn("stretch", F.explode(F.sequence(first, last))).where("stretch >= 0")
+    return spread.groupBy("survey", "stretch").applyInPandas(_ridges(pitch, low, stretch_m), RIDGE)
 
 
 def _fits(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,9 +142,9 @@ def _fits(points: DataFrame, keys: list[str]) -> DataFrame:
 def segments(pixels: DataFrame, pitch: float, sensitivity: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(points with a segment, fitted segments): linked pixels of similar direction, one of them strong enough."""
     high = 6 - 3 * sensitivity
-    p = pixels.withColumn("id", F.xxhash64("survey", "polarity", "i", "j")).withColumn("x", F.col("i") * signal.COLUMN_M).withColumn("y", F.col("j") * pitch)
+    p = pixels.withColumn("id", F.xxhash64("survey", "polarity", "i", "j")).withColumn("x", F.col("i") * line_filter.COLUMN_M).withColumn("y", F.col("j") * pitch)
     turn = F.abs(F.col("p.direction") - F.col("q.direction"))
-    linked = (F.col("p.survey") == F.col("q.survey")) & (F.col("p.polarity") == F.col("q.polarity")) & (F.least(turn, signal.DIRECTIONS - turn) <= 1)
+    linked = (F.col("p.survey") == F.col("q.survey")) & (F.col("p.polarity") == F.col("q.polarity")) & (F.least(turn, line_filter.DIRECTIONS - turn) <= 1)
     step = F.abs(F.col("p.i") - F.col("q.i")) <= 1
     roots = graph.connected_components(graph.cell_links(p, "id", "i", "j", 1.0, linked & step & (F.abs(F.col("p.j") - F.col("q.j")) <= 1)))
     named = cut(p.join(roots.withColumnsRenamed({"node": "id", "root": "segment"}), "id"))
@@ -152,7 +167,7 @@ def merged_lines(points: DataFrame, fitted: DataFrame, gap: float, lateral: floa
 
 def without_echoes(lines: DataFrame) -> DataFrame:
     """Lines that aren't the bright rim of a dark one, nor a dark rim of a far stronger bright one."""
-    reach = signal.FLANK_M + 0.1
+    reach = line_filter.FLANK_M + 0.1
     ux, uy = F.cos("q.angle"), F.sin("q.angle")
     dx, dy = F.col("p.cx") - F.col("q.cx"), F.col("p.cy") - F.col("q.cy")
     parallel = F.abs(F.cos(F.col("p.angle") - F.col("q.angle"))) >= math.cos(math.radians(12))

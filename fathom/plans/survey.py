@@ -1,6 +1,6 @@
 """Survey read: pings with headings, heights and cross-sections.
 
-Kernels see one ping at a time; everything that looks along the track is a window by survey.
+Readings of one ping are array functions on its row; everything that looks along the track is a window by survey.
 Windows along the track are RANGE frames in seconds or metres, so that no data-dependent row
 count has to be known first.
 """
@@ -8,15 +8,12 @@ count has to be known first.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fathom.functions.geo import local_x, local_y
-from fathom.operators import asof, sample, session, signal
+from fathom.operators import arrays, asof, sample, section, session
 from fathom.plans.align import GAP_S, KEY, resolve_positions, survey_key
 from fathom.plans.lake import DRAFT_M, accepted_depths
 
@@ -25,7 +22,6 @@ LEAST_STEP_M, LEAST_COSINE, MOST_RATIO, MOST_LATERAL_M = 0.6, 0.9063, 2.2, 1.0
 LEAST_TURN_M, MOST_TURN_DEG = 0.3, 30.0
 RUN_STEP_M, RUN_STEP_S, LEAST_RUN_M = 1.5, 2.0, 3.0
 REFERENCE_M = 15.0
-FEATURE = "array<struct<kind:string,start:double,end:double,lit:double,height:double,shadow_start:double,shadow_end:double,contrast:double>>"
 
 
 def within(keys: list[str], column: str, reach: float) -> WindowSpec:
@@ -89,36 +85,18 @@ def steady_track(pings: DataFrame) -> DataFrame:
     return kept.drop("hx", "hy", "t", "x", "y").join(ordered, ["survey", "ping"])
 
 
-def _halves(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    s = np.frombuffer(raw, dtype=np.uint8)
-    half = len(s) // 2
-    return s[:half][::-1], s[half : 2 * half]
+def halves(pings: DataFrame, *columns: str) -> DataFrame:
+    """pings with a row for each side: side (0 port, 1 starboard) and its samples outward as echo, instead of samples."""
+    port, starboard = arrays.split_halves(arrays.bytes_of(F.col("samples")))
+    each = F.posexplode(F.array(port, starboard)).alias("side", "echo")
+    kept = pings.select("survey", "ping", "height", "range_m", *columns, each)
+    return kept.withColumn("echo", F.transform("echo", lambda x: x.cast("double"))).where(F.size("echo") > 0)
 
 
 def outlines(pings: DataFrame, draft_m: float = DRAFT_M) -> DataFrame:
     """(survey, ping, side, along, height, open, reach, waterline, empty, row): both sides of each ping, first reading."""
-    schema = "survey string, ping long, side int, along double, height double, open boolean, reach double, waterline double, empty boolean, row array<int>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for survey, ping, along, height, range_m, raw in zip(*(b.column(i).to_pylist() for i in range(6))):
-                for k, half in enumerate(_halves(raw)):
-                    s, _ = signal.Side(half, range_m, height, draft_m).outline()
-                    rows.append({"survey": survey, "ping": ping, "side": k, "along": along, "height": height, "open": s.open, "reach": s.reach, "waterline": s.waterline, "empty": s.empty, "row": s.row.tolist()})
-            yield from _rows(rows, _OUTLINE)
-
-    return pings.select("survey", "ping", "along", "height", "range_m", "samples").mapInArrow(run, schema)
-
-
-_OUTLINE = pa.schema([("survey", pa.string()), ("ping", pa.int64()), ("side", pa.int32()), ("along", pa.float64()), ("height", pa.float64()), ("open", pa.bool_()), ("reach", pa.float64()), ("waterline", pa.float64()), ("empty", pa.bool_()), ("row", pa.list_(pa.int32()))])
-_FEATURE = pa.struct([("kind", pa.string())] + [(n, pa.float64()) for n in ("start", "end", "lit", "height", "shadow_start", "shadow_end", "contrast")])
-_READING = pa.schema([("survey", pa.string()), ("ping", pa.int64()), ("side", pa.int32()), ("toe", pa.float64()), ("assumed", pa.bool_()), ("features", pa.list_(_FEATURE)), ("relief", pa.list_(pa.float64()))])
-
-
-def _rows(rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    read = section.outline(halves(pings, "along"), draft_m)
+    return read.select("survey", "ping", "side", "along", "height", "open", "reach", "waterline", "empty", "row")
 
 
 def references(sides: DataFrame) -> DataFrame:
@@ -135,26 +113,11 @@ def references(sides: DataFrame) -> DataFrame:
 
 def readings(pings: DataFrame, reference: DataFrame, draft_m: float = DRAFT_M, sensitivity: float = 0.5) -> DataFrame:
     """(survey, ping, side, toe, assumed, features, relief): the second reading, against the reference."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for survey, ping, height, range_m, raw, side, ref in zip(*(b.column(i).to_pylist() for i in range(7))):
-                half = signal.Side(_halves(raw)[side], range_m, height, draft_m)
-                out, end = half.outline()
-                relief = None
-                if not out.empty:
-                    known = np.array(ref)
-                    half.shadows(out, end, known, sensitivity)
-                    half.find_toe(out, end)
-                    stop = half.n if out.open else min(end, int(np.hypot(max(0.0, (out.toe or 0.0) - 0.5), height) / half.dr))
-                    relief = half.relief(out, stop, known)
-                rows.append({"survey": survey, "ping": ping, "side": side, "toe": out.toe, "assumed": out.assumed, "features": out.features, "relief": None if relief is None else relief.tolist()})
-            yield from _rows(rows, _READING)
-
-    joined = pings.select("survey", "ping", "height", "range_m", "samples").join(reference, ["survey", "ping"])
-    schema = f"survey string, ping long, side int, toe double, assumed boolean, features {FEATURE}, relief array<double>"
-    return joined.select("survey", "ping", "height", "range_m", "samples", "side", "reference").mapInArrow(run, schema)
+    sides = halves(pings).join(reference, ["survey", "ping", "side"])
+    read = section.toe(section.shadows(section.outline(sides, draft_m), sensitivity), draft_m)
+    inner = F.greatest(F.lit(0.0), F.coalesce("toe", F.lit(0.0)) - 0.5)
+    stop = F.when(F.col("open"), F.col("n")).otherwise(F.least(F.col("end"), F.floor(F.hypot(inner, F.col("height")) / F.col("dr")).cast("int")))
+    return section.relief(read, stop).select("survey", "ping", "side", "toe", "assumed", "features", "relief")
 
 
 def smooth_banks(sides: DataFrame, draft_m: float = DRAFT_M) -> DataFrame:

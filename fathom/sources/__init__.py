@@ -5,7 +5,8 @@ from fathom.sources.sonar import SonarDataSource, frames_from_files, index_recor
 
 
 def register(spark) -> None:
-    """Makes spark.read.format("sl3") and format("bin_log") known."""
+    """Makes spark.read.format("sl3") and format("bin_log") known, and has Spark push filters to them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SonarDataSource)
     spark.dataSource.register(LogDataSource)
 

@@ -5,7 +5,7 @@
 
 Only what is asked for is read: filters on channel, time_ms and recording_id are pushed to the reader, which then
 decodes the headers of fitting frames only (Spark does so once spark.sql.python.filterPushdown.enabled is true, as
-`fathom.session.prepare` sets it), and payloads are touched only where the column samples is in the schema: with the option
+`fathom.sources.register` sets it), and payloads are touched only where the column samples is in the schema: with the option
 samples=true, or by .schema("channel int, samples binary"), which also narrows the columns.
 
 A frame's place is only known from the one before. `index_recordings` walks the chains once, a file a task, and leaves a small

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import signal
+from fathom.operators import lines, section
 from fathom.plans import align, canal
 from fathom.sources import synthetic
 
@@ -46,38 +46,79 @@ def canal_file(seconds=40, rate=5, boxed=lambda x: False):
     return synthetic.sonar_file(pings)
 
 
-def test_a_closed_side():
+def side_of(spark, samples, reference=(), stop=None):
+    row = [([float(x) for x in samples], RANGE, H, [float(x) for x in reference])]
+    df = spark.createDataFrame(row, "echo array<double>, range_m double, height double, reference array<double>")
+    out = section.toe(section.shadows(section.outline(df, DRAFT), 0.5), DRAFT)
+    return section.relief(out, F.lit(stop) if stop is not None else F.col("n")).first()
+
+
+def test_a_closed_side(spark):
     rng = np.random.default_rng(1)
-    side = signal.Side(echoes(rng, 6.0, 9.0), RANGE, H, DRAFT)
-    out, end = side.outline()
+    samples = echoes(rng, 6.0, 9.0)
+    out = side_of(spark, samples)
     assert not out.open and out.waterline == pytest.approx(9.0, abs=0.4)
-    side.shadows(out, end, np.zeros(0), 0.5)
-    side.find_toe(out, end)
-    assert out.toe == pytest.approx(6.0, abs=0.4) and not out.assumed and out.features == []
-    relief = side.relief(out, round(math.hypot(5.5, H) / side.dr), np.where(out.row > 0, out.row - 1.0, 0.0))
+    assert out.toe == pytest.approx(6.0, abs=0.4) and not out.assumed and out.features == [] and out.relief is None
+    row = np.array(out.row)
+    relief = side_of(spark, samples, np.where(row > 0, row - 1.0, 0.0), round(math.hypot(5.5, H) / (RANGE / N))).relief
     assert relief is not None and np.abs(relief).max() < 0.3
 
 
-def test_an_open_side_with_a_box():
+def test_an_open_side_with_a_box(spark):
     rng = np.random.default_rng(2)
-    side = signal.Side(echoes(rng, box=(3.0, 0.4, 0.5)), RANGE, H, DRAFT)
-    out, end = side.outline()
+    out = side_of(spark, echoes(rng, box=(3.0, 0.4, 0.5)), np.full(math.ceil(RANGE / section.REFERENCE_STEP), 120.0))
     assert out.open and out.reach == pytest.approx(math.sqrt(RANGE**2 - H**2))
-    side.shadows(out, end, np.full(math.ceil(RANGE / signal.REFERENCE_STEP), 120.0), 0.5)
     assert [f["kind"] for f in out.features] == ["object"]
     assert out.features[0]["height"] == pytest.approx(0.5, abs=0.12) and out.features[0]["end"] == pytest.approx(3.4, abs=0.25)
 
 
-def test_silence_is_empty():
-    out, _ = signal.Side(np.full(N, 7, dtype=np.uint8), RANGE, H, DRAFT).outline()
-    assert out.empty
+def test_silence_is_empty(spark):
+    assert side_of(spark, np.full(N, 7)).empty
+
+
+def test_short_and_missing_samples(spark):
+    for n in (1, 2, 7, 40):
+        assert side_of(spark, np.arange(n) * 6 % 200).n == n
+
+
+def test_readings_by_plain_code(spark):
+    """Levels, waterline, reference row and split against loops over the samples."""
+    rng = np.random.default_rng(4)
+    samples = echoes(rng, 6.0, 9.0).astype(float)
+    out = side_of(spark, samples)
+    s = [samples[max(0, i - 2) : i + 3].mean() for i in range(N)]
+    assert out.s == pytest.approx(s)
+    dr, first = RANGE / N, int(H / (RANGE / N))
+
+    def level(x, q):
+        y = sorted(min(255, max(0, math.floor(v + 0.5))) for v in x)
+        return y[min(len(y) - 1, int(q * len(y)))]
+
+    assert out.noise == min(level(s[1 : first - 1], 0.5), level(s, 0.05)) and out.bed == level(s[first + 2 : int(math.hypot(2, H) / dr)], 0.5)
+    mean = lambda a, b: sum(s[a:b]) / len(s[a:b])
+    limit, w = out.noise + 0.2 * (out.bed - out.noise), round(0.5 / dr)
+    end = next(i for i in range(first + w, N - w, w // 8) if mean(i, i + w) < limit and mean(i, min(N, i + round(3 / dr))) < limit and mean(i, N) < limit)
+    assert out.end == end and out.waterline == pytest.approx(math.sqrt((end * dr) ** 2 - DRAFT**2))
+    cells = {}
+    for i in range(first, end):
+        cells.setdefault(int(round(i * dr / 0.05, 9)), []).append(s[i])
+    row = [min(255, math.floor(sum(cells[c]) / len(cells[c]) + 0.5) + 1) if c in cells else 0 for c in range(400)]
+    assert all(abs(a - b) <= (b > 0) for a, b in zip(out.row, row, strict=True)) and sum(a != b for a, b in zip(out.row, row)) < 20  # a mean may lie at a half
+    points = [(y, s[int(math.hypot(y, H) / dr)]) for y in (H + 0.05 + 0.1 * k for k in range(300)) if y < out.waterline and int(math.hypot(y, H) / dr) < end]
+
+    def error(p):
+        x, y = np.array(p).T
+        return float(((y - np.polyval(np.polyfit(x, y, 1), x)) ** 2).sum())
+
+    splits = [(error(points[: i + 1]) + error(points[i + 1 :]), i) for i in range(2, len(points) - 3) if points[i][0] - points[0][0] >= 0.4 and points[-1][0] - points[i][0] >= 0.4]
+    assert out.toe == pytest.approx((points[min(splits)[1]][0] + points[min(splits)[1] + 1][0]) / 2, abs=1e-6)
 
 
 def test_a_line_in_speckle_is_a_ridge():
     rng = np.random.default_rng(3)
     image = rng.normal(1, 0.1, (60, 400))
     image[30, 100:250] -= 0.5
-    found = [r for r in signal.ridges(image, 0.015, 0.05, 4.5) if r[0] == "dark"]
+    found = [r for r in lines.ridges(image, 0.015, 0.05, 4.5) if r[0] == "dark"]
     on = [r for r in found if r[2] == 30 and 100 <= r[1] < 250]
     assert len(on) > 100 and {r[4] for r in on} <= {0, 1, 11}
 
