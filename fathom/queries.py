@@ -469,16 +469,27 @@ def ridge_thin(spark, sf_dir):
 
 
 @query(
-    """with e as (select label, vec_id, unnest(range(8)) as k, embedding[unnest(range(1, 9))] as v from embeddings)
-, w as (select label, vec_id, k, coalesce(avg(case when v > 0 then cast(v as double) end) over (partition by label, k order by vec_id range between 20 preceding and 20 following), 0) as m from e)
-select vec_id, round(sum((k + 1) * m), 6) as reference from w group by all"""
+    """with e as (select label, vec_id, unnest(range(len(embedding))) as k, unnest(embedding) as v from embeddings)
+select vec_id, k as position, round(coalesce(avg(case when v > 0 then cast(v as double) end) over (partition by label, k order by vec_id range between 20 preceding and 20 following), 0), 6) as reference from e"""
 )
 def sliding_reference(spark, sf_dir):
-    """Per-position means over neighbouring rows, as one checksum for each row."""
-    v = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 8).alias("s"))
+    """For every position of a vector, the mean over the neighbouring rows of its label."""
+    v = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").alias("s"))
     got = arrays.sliding_reference(v, ["label"], "vec_id", "s", 20)
-    total = F.aggregate(F.transform("reference", lambda x, k: x * (k + 1)), F.lit(0.0), lambda s, x: s + x)
-    return got.select("vec_id", r6(total).alias("reference"))
+    return got.select("vec_id", F.posexplode("reference").alias("position", "reference")).select("vec_id", F.col("position").cast("long").alias("position"), r6("reference").alias("reference"))
+
+
+@query(
+    """with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as s from embeddings), h as (select vec_id, s, len(s) // 2 as n from e)
+select vec_id, i - 1 as position, round(s[n + 1 - i], 6) as port, round(s[n + i], 6) as starboard, round(list_avg(s[greatest(i - 2, 1) : least(i + 2, 2 * n)]), 6) as smooth from (select *, unnest(range(1, n + 1)) as i from h)"""
+)
+def array_halves(spark, sf_dir):
+    """Both halves of every vector outward from its middle, and centred means, element by element."""
+    s = F.transform("embedding", lambda x: x.cast("double"))
+    port, starboard = arrays.split_halves(s)
+    near = F.slice(arrays.smooth(s, 2), F.lit(1), F.size(port))
+    each = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.arrays_zip(port.alias("p"), starboard.alias("s"), near.alias("m"))).alias("position", "v"))
+    return each.select("vec_id", F.col("position").cast("long").alias("position"), r6("v.p").alias("port"), r6("v.s").alias("starboard"), r6("v.m").alias("smooth"))
 
 
 @query(
@@ -600,12 +611,11 @@ def positions(spark, sf_dir):
     )
 
 
-@query("""select count(*) as n, max(lead_days) as top from (select date_diff('day', lag(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey), o_orderdate) as lead_days from orders)""")
+@query("select o_orderkey, date_diff('day', lag(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey), o_orderdate) as days from orders")
 def first_differences(spark, sf_dir):
-    """Gaps to the row before."""
+    """The days from each customer's order before."""
     o = table(spark, sf_dir, "orders").withColumn("t", geo.seconds("o_orderdate"))
-    got = session.steps(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "t")
-    return got.agg(F.count("*").alias("n"), (F.max("step") / 86400).cast("long").alias("top"))
+    return session.steps(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "t").select("o_orderkey", (F.col("step") / 86400).cast("long").alias("days"))
 
 
 @query(
@@ -713,9 +723,25 @@ def neighbour_scan(spark, sf_dir):
     return session.neighbours(events(spark, sf_dir), ["user_id"], "t", F.lit(1.7e9))
 
 
-@query()
+@query(
+    """with recursive e as (select user_id, value, epoch(ts) as t, row_number() over (partition by user_id order by ts, event_id) as n from events)
+, r as (select user_id, n, t, 0.0::double as base, value as lx, 0.0::double as out from e where n = 1
+ union all select user_id, n, t, case when d >= 3 then base + d else base end, case when d >= 3 then value else lx end, base + d
+ from (select e.user_id, e.n, e.t, e.value, r.base, r.lx, sqrt(power(e.value - r.lx, 2) + power(e.value - r.lx, 2)) as d from r join e on e.user_id = r.user_id and e.n = r.n + 1))
+, p as (select user_id, n, t, max(out) over (partition by user_id order by n rows unbounded preceding) as along from r)
+, m as (select user_id, max(along) as total, arg_min(along, (abs(t - 1.7e9), t)) as mid, count(*) as c from p group by user_id having count(*) > 1)
+, h as (select user_id, total, greatest(mid - 100, 0) as low0, case when mid - 100 < 0 then least(total, 200.0) else mid + 100 end as high0 from m)
+, l as (select user_id, greatest(low0 - greatest(high0 - total, 0), 0) as low, high0 - greatest(high0 - total, 0) as high from h)
+, g as (select p.user_id, n, t as t1, along as a1, lag(t) over w as t0, lag(along) over w as a0 from p window w as (partition by p.user_id order by n))
+, k as (select g.*, low, high, t0 + (t1 - t0) * least(greatest((low - a0) / greatest(a1 - a0, 1e-9), 0), 1) as tl, t0 + (t1 - t0) * least(greatest((high - a0) / greatest(a1 - a0, 1e-9), 0), 1) as th from g join l using (user_id) where n > 1)
+select user_id, round(coalesce(arg_min(tl, n) filter (a1 >= low), arg_max(tl, n)), 3) as "start", round(coalesce(arg_min(th, n) filter (a1 >= high), arg_max(th, n)), 3) as "end", round(min(high - low), 6) as length from k group by user_id"""
+)
 def route_stretch(spark, sf_dir):
     """200 units of each user's route around the middle of all events; which moves count depends on all before."""
     e = events(spark, sf_dir).select("user_id", "event_id", "t", "value")
     placed = session.route_distance(e, ["user_id"], ["t", "event_id"], "value", "value")
-    return session.stretch(placed, ["user_id"], "t", "along", 200.0, F.lit(1.7e9))
+    got = session.stretch(placed, ["user_id"], "t", "along", 200.0, F.lit(1.7e9))
+    return got.select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), r6("length").alias("length"))
+
+
+from fathom import queries_more  # noqa: E402, F401  the further queries register themselves here
