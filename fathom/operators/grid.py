@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.geo import half_up
+from fathom.operators import robust
 from fathom.operators.asof import counted, repeats
 from fathom.session import cut
 
@@ -14,13 +17,17 @@ def cell_of(x: Column | str, size: float) -> Column:
     return half_up((F.col(x) if isinstance(x, str) else x) / size)
 
 
+def least_size(first: Column, fits: Callable[[Column], Column], steps: int = 400) -> Column:
+    """The smallest of first, 1.01 first, 1.01^2 first, ... for which fits() holds; null if none of so many steps does."""
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: first * F.pow(F.lit(1.01), k))
+    return F.get(F.filter(sizes, fits), F.lit(0))
+
+
 def fitting_size(width: Column, height: Column, most: int, least: float, margin: float = 0.0, steps: int = 400) -> Column:
     """The smallest of the sizes s, 1.01 s, 1.01^2 s, ... with which an area and a margin of cells on each side has at most
     `most` cells; s is the side of as many equal squares, or `least` if that is larger. Each row has its own size."""
     first = F.greatest(F.lit(float(least)), F.sqrt(width * height / most))
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: first * F.pow(F.lit(1.01), k))
-    count = lambda s: (F.ceil(width / s) + 1 + 2 * margin) * (F.ceil(height / s) + 1 + 2 * margin)
-    return F.get(F.filter(sizes, lambda s: count(s) <= most), F.lit(0))
+    return least_size(first, lambda s: (F.ceil(width / s) + 1 + 2 * margin) * (F.ceil(height / s) + 1 + 2 * margin) <= most, steps)
 
 
 def median_cells(points: DataFrame, x: str, y: str, value: str, size: float, keys: list[str] | None = None) -> DataFrame:
@@ -50,8 +57,9 @@ def around(cells: DataFrame, reach: int, keep: list[str]) -> DataFrame:
     return cells.withColumn("_o", F.explode(offsets(reach))).select((F.col("i") - F.col("_o.di")).alias("i"), (F.col("j") - F.col("_o.dj")).alias("j"), F.col("_o.di").alias("di"), F.col("_o.dj").alias("dj"), *keep)
 
 
-def idw_fill(cells: DataFrame, size: float, radius: float, value: str = "value", keys: list[str] | None = None) -> DataFrame:
-    """(keys, i, j, value, n): cells without a value, from at least three measured ones within radius.
+def idw_fill(cells: DataFrame, size: float, radius: float, value: str = "value", keys: list[str] | None = None, own: str | None = None) -> DataFrame:
+    """(keys, i, j, value, n): cells without a value, from at least three measured ones within radius, and within the radius
+    in the column `own` of cells, if named, which is the same for all cells of a key.
 
     The weight is 1/d^2. A cell whose neighbours leave an angle of pi-0.01 or more open lies outside
     the measured area and stays empty.
@@ -59,7 +67,7 @@ def idw_fill(cells: DataFrame, size: float, radius: float, value: str = "value",
     at = [*(keys or []), "i", "j"]
     reach = int(radius // size)
     d = size * F.sqrt(F.col("di") * F.col("di") + F.col("dj") * F.col("dj"))
-    near = around(cells, reach, [*(keys or []), value]).withColumn("d", d).where(F.col("d") <= radius).withColumn("angle", F.atan2(F.col("dj").cast("double"), F.col("di").cast("double")))
+    near = around(cells, reach, [*(keys or []), value, *([own] if own else [])]).withColumn("d", d).where(F.col("d") <= (F.least(F.lit(radius), own) if own else radius)).withColumn("angle", F.atan2(F.col("dj").cast("double"), F.col("di").cast("double")))
     empty = near.join(cells.select(*at), at, "left_anti")
     w = Window.partitionBy(*at)
     turn = F.lead("angle").over(w.orderBy("angle", "d"))
@@ -183,6 +191,6 @@ def ridge_thin(cells: DataFrame, low: float, z: str = "z", steps: str = "normal"
 def stretch(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98, every: int = 1, order: str | None = None) -> DataFrame:
     """df with level 0..255 between two quantiles, taken from every so-many-th row by a hash of the order column."""
     base = df if every == 1 else df.where(F.pmod(F.xxhash64(order), F.lit(every)) == 0)
-    ends = base.agg(F.percentile(value, low).alias("_lo"), F.percentile(value, high).alias("_hi"))
+    ends = robust.part_quantiles(base, [], value, {"_lo": low, "_hi": high})  # one row
     scaled = (F.col(value) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))
     return df.join(F.broadcast(ends)).withColumn("level", F.least(F.greatest(half_up(scaled * 255), F.lit(0)), F.lit(255)).cast("int")).drop("_lo", "_hi")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.geo import ground_range, half_up, lat_of, lon_of
-from fathom.operators import asof, graph, grid
+from fathom.operators import asof, grid, groups, session
+from fathom.operators.arrays import staged
 from fathom.operators.section import RELIEF_STEP
 from fathom.plans import survey as read
 from fathom.plans.align import KEY
@@ -20,6 +21,8 @@ from fathom.session import cut
 SOURCES = {"measured": 1, "bed": 2, "bank": 3, "bank_assumed": 4, "land": 5, "object": 6}
 RANKS = {"measured": 6, "bed": 5, "bank": 4, "bank_assumed": 3, "land": 2, "object": 7}
 LAND_M, STRIP_M = 0.35, 1.5
+# The longest gap in the track that sections are blended over.
+MOST_GAP_M, MOST_GAP_S = 2.0, 5.0
 CELL_M = 0.2
 
 
@@ -61,14 +64,26 @@ def section_value(a: Column) -> tuple[Column, Column]:
 
 
 def lay_sections(pings: DataFrame, sides: DataFrame, cell: float) -> DataFrame:
-    """(survey, i, j, depth, source): weighted means where cross-sections meet, the best source of each cell."""
-    shape = pings.select("survey", "ping", "x", "y", "hx", "hy", "baseline", "anomaly")
+    """(survey, i, j, depth, source): weighted means where cross-sections meet, the best source of each cell.
+
+    Where pings are missing over 0.7 cells to two metres of track and at most five seconds, sections blended from both sides
+    of the gap are laid as well.
+    """
+    shape = pings.select("survey", "ping", "t", "x", "y", "hx", "hy", "baseline", "anomaly")
+    step = cell / 2
     far = F.when(F.col("open"), F.col("reach")).otherwise(F.col("waterline") + STRIP_M)
     out = sides.where("not empty").select("survey", "ping", "side", "open", "reach", "waterline", "toe", "assumed", "relief").join(shape, ["survey", "ping"])
-    steps = out.withColumn("a", F.explode(F.transform(F.sequence(F.lit(0), F.floor(far / (cell / 2)).cast("int")), lambda k: k * (cell / 2))))
     sign = F.when(F.col("side") == 0, 1.0).otherwise(-1.0)  # port lies to the left of the heading
-    depth, source = section_value(F.col("a"))
-    points = steps.select("survey", (F.col("x") - sign * F.col("a") * F.col("hy")).alias("px"), (F.col("y") + sign * F.col("a") * F.col("hx")).alias("py"), depth.alias("d"), source.alias("s"), "a")
+    places = F.transform(F.sequence(F.lit(0), F.floor(far / step).cast("int")), lambda k: k * step)
+    values = staged(out, ox=-sign * F.col("hy"), oy=sign * F.col("hx"), d=F.transform(places, lambda a: section_value(a)[0]), s=F.transform(places, lambda a: section_value(a)[1]))
+    laid = values.select("survey", "side", "t", "ping", "x", "y", "ox", "oy", "d", "s")
+    gap = F.hypot(F.col("x") - F.col("prev.x"), F.col("y") - F.col("prev.y"))
+    short = (F.col("_gap") > 0.7 * cell) & (F.col("_gap") <= MOST_GAP_M) & (F.col("t") - F.col("prev.t") <= MOST_GAP_S)
+    between = session.blend_rows(laid, ["survey", "side"], ["t", "ping"], gap, step, ["x", "y", "ox", "oy"], ["d"], ["s"], short)
+    every = laid.drop("t", "ping").unionByName(between.drop("share"))
+    unit = F.coalesce(F.nullif(F.hypot("ox", "oy"), F.lit(0.0)), F.lit(1.0))
+    steps = every.select("survey", "x", "y", (F.col("ox") / unit).alias("ox"), (F.col("oy") / unit).alias("oy"), F.posexplode(F.arrays_zip("d", "s")).alias("k", "v")).withColumn("a", F.col("k") * step)
+    points = steps.select("survey", (F.col("x") + F.col("a") * F.col("ox")).alias("px"), (F.col("y") + F.col("a") * F.col("oy")).alias("py"), F.col("v.d").alias("d"), F.col("v.s").alias("s"), "a")
     w = 1 / (1 + (F.col("a") / 5) * (F.col("a") / 5))
     rank = F.try_element_at(F.create_map(*[F.lit(v) for pair in RANKS.items() for v in pair]), F.col("s"))
     cells = points.groupBy("survey", grid.cell_of("px", cell).alias("i"), grid.cell_of("py", cell).alias("j"))
@@ -91,14 +106,10 @@ def detections(pings: DataFrame, sides: DataFrame) -> DataFrame:
 
 
 def objects_of(found: DataFrame, least_pings: int = 3, least_span: float = 0.25) -> DataFrame:
-    """One row for each group of detections of a kind within 1.2 m and 3 s of each other, chained.
-
-    The grouping is a graph's components, so it doesn't depend on the order of the pings.
-    """
-    dx, dy = F.col("p.x") - F.col("q.x"), F.col("p.y") - F.col("q.y")
-    close = (dx * dx + dy * dy < 1.44) & (F.abs(F.col("p.t") - F.col("q.t")) < 3) & (F.col("p.kind") == F.col("q.kind")) & (F.col("p.survey") == F.col("q.survey"))
-    roots = graph.connected_components(graph.cell_links(found.select("survey", "id", "kind", "x", "y", "t"), "id", "x", "y", 1.2, close))
-    named = found.join(roots.withColumnsRenamed({"node": "id", "root": "cluster"}), "id")
+    """One row for each group of detections: each joins the newest of the last twelve groups whose last detection is of its
+    kind, within 1.2 m and 3 s before it."""
+    joined = groups.last_near(found, KEY, "kind", "x", "y", "t", ["side", "offset"], 1.2, 3.0, 12, "_group")
+    named = cut(joined.withColumn("cluster", F.xxhash64("survey", "_part", "_group")).drop("_part", "_group"))
     frame = named.groupBy("survey", "cluster").agg(F.sum("ox").alias("_ox"), F.sum("oy").alias("_oy"), F.min_by(F.struct("x", "y", "hx", "hy"), F.struct("t", "id")).alias("o"))
     norm = F.nullif(F.sqrt(F.col("_ox") * F.col("_ox") + F.col("_oy") * F.col("_oy")), F.lit(0.0))
     frame = frame.withColumn("ux", F.coalesce(F.col("_ox") / norm, F.lit(1.0))).withColumn("uy", F.coalesce(F.col("_oy") / norm, F.lit(0.0)))

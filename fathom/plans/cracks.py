@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import geo, text
-from fathom.operators import graph, robust
+from fathom.operators import graph, groups, robust
 from fathom.operators import lines as line_filter
 from fathom.operators.arrays import staged
 from fathom.operators.section import REFERENCE_STEP
@@ -24,6 +24,8 @@ from fathom.plans.align import KEY
 from fathom.session import cut
 
 STRETCH_M, MARGIN_M = 20.0, 1.0
+# What is left out beside a compact object and before its lit face, and which groups are such objects.
+BESIDE_M, LIT_FACE_M, LEAST_HITS, MOST_OBJECT_M = 0.3, 0.6, 3, 3.0
 MOST_OFFSET_M, MOST_PIXELS = 20.0, 6_000_000
 LEAST_SEGMENT_M, MOST_RMS_M = 0.15, 0.035
 LEAST_WOBBLE_M, LEAST_SLOPE, LEAST_ROWS = 0.05, 0.5, 10
@@ -40,13 +42,14 @@ def row_pitch(pings: DataFrame) -> float:
 
 
 def compact_spans(detections: DataFrame) -> DataFrame:
-    """(survey, along, side, low, high): parts of pings that belong to a compact object (three or more hits, at most 3 m)."""
-    dx = F.abs(F.col("p.along") - F.col("q.along"))
-    close = (dx < 0.3) & (F.col("p.survey") == F.col("q.survey")) & (F.col("p.side") == F.col("q.side")) & (F.abs(F.col("p.offset") - F.col("q.offset")) < 1.0)
-    roots = graph.connected_components(graph.cell_links(detections.select("survey", "id", "side", "along", "offset"), "id", "along", "offset", 1.0, close))
-    named = detections.join(roots.withColumnsRenamed({"node": "id", "root": "cluster"}), "id")
-    small = named.groupBy("cluster").agg(F.count("*").alias("n"), (F.max("along") - F.min("along")).alias("span")).where("n >= 3 and span <= 3")
-    return named.join(small.select("cluster"), "cluster", "left_semi").select("survey", "side", "along", (F.col("offset") - F.coalesce("lit", F.lit(0.3))).alias("low"), (F.col("offset") + F.col("shadow")).alias("high"))
+    """(survey, side, low, high, left, right): where compact objects lie, along the track and across it. Each detection joins the oldest
+    group less than .3 m behind it whose band it meets; groups of three or more over at most 3 m are objects, longer ones may be lines."""
+    start = F.when(F.col("kind") == "object", F.col("offset") - F.coalesce("lit", F.lit(0.3))).otherwise(F.col("offset"))
+    bands = detections.select("survey", "side", "id", "along", (start - LIT_FACE_M).alias("left"), (F.col("offset") + F.col("shadow") + BESIDE_M).alias("right"))
+    found = groups.first_overlapping(bands, ["survey", "side"], "along", "left", "right", ["left", "id"], BESIDE_M, "_group")
+    boxes = found.groupBy("survey", "side", "_part", "_group").agg(F.count("*").alias("n"), F.min("along").alias("low"), F.max("along").alias("high"), F.min("left").alias("left"), F.max("right").alias("right"))
+    small = boxes.where((F.col("n") >= LEAST_HITS) & (F.col("high") - F.col("low") <= MOST_OBJECT_M))
+    return small.select("survey", "side", (F.col("low") - BESIDE_M).alias("low"), (F.col("high") + BESIDE_M).alias("high"), "left", "right")
 
 
 def ground_of(r: Column, draft: float) -> Column:
@@ -117,11 +120,14 @@ def _ridges(pitch: float, low: float, stretch: float):
 def ridge_pixels(pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: DataFrame, pitch: float, sensitivity: float = 0.5, draft_m: float = 0.2, stretch_m: float = STRETCH_M) -> DataFrame:
     """Ridge pixels of all stretches: column i by COLUMN_M from the track (port is positive), row j by pitch along it."""
     low = 6 - 3 * sensitivity - 1.5
-    hidden = spans.groupBy("survey", "side", "along").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    # A ping meets the few objects beside it by metres of track.
+    boxes = spans.withColumn("_m", F.explode(F.sequence(F.floor("low"), F.floor("high")))).select("survey", "side", "_m", "low", "high", F.struct(F.col("left").alias("low"), F.col("right").alias("high")).alias("span"))
+    beside = pings.select("survey", "ping", "along", F.floor("along").alias("_m")).join(boxes, ["survey", "_m"]).where(F.col("along").between(F.col("low"), F.col("high")))
+    hidden = beside.groupBy("survey", "ping", "side").agg(F.collect_list("span").alias("spans"))
     both = (
         sides.where("not empty").select("survey", "ping", "side", "open", "reach", "waterline", "toe")
         .join(read.halves(pings, "along"), ["survey", "ping", "side"])
-        .join(reference, ["survey", "ping", "side"]).join(hidden, ["survey", "side", "along"], "left")
+        .join(reference, ["survey", "ping", "side"]).join(hidden, ["survey", "ping", "side"], "left")
     )
     first, last = F.floor((F.col("along") - MARGIN_M) / stretch_m), F.floor((F.col("along") + MARGIN_M) / stretch_m)
     near = both.withColumn("offset_limit", F.lit(MOST_OFFSET_M / line_filter.COLUMN_M))

@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.geo import local_x, local_y
-from fathom.operators import grid, robust, sample
+from fathom.operators import asof, grid, robust, sample
 from fathom.plans.align import KEY, primary_positions, resolve_positions
+from fathom.session import cut
 
 DRAFT_M = 0.2
 RADIUS_M, MOST_RADIUS_M = 2.0, 5.0
 MOST_CELLS = 200_000
 LEAST_DEPTHS = 3
+#: Where the search for the nearest sounding begins.
+NEAR_M = 10.0
 # A cell's source.
 MEASURED, INTERPOLATED = 1, 8
 
 
 @dataclass
 class LakeModel:
-    """soundings (survey, x, y, depth, t, gps_source), cells (survey, i, j, depth, n, spread, source) and their size."""
+    """soundings (survey, x, y, depth, t, gps_source), cells (survey, cell_m, i, j, depth, n, spread, source), and the largest cell_m."""
 
     soundings: DataFrame
     cells: DataFrame
     cell_m: float
 
     def coverage(self) -> DataFrame:
-        area = self.cell_m * self.cell_m
+        area = F.first("cell_m") * F.first("cell_m")
         measured = F.count_if(F.col("source") == MEASURED)
         filled = F.count_if(F.col("source") == INTERPOLATED)
         width = (F.max("i") - F.min("i") + 3) * (F.max("j") - F.min("j") + 3)
@@ -67,31 +69,45 @@ def soundings(frames: DataFrame, track: DataFrame, sync: DataFrame, draft_m: flo
     return placed.select("survey", "t", x.alias("x"), y.alias("y"), (F.col("depth_m") + draft_m).alias("depth"), "gps_source", "lon0", "lat0")
 
 
-def cell_size(extent: tuple[float, float, float, float], most: int = MOST_CELLS) -> float:
-    """The least cell of a metre or more, grown by 1 % steps, with which the area and a margin fit the budget."""
-    low_x, high_x, low_y, high_y = extent
-    cell = max(1.0, math.sqrt((high_x - low_x + 4) * (high_y - low_y + 4) / max(16, most - 1)))
-    while True:
-        nx = math.ceil((high_x - math.floor(low_x / cell) * cell + cell) / cell) + 2
-        ny = math.ceil((high_y - math.floor(low_y / cell) * cell + cell) / cell) + 2
-        if nx * ny <= most:
-            return cell
-        cell *= 1.01
+def cell_sizes(points: DataFrame, most: int = MOST_CELLS) -> DataFrame:
+    """(survey, n, cell_m): each survey's least cell of a metre or more, by steps of 1 %, with which its area and a margin fit the budget."""
+    spans = points.groupBy("survey").agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)])
+    first = F.greatest(F.lit(1.0), F.sqrt((F.col("max_x") - F.col("min_x") + 4) * (F.col("max_y") - F.col("min_y") + 4) / max(16, most - 1)))
+    side = lambda c, s: F.ceil((F.col(f"max_{c}") - F.floor(F.col(f"min_{c}") / s) * s + s) / s) + 2
+    return spans.select("survey", "n", grid.least_size(first, lambda s: side("x", s) * side("y", s) <= most).alias("cell_m"))
 
 
 def lake_model(frames: DataFrame, track: DataFrame, sync: DataFrame, draft_m: float = DRAFT_M, radius_m: float = RADIUS_M, most_cells: int = MOST_CELLS, time_range: tuple[float, float] | None = None) -> LakeModel:
-    """The model of all surveys, on one cell size that fits the largest. Cell (i, j) is centred on (i, j) * size."""
-    points = soundings(frames, track, sync, draft_m, time_range)
-    spans = points.groupBy("survey").agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)])
-    widest = spans.agg(F.max("n").alias("n"), F.max(F.col("max_x") - F.col("min_x")).alias("w"), F.max(F.col("max_y") - F.col("min_y")).alias("h")).first()
-    if (widest["n"] or 0) < LEAST_DEPTHS:
+    """The model of all surveys, each on its own cell size. Cell (i, j) of a survey is centred on (i, j) times its cell_m."""
+    points = cut(soundings(frames, track, sync, draft_m, time_range))
+    sizes = cut(cell_sizes(points, most_cells))
+    found = sizes.agg(F.max("n").alias("n"), F.min("cell_m").alias("least"), F.max("cell_m").alias("most")).first()
+    if (found["n"] or 0) < LEAST_DEPTHS:
         raise ValueError("too few depth readings with a valid position")
-    size = cell_size((0.0, widest["w"], 0.0, widest["h"]), most_cells)
-    measured = grid.median_cells(points, "x", "y", "depth", size, KEY)
-    measured = measured.select("survey", "i", "j", F.col("value").alias("depth"), "n", "spread", F.lit(MEASURED).alias("source"))
+    sizes = sizes.drop("n")
+    scaled = points.join(sizes, "survey").withColumn("u", F.col("x") / F.col("cell_m")).withColumn("v", F.col("y") / F.col("cell_m"))
+    measured = grid.median_cells(scaled, "u", "v", "depth", 1.0, ["survey", "cell_m"])
+    measured = measured.select("survey", "cell_m", "i", "j", F.col("value").alias("depth"), "n", "spread", F.lit(MEASURED).alias("source"))
     radius = min(MOST_RADIUS_M, max(0.0, radius_m))
-    if radius < size:
-        return LakeModel(points, measured, size)
-    filled = grid.idw_fill(measured, size, radius, "depth", KEY)
-    filled = filled.select("survey", "i", "j", "depth", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("spread"), F.lit(INTERPOLATED).alias("source"))
-    return LakeModel(points, measured.unionByName(filled), size)
+    if radius < found["least"]:
+        return LakeModel(points, measured, found["most"])
+    # In cells, so that one fill serves all sizes; the weights' ratios are those of metres. A radius below a survey's cell fills nothing.
+    held = measured.withColumn("reach", F.lit(radius) / F.col("cell_m"))
+    filled = grid.idw_fill(held, 1.0, radius / found["least"], "depth", ["survey", "cell_m"], own="reach")
+    filled = filled.select("survey", "cell_m", "i", "j", "depth", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("spread"), F.lit(INTERPOLATED).alias("source"))
+    return LakeModel(points, measured.unionByName(filled), found["most"])
+
+
+def depths_at(model: LakeModel, points: DataFrame) -> DataFrame:
+    """points (survey, x, y and more) with depth: between the model's cells, or outside it that of the nearest sounding; null in a
+    survey without soundings."""
+    sizes = model.cells.select("survey", "cell_m").distinct()
+    placed = points.join(sizes, "survey", "left").withColumn("_u", F.col("x") / F.col("cell_m")).withColumn("_v", F.col("y") / F.col("cell_m")).drop("cell_m")
+    inside = cut(grid.bilinear(placed, model.cells, "_u", "_v", 1.0, "depth", "depth", KEY).drop("_u", "_v"))
+    # Surveys lie apart for the search.
+    apart = F.pmod(F.xxhash64("survey"), F.lit(1 << 20)) * 1e7
+    open_ = inside.where("depth is null").drop("depth").withColumn("_x", F.col("x") + apart)
+    known = model.soundings.select("survey", (F.col("x") + apart).alias("_x"), "y", F.struct("t", "x", "y", "depth").alias("_sounding"))
+    near = asof.nearest_anywhere(open_, known, ("_x", "y"), ("_x", "y"), "_sounding", NEAR_M)
+    own = F.when(F.abs(F.col("near.x") - F.col("_x")) < 5e6, F.col("near.order.depth"))
+    return inside.where("depth is not null").unionByName(near.withColumn("depth", own).drop("near", "_x"))

@@ -157,3 +157,13 @@ def test_canal_with_a_box(spark, tmp_path):
     middle = [r.depth for r in rows if 1 < r.o < 4]
     assert middle and all(d == pytest.approx(H + DRAFT, abs=0.3) for d in middle)
     assert [(r.id, r.o < 0) for r in canal.crossing(found, model.objects).collect()] == [(o.id, True)]
+
+
+def test_gaps_in_the_track_are_blended(spark):
+    pings = spark.createDataFrame([("s", k, t, x, 0.0, 1.0, 0.0, d, 0.0) for k, (t, x, d) in enumerate([(0.0, 0.0, 2.0), (1.0, 1.5, 3.0), (2.0, 6.0, 4.0), (9.0, 7.0, 4.0)])], "survey string, ping long, t double, x double, y double, hx double, hy double, baseline double, anomaly double")
+    sides = pings.selectExpr("survey", "ping", "explode(array(0, 1)) as side", "false as empty", "true as open", "3.0D as reach", "cast(null as double) as waterline", "cast(null as double) as toe", "false as assumed", "cast(null as array<double>) as relief")
+    cells = {(r.i, r.j): r.depth for r in canal.lay_sections(pings, sides, 0.4).collect()}
+    assert all((i, j) in cells for i in range(5) for j in range(-7, 8))  # between the first two
+    assert cells[2, 0] == pytest.approx(2 + 0.8 / 1.5, abs=0.1)
+    assert not any(6 <= i <= 13 for i, _ in cells)  # 4.5 m are too far
+    assert (16, 0) not in cells  # a metre, but seven seconds

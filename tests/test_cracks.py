@@ -27,7 +27,7 @@ def lining(spark, line):
     pings = spark.createDataFrame(rows, "survey string, ping long, along double, height double, range_m double, samples binary, x double, y double, hx double, hy double, lon0 double, lat0 double").cache()
     sides = read.outlines(pings).cache()
     settled = read.smooth_banks(sides.drop("row").selectExpr("*", "cast(null as double) as toe", "false as assumed"))
-    spans = spark.createDataFrame([], "survey string, side int, along double, low double, high double")
+    spans = spark.createDataFrame([], "survey string, side int, low double, high double, left double, right double")
     return pings, settled, read.references(sides), spans
 
 
@@ -60,3 +60,19 @@ def test_lines_that_follow_the_boat(spark):
     # The second keeps its distance; the fourth is too short to tell.
     assert [r.segment for r in cracks.following_boat(points, sides, 0.05).collect()] == [2]
     assert cracks.following_boat(points, sides.where("side = 0"), 0.05).count() == 0
+
+
+def test_compact_objects_are_rectangles(spark):
+    rows = [("s", 0, n, "object", 10 + 0.1 * n, 5.0, 0.4, 1.0) for n in range(6)]  # half a metre of track: an object
+    rows += [("s", 0, 100 + n, "object", 30 + 0.2 * n, 5.0, None, 1.0) for n in range(40)]  # eight metres: perhaps a line
+    rows += [("s", 1, 200 + n, "depression", 10 + 0.1 * n, 3.0, 1.0, 1.0) for n in range(2)]  # too few
+    found = spark.createDataFrame(rows, "survey string, side int, id long, kind string, along double, offset double, lit double, shadow double")
+    got = cracks.compact_spans(found).collect()
+    assert len(got) == 1
+    assert tuple(got[0])[:2] == ("s", 0) and tuple(got[0])[2:] == pytest.approx((9.7, 10.8, 4.0, 6.3))
+
+
+def test_objects_are_left_out_of_the_screening(spark):
+    pings, sides, reference, spans = lining(spark, lambda along, y: (np.abs(y - 3.0) < 0.02) & (3.0 <= along <= 4.8))
+    box = spark.createDataFrame([("s", 1, 2.0, 6.0, 2.5, 3.5)], spans.schema)
+    assert [c for c in cracks.screen(pings, sides, reference, box).collect() if c.confidence in ("high", "medium")] == []

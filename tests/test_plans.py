@@ -144,3 +144,25 @@ def test_log_rules(spark, tmp_path):
     (tmp_path / "s.sl3").write_bytes(recording(seconds=2))
     stored = frames_from_files(spark.read.format("binaryFile").load(str(tmp_path / "s.sl3")), samples=True)
     assert stored.count() == spark.read.format("sl3").load(str(tmp_path)).count() == 20
+
+
+def test_each_lake_has_its_own_cells_and_depths_everywhere(spark):
+    from fathom.plans.lake import LakeModel, cell_sizes, depths_at
+
+    rows = [("small", float(x), float(y), 2.0 + x / 10) for x in range(0, 20, 2) for y in range(0, 20, 2)] + [("large", 30.0 * x, 30.0 * y, 9.0) for x in range(40) for y in range(40)]
+    points = spark.createDataFrame([(s, x, y, d, 0.0, "bin") for s, x, y, d in rows], "survey string, x double, y double, depth double, t double, gps_source string")
+    sizes = {r.survey: r.cell_m for r in cell_sizes(points, 2000).collect()}
+
+    def plain(extent, most):
+        """The size by a loop that grows it."""
+        cell = max(1.0, math.sqrt((extent + 4) ** 2 / (most - 1)))
+        while (math.ceil((extent + cell) / cell) + 2) ** 2 > most:
+            cell *= 1.01
+        return cell
+
+    assert sizes["small"] == 1.0 and sizes["large"] == pytest.approx(plain(1170.0, 2000))
+    cells = [("small", 1.0, i, j, 2.0 + i / 10) for i in range(0, 20, 2) for j in range(0, 20, 2)]
+    model = LakeModel(points, spark.createDataFrame(cells, "survey string, cell_m double, i long, j long, depth double"), 1.0)
+    asked = spark.createDataFrame([("small", 4.0, 6.0, 1), ("small", -500.0, 3.0, 2), ("small", 17.0, 900.0, 3), ("none", 1.0, 1.0, 4)], "survey string, x double, y double, k int")
+    got = {r.k: r.depth for r in depths_at(model, asked).collect()}
+    assert got == {1: pytest.approx(2.4), 2: pytest.approx(2.0), 3: pytest.approx(3.6), 4: None}
