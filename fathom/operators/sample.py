@@ -38,11 +38,11 @@ def stride_sample(df: DataFrame, keys: list[str], order: list[str], step: int) -
     return ranked.where(F.col("_i") % step == 0).drop("_i")
 
 
-def farthest_points(df: DataFrame, keys: list[str], x: str, y: str, time: str, k: int = 8, apart: float = 30.0) -> DataFrame:
+def farthest_points(df: DataFrame, keys: list[str], x: str, y: str, time: str, k: int = 8, apart: float = 30.0, most: int = 2400) -> DataFrame:
     """Up to k rows of each key: the first by time, then each time the row farthest from all chosen
-    ones, none within `apart` of a chosen one in time. A key is thinned to at most 2,400 rows before
-    (evenly in time), so a group is bounded."""
-    thin = even_sample(df, keys, [time], 2400)
+    ones, none within `apart` of a chosen one in time. A key of more than `most` rows is thinned to that many
+    before, evenly in time, as the choice is one of places worth a look, so a group is bounded."""
+    thin = even_sample(df, keys, [time], most)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time, kind="stable").reset_index(drop=True)

@@ -228,7 +228,13 @@ def stride_sample(spark, sf_dir):
     return sample.stride_sample(table(spark, sf_dir, "orders"), ["o_orderpriority"], ["o_orderdate", "o_orderkey"], 7).select("o_orderkey")
 
 
-@query()
+@query(
+    """with recursive p as (select label, vec_id, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y from embeddings)
+, r as (select label, 1 as k, [{'v': vec_id, 'x': x, 'y': y}] as c from (select *, row_number() over (partition by label order by vec_id) as n from p) where n = 1
+ union all select label, k + 1, list_append(c, best) from (select r.label, r.k, r.c, arg_max({'v': p.vec_id, 'x': p.x, 'y': p.y}, (list_min(list_transform(r.c, lambda z: sqrt(power(p.x - z.x, 2) + power(p.y - z.y, 2)))), -p.vec_id)) as best
+   from r join p on p.label = r.label where r.k < 8 and list_min(list_transform(r.c, lambda z: abs(p.vec_id - z.v))) >= 30 group by r.label, r.k, r.c))
+, l as (select label, arg_max(c, k) as c from r group by label), u as (select label, unnest(c) as z from l) select label, z.v as vec_id, z.x as x, z.y as y from u"""
+)
 def farthest_points(spark, sf_dir):
     """T4: up to eight far points of each label's vectors."""
     v = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
