@@ -24,6 +24,9 @@ from fathom.plans.align import KEY
 from fathom.session import cut
 
 STRETCH_M, MARGIN_M = 20.0, 1.0
+# The profile across a line, in columns: how far it reaches, and where the level beside the line, its shadow and lit faces are read.
+PROFILE, LEVEL_BEFORE, LEVEL_BEHIND, SHADOW = 8, (-8, -6), (6, 8), (-3, 4)
+FACE_BEFORE, FACE_BEHIND, LEAST_LIFT = ((-4, -2), (-3, -1)), ((2, 4), (1, 2)), 0.08
 # What is left out beside a compact object and before its lit face, and which groups are such objects.
 BESIDE_M, LIT_FACE_M, LEAST_HITS, MOST_OBJECT_M = 0.3, 0.6, 3, 3.0
 MOST_OFFSET_M, MOST_PIXELS = 20.0, 6_000_000
@@ -117,26 +120,82 @@ def _ridges(pitch: float, low: float, stretch: float):
     return run
 
 
-def ridge_pixels(pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: DataFrame, pitch: float, sensitivity: float = 0.5, draft_m: float = 0.2, stretch_m: float = STRETCH_M) -> DataFrame:
-    """Ridge pixels of all stretches: column i by COLUMN_M from the track (port is positive), row j by pitch along it."""
-    low = 6 - 3 * sensitivity - 1.5
+def echoes(pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: DataFrame, draft_m: float = 0.2, only: DataFrame | None = None) -> DataFrame:
+    """(survey, along, height, columns, values): the normalised echoes of every side, of the pings (survey, ping) in `only` if given."""
+    chosen = pings if only is None else pings.join(only.select("survey", "ping").distinct(), ["survey", "ping"], "left_semi")
     # A ping meets the few objects beside it by metres of track.
     boxes = spans.withColumn("_m", F.explode(F.sequence(F.floor("low"), F.floor("high")))).select("survey", "side", "_m", "low", "high", F.struct(F.col("left").alias("low"), F.col("right").alias("high")).alias("span"))
-    beside = pings.select("survey", "ping", "along", F.floor("along").alias("_m")).join(boxes, ["survey", "_m"]).where(F.col("along").between(F.col("low"), F.col("high")))
+    beside = chosen.select("survey", "ping", "along", F.floor("along").alias("_m")).join(boxes, ["survey", "_m"]).where(F.col("along").between(F.col("low"), F.col("high")))
     hidden = beside.groupBy("survey", "ping", "side").agg(F.collect_list("span").alias("spans"))
     both = (
         sides.where("not empty").select("survey", "ping", "side", "open", "reach", "waterline", "toe")
-        .join(read.halves(pings, "along"), ["survey", "ping", "side"])
+        .join(read.halves(chosen, "along"), ["survey", "ping", "side"])
         .join(reference, ["survey", "ping", "side"]).join(hidden, ["survey", "ping", "side"], "left")
     )
+    most = math.floor(MOST_OFFSET_M / line_filter.COLUMN_M)
+    placed = normalised(both, draft_m).withColumn("inside", F.filter(F.arrays_zip("columns", "values"), lambda x: F.abs(x["columns"]) <= most))
+    return placed.select("survey", "along", "height", F.col("inside.columns").alias("columns"), F.col("inside.values").alias("values"))
+
+
+def ridge_pixels(pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: DataFrame, pitch: float, sensitivity: float = 0.5, draft_m: float = 0.2, stretch_m: float = STRETCH_M) -> DataFrame:
+    """Ridge pixels of all stretches: column i by COLUMN_M from the track (port is positive), row j by pitch along it."""
+    low = 6 - 3 * sensitivity - 1.5
     first, last = F.floor((F.col("along") - MARGIN_M) / stretch_m), F.floor((F.col("along") + MARGIN_M) / stretch_m)
-    near = both.withColumn("offset_limit", F.lit(MOST_OFFSET_M / line_filter.COLUMN_M))
-    placed = normalised(near, draft_m).withColumn("inside", F.filter(F.arrays_zip("columns", "values"), lambda x: F.abs(x["columns"]) <= F.col("offset_limit")))
-    rows = placed.select("survey", "along", F.col("inside.columns").alias("columns"), F.col("inside.values").alias("values"))
+    rows = echoes(pings, sides, reference, spans, draft_m).select("survey", "along", "columns", "values")
     spread = rows.withColumn("stretch", F.explode(F.sequence(first, last))).where("stretch >= 0")
     return spread.groupBy("survey", "stretch").applyInPandas(_ridges(pitch, low, stretch_m), RIDGE)
 
 
+def profiles(found: DataFrame, pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: DataFrame, pitch: float, draft_m: float = 0.2) -> DataFrame:
+    """(survey, segment, water, profile): across lines along the track, the mean echo at every column from PROFILE before the line to
+    as many behind it, away from the boat (a map by place), and the mean height of the transducer.
+
+    A line meets the rows beside it by an equi-join, and only the pings of these rows are normalised again.
+    """
+    half = F.abs(F.sin("angle")) * F.col("length") / 2
+    rows = F.sequence(F.floor((F.col("cy") - half) / pitch), F.ceil((F.col("cy") + half) / pitch))
+    slope = F.cos("angle") / F.when(F.abs(F.sin("angle")) < 1e-9, 1e-9).otherwise(F.sin("angle"))
+    spread = found.withColumn("j", F.explode(rows)).select("survey", "segment", "j", F.when(F.col("cx") >= 0, 1).otherwise(-1).alias("outward"), F.floor((F.col("cx") + (F.col("j") * pitch - F.col("cy")) * slope) / line_filter.COLUMN_M + 0.5).alias("i"))
+    beside = pings.withColumn("j", F.floor(F.col("along") / pitch)).join(spread.select("survey", "j").distinct(), ["survey", "j"], "left_semi")
+    held = echoes(pings, sides, reference, spans, draft_m, beside).withColumn("j", F.floor(F.col("along") / pitch))
+    met = held.join(spread, ["survey", "j"])
+    near = F.filter(F.arrays_zip("columns", "values"), lambda x: F.abs(x["columns"] - F.col("i")) <= PROFILE)
+    each = met.select("survey", "segment", "height", "outward", "i", F.explode(near).alias("p"))
+    means = each.groupBy("survey", "segment", (F.col("outward") * (F.col("p.columns") - F.col("i"))).cast("int").alias("m")).agg(F.avg("p.values").alias("v"), F.avg("height").alias("h"), F.count("*").alias("n"))
+    return means.groupBy("survey", "segment").agg((F.sum(F.col("h") * F.col("n")) / F.sum("n")).alias("water"), F.map_from_entries(F.collect_list(F.struct("m", "v"))).alias("profile"))
+
+
+def described(named: DataFrame, profile: DataFrame) -> DataFrame:
+    """named with kind, detail and size_cm, read from the profile of a line along the track.
+
+    A shadow's width is that of full darkness with the same deficit; what throws it is as high as water * width / range. An echo above
+    the level beside the line tells a lit face: behind a dark line the far wall of an open gap, before it a raised edge.
+    """
+
+    def mean(a: int, b: int) -> Column:
+        seen = F.filter(F.transform(F.sequence(F.lit(a), F.lit(b)), lambda m: F.try_element_at("profile", m)), lambda v: v.isNotNull())
+        return F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), lambda s, v: s + v) / F.size(seen))
+
+    level = (mean(*LEVEL_BEFORE) + mean(*LEVEL_BEHIND)) / 2
+    lit = lambda places: F.coalesce(F.greatest(*[mean(*p) for p in places]) > level + LEAST_LIFT, F.lit(False))
+    core = F.filter(F.transform(F.sequence(F.lit(SHADOW[0]), F.lit(SHADOW[1])), lambda m: F.try_element_at("profile", m)), lambda v: v.isNotNull())
+    deficit = F.aggregate(core, F.lit(0.0), lambda s, v: s + F.greatest(F.lit(0.0), F.col("level") - v))
+    width = deficit / F.greatest(F.lit(0.05), F.col("level") - F.array_min(F.map_values("profile"))) * line_filter.COLUMN_M
+    out = named.join(profile, ["survey", "segment"], "left").withColumn("level", level).withColumn("before", lit(FACE_BEFORE)).withColumn("behind", lit(FACE_BEHIND))
+    out = out.withColumn("width_m", F.when((F.col("polarity") == "dark") & (F.col("direction") == "along"), width))
+    dark, along = F.col("polarity") == "dark", F.col("direction") == "along"
+    kind = F.when(~along, F.when(dark, "crack").otherwise("edge")).when(~dark | F.col("before"), "step").otherwise("crack")
+    detail = (
+        F.when(~along, F.when(dark, "dark line").otherwise("lit edge"))
+        .when(~dark, "step up facing the sonar: the far side stands higher")
+        .when(F.col("before"), "raised edge casting a shadow")
+        .when(F.col("behind"), "open crack: a gap with its far wall lit")
+        .otherwise("crack, or a step down where the far side sits lower")
+    )
+    size = F.round(100 * F.col("water") * F.col("width_m") / (F.abs("cx") + F.col("width_m")), 1)
+    return out.withColumn("kind", kind).withColumn("detail", detail).withColumn("size_cm", size).drop("level", "before", "behind", "water", "profile")
+
+
 def _fits(points: DataFrame, keys: list[str]) -> DataFrame:
     fit = graph.line_fit(points, keys, "x", "y", "z")
     more = points.groupBy(*keys).agg(F.sum("z").alias("strength"), F.avg("z").alias("contrast"), F.max("z").alias("top"))
@@ -237,13 +296,15 @@ def screen(pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: Data
     named = named.join(toes, ["survey", "side"], "left")
     boat = following_boat(points, sides, pitch).withColumn("_boat", F.lit(True))
     named = named.join(boat, ["survey", "segment"], "left").where("direction <> 'along' or _boat is null").drop("_boat")
+    across = profiles(named.where("direction = 'along'"), pings, sides, reference, spans, pitch, draft_m)
+    named = described(cut(named), cut(across))
     near = F.coalesce((F.col("direction") == "along") & (F.abs(F.abs("cx") - F.col("_toe")) < 0.8), F.lit(False))
     level = text.confidence_class(F.col("contrast"), F.lit(high), near)
     scored = named.withColumn("confidence", level).withColumn("near_toe", near).withColumn("score", F.col("contrast") * F.sqrt(F.col("length") / 0.3))
     rank = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
     number = F.row_number().over(Window.partitionBy(*KEY).orderBy(rank, F.desc("score"), "segment"))
     return scored.select(
-        "survey", number.alias("id"), F.when(F.col("joint_spacing_m").isNotNull(), "joint").otherwise("crack").alias("kind"), "joint_spacing_m", "polarity", "direction", "angle_deg", F.col("length").alias("length_m"),
+        "survey", number.alias("id"), F.when(F.col("joint_spacing_m").isNotNull(), "joint").otherwise(F.col("kind")).alias("kind"), "detail", "size_cm", "width_m", "joint_spacing_m", "polarity", "direction", "angle_deg", F.col("length").alias("length_m"),
         "side", F.abs("cx").alias("offset_m"), F.col("cy").alias("along_m"), "score", "contrast", "confidence", "near_toe", "x1", "y1", "x2", "y2",
     )
 

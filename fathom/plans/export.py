@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import geo, text
@@ -96,9 +96,26 @@ def csv_lines(table: DataFrame) -> DataFrame:
     return table.select("survey", "ping_id", F.concat_ws(",", *[text.csv_cell(F.col(c), kinds[c]) for c in COLUMNS]).alias("line"))
 
 
+def _by_survey(df: DataFrame) -> DataFrame:
+    """df with each survey in one partition, whatever Spark knows of its parts."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("survey"))
+
+
 def write_csv(table: DataFrame, path: str) -> None:
-    """One folder of CSV parts, with a header and CRLF line ends."""
-    table.drop("survey").write.option("header", True).option("lineSep", "\r\n").option("emptyValue", "").option("nullValue", "").csv(path)
+    """A folder survey=<name> for each survey, with its CSV in one file: the header and then the pings in order, CRLF line ends.
+
+    The rows of a survey are dealt to one task, as a file has one writer, and sorted there (on disk if need be).
+    """
+    ordered = _by_survey(table).sortWithinPartitions("survey", "ping_id")
+    kinds = dict(table.dtypes)
+    cells = [text.csv_cell(F.col(c), kinds[c]).alias(c) for c in COLUMNS]
+    ordered.select("survey", *cells).write.partitionBy("survey").option("header", True).option("lineSep", "\r\n").option("emptyValue", "").option("nullValue", "").option("quote", "\0").csv(path)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """A folder survey=<name> for each survey, with its (survey, part, at, line) in one text file, by part and at."""
+    ordered = _by_survey(lines).sortWithinPartitions("survey", "part", "at")
+    ordered.select("survey", F.col("line").alias("value")).write.partitionBy("survey").text(path)
 
 
 def quality_report(table: DataFrame, track: DataFrame, sync: DataFrame) -> DataFrame:
@@ -174,6 +191,29 @@ def route_geojson(track: DataFrame, scans: DataFrame, name: str) -> DataFrame:
     return line.join(points, "survey", "left").select("survey", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(features, ","), F.lit("]}")).alias("geojson"))
 
 
+def _gpx_point(kind: str) -> Column:
+    return F.concat(F.lit(f'<{kind} lat="'), text.degrees_text(F.col("lat")), F.lit('" lon="'), text.degrees_text(F.col("lon")), F.lit('">'))
+
+
+def gpx_lines(track: DataFrame, scans: DataFrame, name: str) -> DataFrame:
+    """(survey, part, at, line): the GPX file of each survey line by line, for write_lines(); no task holds a track."""
+    title = text.xml_text(F.lit(name))
+    surveys = track.select("survey").distinct()
+    fixed = lambda part, line: surveys.select("survey", F.lit(part).alias("part"), F.lit(0.0).alias("at"), line.alias("line"))
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1">\n<metadata><name>'), title, F.lit("</name></metadata>"))
+    way = F.concat(_gpx_point("wpt"), F.lit("<time>"), geo.gps_to_utc_text(F.col("gps_seconds")), F.lit("</time><name>Scan "), F.col("number").cast("string"), F.lit("</name></wpt>"))
+    metres = geo.finite(F.col("altitude_m"))
+    height = F.when(metres.isNotNull(), F.concat(F.lit("<ele>"), F.format_string("%.2f", metres), F.lit("</ele>"))).otherwise("")
+    step = F.concat(_gpx_point("trkpt"), height, F.lit("<time>"), geo.gps_to_utc_text(F.col("absolute_t")), F.lit("</time></trkpt>"))
+    return (
+        fixed(0, head)
+        .unionByName(scans.join(surveys, "survey", "left_semi").select("survey", F.lit(1).alias("part"), F.col("number").cast("double").alias("at"), way.alias("line")))
+        .unionByName(fixed(2, F.concat(F.lit("<trk><name>"), title, F.lit("</name><trkseg>"))))
+        .unionByName(track.select("survey", F.lit(3).alias("part"), F.col("t").cast("double").alias("at"), step.alias("line")))
+        .unionByName(fixed(4, F.lit("</trkseg></trk>\n</gpx>")))
+    )
+
+
 def route_gpx(track: DataFrame, scans: DataFrame, name: str) -> DataFrame:
     """(survey, gpx): a waypoint for each timed scan and a track point for each fix."""
     g = F.col("gps_seconds")

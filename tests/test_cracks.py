@@ -38,6 +38,8 @@ def test_one_crack(spark):
     assert len(sure) == 1
     c = sure[0]
     assert (c.kind, c.polarity, c.direction, c.side, c.id) == ("crack", "dark", "along", "starboard", 1)
+    # A dark strip of 4 cm, without a lit face: what throws it is H * w / (range + w) high.
+    assert c.detail.startswith("crack, or a step down") and 0.02 < c.width_m < 0.08 and c.size_cm == pytest.approx(100 * H * c.width_m / (3.0 + c.width_m), abs=0.2)
     assert abs(c.offset_m - 3.0) < 0.1 and abs(c.along_m - 3.9) < 0.3 and 1.4 < c.length_m < 2.3 and len(c.lonlat) == 2
     shape = json.loads(cracks.candidates_geojson(found).first().geojson)
     assert shape["features"][0]["properties"]["kind"] == "crack"
@@ -76,3 +78,26 @@ def test_objects_are_left_out_of_the_screening(spark):
     pings, sides, reference, spans = lining(spark, lambda along, y: (np.abs(y - 3.0) < 0.02) & (3.0 <= along <= 4.8))
     box = spark.createDataFrame([("s", 1, 2.0, 6.0, 2.5, 3.5)], spans.schema)
     assert [c for c in cracks.screen(pings, sides, reference, box).collect() if c.confidence in ("high", "medium")] == []
+
+
+@pytest.mark.parametrize(
+    ("polarity", "direction", "lit", "kind", "detail", "sized"),
+    [
+        ("dark", "along", (), "crack", "crack, or a step down", True),
+        ("dark", "along", (2, 3), "crack", "open crack", True),
+        ("dark", "along", (-3, -2), "step", "raised edge", True),
+        ("bright", "along", (), "step", "step up facing", False),
+        ("dark", "across", (), "crack", "dark line", False),
+        ("bright", "across", (), "edge", "lit edge", False),
+    ],
+)
+def test_lines_are_described_by_their_profile(spark, polarity, direction, lit, kind, detail, sized):
+    profile = {m: 0.4 if m in (0, 1) else 1.3 if m in lit else 1.0 for m in range(-8, 9)}
+    named = spark.createDataFrame([("s", 1, polarity, direction, 5.0)], "survey string, segment long, polarity string, direction string, cx double")
+    seen = spark.createDataFrame([("s", 1, 2.0, profile)], "survey string, segment long, water double, profile map<int,double>")
+    got = cracks.described(named, seen).first()
+    assert got.kind == kind and got.detail.startswith(detail)
+    if sized:
+        assert got.width_m == pytest.approx(2 * 0.015) and got.size_cm == pytest.approx(round(100 * 2.0 * 0.03 / 5.03, 1))
+    else:
+        assert got.size_cm is None

@@ -53,7 +53,7 @@ def survey(spark, tmp_path):
     return make
 
 
-def test_straight_pass_recovers_the_clock(survey):
+def test_straight_pass_recovers_the_clock(survey, tmp_path):
     frames, fixes = survey(recording(), synthetic.log_file(track()))
     sync = align.find_alignment(frames, fixes).cache()
     s = sync.first()
@@ -73,7 +73,14 @@ def test_straight_pass_recovers_the_clock(survey):
     scans = export.scan_times(align.scan_points(frames, fixes, sync), fixes, sync)
     geo = json.loads(export.route_geojson(fixes, scans, "x").first().geojson)
     assert geo["features"][0]["geometry"]["type"] == "LineString" and 2 <= len(geo["features"]) <= 9
+    export.write_csv(table, str(tmp_path / "csv"))
+    (made,) = (tmp_path / "csv").glob("survey=*/part-*")
+    want = [r.line for r in export.csv_lines(table).orderBy("ping_id").collect()]
+    assert made.read_bytes().decode() == "".join(f"{line}\r\n" for line in [",".join(export.COLUMNS), *want])
+    export.write_lines(export.gpx_lines(fixes, scans, "a & b"), str(tmp_path / "gpx"))
+    (made,) = (tmp_path / "gpx").glob("survey=*/part-*")
     gpx = export.route_gpx(fixes, scans, "a & b").first().gpx
+    assert made.read_text().split() == gpx.split()
     assert gpx.count("<trkpt") == fixes.count() and "a &amp; b" in gpx
     line = export.csv_lines(table).orderBy("ping_id").first().line
     assert line.startswith("1,0,primary,0,8,0,2300,") and len(line.split(",")) == 25
