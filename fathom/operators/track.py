@@ -85,6 +85,15 @@ def numbered(df: DataFrame, keys: list[str], time: str, order: list[str], name:
     return placed.join(counts, [*keys, CHUNK]).withColumn(name, (inside + F.col("_skip")).cast("long")).drop(CHUNK, "_skip").select(*df.columns, name)
 
 
+def running_sum(df: DataFrame, keys: list[str], time: str, order: list[str], value: Column, name: str = "total", rows: int = CHUNK_ROWS) -> DataFrame:
+    """df with the sum of a value over each row of its key and those before it, by time (nulls first) and order."""
+    placed = cut(chunked(df, keys, time, rows).withColumn(CHUNK, F.coalesce(CHUNK, F.lit(-1))).withColumn("_value", value))
+    w = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*keys, CHUNK).agg(F.sum("_value").alias("_sum")).withColumn("_skip", F.coalesce(F.sum("_sum").over(w), F.lit(0))).drop("_sum")
+    inside = F.sum("_value").over(Window.partitionBy(*keys, CHUNK).orderBy(time, *order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.join(sums, [*keys, CHUNK]).withColumn(name, inside + F.col("_skip")).select(*df.columns, name)
+
+
 class Blocks:
     """Rows of numbered() in blocks, each with `half` rows more on either side; windows over a block's rows see what they would of the
     whole key, for frames of at most half rows to either side."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from fathom.operators import asof, graph, grid, groups, robust, session, track
+from fathom.operators import asof, graph, grid, groups, overlap, robust, session, track
 from fathom.queries import events, query, r6, table
 from fathom.sources import fixes_from_files, frames_from_files, synthetic
 
@@ -148,6 +148,18 @@ def blend_rows(spark, sf_dir):
     return each.select("o_custkey", r6("at").alias("day"), F.col("place").cast("long").alias("place"), r6("v.quantity").alias("quantity"), F.col("v.flag").alias("flag"))
 
 
+@query(
+    """with i as (select user_id, min(epoch(ts)) as low, min(epoch(ts)) + 86400 * (1 + min(user_id) % 9) as high from events group by user_id), e as (select event_id, epoch(ts) as at from events)
+select i.user_id, count(*) as n, min(e.event_id) as first_event from i join e on e.at between i.low and i.high group by all"""
+)
+def overlap_by_ranks(spark, sf_dir):
+    """How many events of anybody lie in each user's first days, and the least of their ids, by ranks instead of pairs."""
+    e = events(spark, sf_dir).select("event_id", "user_id", "t")
+    days = e.groupBy("user_id").agg(F.min("t").alias("low"), (F.min("t") + 86400 * (1 + F.col("user_id") % 9)).alias("high"))
+    got = overlap.overlap_summary(days, e, "low", "high", "t", "event_id", rows=SMALL)
+    return got.select("user_id", "n", F.col("least").alias("first_event"))
+
+
 def _files(spark, sf_dir, make):
     """(path, content): a file of each thousand events, made by make(rows) in the tasks that hold them."""
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import asof, graph, grid, groups, robust, session, track
+from fathom.operators import asof, graph, grid, groups, overlap, robust, session, track
 
 
 def rows(seed, n=400):
@@ -102,3 +102,14 @@ def test_fitting_sizes_by_a_loop(spark):
         while (np.ceil(r.w / s) + 3) * (np.ceil(r.h / s) + 3) > 500:
             s *= 1.01
         assert r.s == pytest.approx(s)
+
+
+@pytest.mark.parametrize(("block", "size"), [(1, 3), (4, 50), (128, 10_000)])
+def test_overlaps_by_ranks_are_those_of_all_pairs(spark, block, size):
+    rnd = random.Random(block)
+    points = [(rnd.choice([None, float(rnd.randrange(30)), rnd.uniform(0, 30)]), rnd.choice([None, rnd.randrange(1000)])) for _ in range(300)]
+    spans = [(k, rnd.choice([None, float(rnd.randrange(-2, 33))]), rnd.choice([None, float(rnd.randrange(-2, 33)), rnd.uniform(0, 30)])) for k in range(80)] + [(99, 3.0, 3.0)]
+    df = overlap.overlap_summary(spark.createDataFrame(spans, "k int, a double, b double"), spark.createDataFrame(points, "t double, v int"), "a", "b", "t", "v", block, size)
+    for r in df.collect():
+        inside = [v for t, v in points if None not in (t, r.a, r.b) and r.a <= t <= r.b]
+        assert (r.n, r.least) == (len(inside), min((v for v in inside if v is not None), default=None))
