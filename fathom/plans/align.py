@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.geo import distance_m, valid_position
 from fathom.operators import asof, sample
+from fathom.operators import track as long_track
 
 LEAST_FIXES = 10
 LEAST_POSITIONS = 20
@@ -83,7 +87,12 @@ def find_alignment(frames: DataFrame, track: DataFrame) -> DataFrame:
     )
 
 
-def resolve_positions(pings: DataFrame, frames: DataFrame, track: DataFrame, sync: DataFrame) -> DataFrame:
+def interpolator(track_rows: int | None) -> Callable[..., DataFrame]:
+    """asof.interpolate, or with track_rows the one that spreads a survey's track over tasks of so many rows."""
+    return partial(long_track.interpolate, rows=track_rows) if track_rows else asof.interpolate
+
+
+def resolve_positions(pings: DataFrame, frames: DataFrame, track: DataFrame, sync: DataFrame, track_rows: int | None = None) -> DataFrame:
     """pings (survey, t, lon, lat, ...) with sl3_lon, sl3_lat, bin_lon, bin_lat, difference_m, pos_lon, pos_lat, gps_source.
 
     The track's position counts where fixes no more than two seconds apart bracket the ping and it
@@ -91,11 +100,12 @@ def resolve_positions(pings: DataFrame, frames: DataFrame, track: DataFrame, syn
     """
     known = sync.select("survey", "trusted", "offset_s")
     order = ["offset"] if "offset" in frames.columns else ["time_ms"]
-    own = asof.interpolate(pings, primary_positions(frames), KEY, "t", ["lon", "lat"], order, GAP_S, "_p_")
+    interpolate = interpolator(track_rows)
+    own = interpolate(pings, primary_positions(frames), KEY, "t", ["lon", "lat"], order, GAP_S, "_p_")
     own = own.withColumn("sl3_lon", F.coalesce("_p_lon", "lon")).withColumn("sl3_lat", F.coalesce("_p_lat", "lat")).drop("_p_lon", "_p_lat")
     # One row for each survey: its size is the number of recordings, so Spark may choose to broadcast it.
     timed = own.join(known, "survey", "left").withColumn("_sonar_t", F.col("t")).withColumn("t", F.when(F.col("trusted"), F.col("t") + F.col("offset_s")))
-    both = asof.interpolate(timed, track, KEY, "t", ["lon", "lat"], ["log_ordinal", "byte_offset"], GAP_S, "bin_")
+    both = interpolate(timed, track, KEY, "t", ["lon", "lat"], ["log_ordinal", "byte_offset"], GAP_S, "bin_")
     both = both.withColumn("t", F.col("_sonar_t")).drop("_sonar_t", "trusted", "offset_s")
     valid = valid_position(F.col("sl3_lon"), F.col("sl3_lat"))
     both = both.withColumn("sl3_valid", valid).withColumn("difference_m", F.when(valid, distance_m(F.col("sl3_lon"), F.col("sl3_lat"), F.col("bin_lon"), F.col("bin_lat"))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.geo import local_x, local_y
 from fathom.operators import asof, grid, robust, sample
+from fathom.operators import track as long_track
 from fathom.plans.align import KEY, primary_positions, resolve_positions
 from fathom.session import cut
 
@@ -53,18 +54,21 @@ class LakeModel:
         return self.soundings.groupBy("survey", "gps_source").count()
 
 
-def accepted_depths(frames: DataFrame, time_range: tuple[float, float] | None = None) -> DataFrame:
+def accepted_depths(frames: DataFrame, time_range: tuple[float, float] | None = None, track_rows: int | None = None) -> DataFrame:
     """Plausible primary depths near their rolling median; the time range is closed and applied after it."""
     plausible = primary_positions(frames).where((F.col("depth_m") > 0.2) & (F.col("depth_m") < 200))
-    kept = robust.despike(plausible, KEY, ["time_ms", "offset"], "depth_m")
+    if track_rows:
+        kept = long_track.despike(plausible, KEY, "time_ms", ["offset"], "depth_m", rows=track_rows)
+    else:
+        kept = robust.despike(plausible, KEY, ["time_ms", "offset"], "depth_m")
     return kept if time_range is None else kept.where(F.col("t").between(*time_range))
 
 
-def soundings(frames: DataFrame, track: DataFrame, sync: DataFrame, draft_m: float = DRAFT_M, time_range: tuple[float, float] | None = None) -> DataFrame:
+def soundings(frames: DataFrame, track: DataFrame, sync: DataFrame, draft_m: float = DRAFT_M, time_range: tuple[float, float] | None = None, track_rows: int | None = None) -> DataFrame:
     """(survey, t, x, y, depth, gps_source, lon0, lat0): depths at resolved positions on a local plane."""
-    depths = accepted_depths(frames, time_range).select("survey", "offset", "t", "lon", "lat", "depth_m")
+    depths = accepted_depths(frames, time_range, track_rows).select("survey", "offset", "t", "lon", "lat", "depth_m")
     origin = depths.groupBy("survey").agg(F.percentile("lon", 0.5).alias("lon0"), F.percentile("lat", 0.5).alias("lat0"))
-    placed = resolve_positions(depths, frames, track, sync).where("pos_lon is not null").join(origin, "survey")
+    placed = resolve_positions(depths, frames, track, sync, track_rows).where("pos_lon is not null").join(origin, "survey")
     x, y = local_x(F.col("pos_lon"), F.col("lon0"), F.col("lat0")), local_y(F.col("pos_lat"), F.col("lat0"))
     return placed.select("survey", "t", x.alias("x"), y.alias("y"), (F.col("depth_m") + draft_m).alias("depth"), "gps_source", "lon0", "lat0")
 
@@ -77,9 +81,9 @@ def cell_sizes(points: DataFrame, most: int = MOST_CELLS) -> DataFrame:
     return spans.select("survey", "n", grid.least_size(first, lambda s: side("x", s) * side("y", s) <= most).alias("cell_m"))
 
 
-def lake_model(frames: DataFrame, track: DataFrame, sync: DataFrame, draft_m: float = DRAFT_M, radius_m: float = RADIUS_M, most_cells: int = MOST_CELLS, time_range: tuple[float, float] | None = None) -> LakeModel:
-    """The model of all surveys, each on its own cell size. Cell (i, j) of a survey is centred on (i, j) times its cell_m."""
-    points = cut(soundings(frames, track, sync, draft_m, time_range))
+def lake_model(frames: DataFrame, track: DataFrame, sync: DataFrame, draft_m: float = DRAFT_M, radius_m: float = RADIUS_M, most_cells: int = MOST_CELLS, time_range: tuple[float, float] | None = None, track_rows: int | None = None) -> LakeModel:
+    """The model of all surveys, each on its own cell size; with track_rows a survey's track is spread over tasks of so many rows. Cell (i, j) of a survey is centred on (i, j) times its cell_m."""
+    points = cut(soundings(frames, track, sync, draft_m, time_range, track_rows))
     sizes = cut(cell_sizes(points, most_cells))
     found = sizes.agg(F.max("n").alias("n"), F.min("cell_m").alias("least"), F.max("cell_m").alias("most")).first()
     if (found["n"] or 0) < LEAST_DEPTHS:

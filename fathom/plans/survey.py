@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fathom.functions.geo import local_x, local_y
-from fathom.operators import arrays, asof, sample, section, session
-from fathom.plans.align import GAP_S, KEY, resolve_positions, survey_key
+from fathom.operators import arrays, sample, section, session
+from fathom.operators import track as long_track
+from fathom.plans.align import GAP_S, KEY, interpolator, resolve_positions, survey_key
 from fathom.plans.lake import DRAFT_M, accepted_depths
 
 HEADING_S = 2.5
@@ -29,16 +30,16 @@ def within(keys: list[str], column: str, reach: float) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy((F.col(column) * 1000).cast("long")).rangeBetween(-round(reach * 1000), round(reach * 1000))
 
 
-def placed_pings(frames: DataFrame, track: DataFrame, sync: DataFrame, time_range: tuple[float, float] | None = None, stride: int = 1) -> DataFrame:
+def placed_pings(frames: DataFrame, track: DataFrame, sync: DataFrame, time_range: tuple[float, float] | None = None, stride: int = 1, track_rows: int | None = None) -> DataFrame:
     """(survey, ping, t, x, y, hx, hy, height, range_m, samples, lon0, lat0): side-scan pings with a steady heading."""
-    depths = accepted_depths(frames, time_range)
+    depths = accepted_depths(frames, time_range, track_rows)
     origin = depths.groupBy("survey").agg(F.percentile("lon", 0.5).alias("lon0"), F.percentile("lat", 0.5).alias("lat0"))
     side = survey_key(frames).where("channel = 5 and ping_size >= 16 and max_range_ft > 0").withColumn("t", F.col("time_ms") / 1000)
     if time_range is not None:
         side = side.where(F.col("t").between(*time_range))
     chosen = sample.stride_sample(side, KEY, ["time_ms", "offset"], stride).withColumn("ping", F.col("offset"))
     probes = chosen.select("survey", "ping", "t", "lon", "lat").withColumn("dt", F.explode(F.array(*[F.lit(x) for x in (-HEADING_S, 0.0, HEADING_S)]))).withColumn("t", F.col("t") + F.col("dt"))
-    at = resolve_positions(probes, frames, track, sync).where("pos_lon is not null").join(origin, "survey")
+    at = resolve_positions(probes, frames, track, sync, track_rows).where("pos_lon is not null").join(origin, "survey")
     x, y = local_x(F.col("pos_lon"), F.col("lon0"), F.col("lat0")), local_y(F.col("pos_lat"), F.col("lat0"))
     at = at.select("survey", "ping", "dt", x.alias("x"), y.alias("y"), "lon0", "lat0")
     three = at.groupBy("survey", "ping").agg(*[F.max(F.when(F.col("dt") == d, F.col(c))).alias(f"{c}{k}") for c in ("x", "y") for k, d in (("a", -HEADING_S), ("", 0.0), ("b", HEADING_S))], F.first("lon0").alias("lon0"), F.first("lat0").alias("lat0"))
@@ -53,11 +54,11 @@ def placed_pings(frames: DataFrame, track: DataFrame, sync: DataFrame, time_rang
     )
     headed = headed.where(F.coalesce(steady, F.lit(False))).select("survey", "ping", "x", "y", "hx", "hy", "lon0", "lat0")
     pings = chosen.select("survey", "ping", "t", "depth_m", (F.col("max_range_ft") * 0.3048).alias("range_m"), "samples").join(headed, ["survey", "ping"])
-    high = asof.interpolate(pings, depths, KEY, "t", ["depth_m"], ["offset"], GAP_S)
+    high = interpolator(track_rows)(pings, depths, KEY, "t", ["depth_m"], ["offset"], GAP_S)
     return high.withColumn("height", F.coalesce("at_depth_m", "depth_m")).where("height > 0.1").drop("at_depth_m", "depth_m")
 
 
-def steady_track(pings: DataFrame) -> DataFrame:
+def steady_track(pings: DataFrame, track_rows: int | None = None) -> DataFrame:
     """pings near their rolling-median track and in its direction, in runs of three metres or more, with smoothed
     headings and along. A survey of fewer than ten pings isn't compared with its median track."""
     near = within(KEY, "t", 3)
@@ -71,7 +72,11 @@ def steady_track(pings: DataFrame) -> DataFrame:
     kept = medians.where(F.col("_few") | (dx * dx + dy * dy <= RUN_STEP_M * RUN_STEP_M) & straight).drop("_mx", "_my", "_tx", "_ty", "_few")
     step = F.sqrt(F.pow(F.col("x") - F.col("prev.x"), 2) + F.pow(F.col("y") - F.col("prev.y"), 2))
     narrow = kept.select("survey", "ping", "t", "x", "y", "hx", "hy")
-    cut = session.sessionise(narrow, KEY, ["t", "ping"], (step >= RUN_STEP_M) | (F.col("t") - F.col("prev.t") >= RUN_STEP_S), "run")
+    apart = (step >= RUN_STEP_M) | (F.col("t") - F.col("prev.t") >= RUN_STEP_S)
+    if track_rows:
+        cut = long_track.sessionise(narrow, KEY, "t", ["ping"], apart, "run", track_rows)
+    else:
+        cut = session.sessionise(narrow, KEY, ["t", "ping"], apart, "run")
     w = Window.partitionBy(*KEY, "run").orderBy("t", "ping")
     stepped = cut.withColumn("_d", F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)))
     long = session.long_runs(stepped, KEY, "run", "_d", LEAST_RUN_M).drop("_d")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fathom.operators import lines, section
 from fathom.plans import align, canal
+from fathom.plans import survey as read
 from fathom.sources import synthetic
 
 LON, LAT = 10.0, 50.0
@@ -167,3 +168,14 @@ def test_gaps_in_the_track_are_blended(spark):
     assert cells[2, 0] == pytest.approx(2 + 0.8 / 1.5, abs=0.1)
     assert not any(6 <= i <= 13 for i, _ in cells)  # 4.5 m are too far
     assert (16, 0) not in cells  # a metre, but seven seconds
+
+
+def test_a_track_spread_over_tasks_gives_the_same_pings(spark, tmp_path):
+    (tmp_path / "c.sl3").write_bytes(canal_file(seconds=15))
+    fixes = [{"t": 2300 * 604_800 + 500 + n / 5, "lon": LON + n / 5 / KX, "lat": LAT} for n in range(-50, 160)]
+    (tmp_path / "c.bin").write_bytes(synthetic.log_file(fixes))
+    frames = align.survey_key(spark.read.format("sl3").option("samples", "true").load(str(tmp_path))).cache()
+    track = align.combine_fixes(spark.read.format("bin_log").load(str(tmp_path))).cache()
+    sync = align.find_alignment(frames, track).cache()
+    one, many = (read.steady_track(read.placed_pings(frames, track, sync, track_rows=n), n).select("ping", "x", "y", "hx", "hy", "height", "along", "run").orderBy("ping").collect() for n in (None, 20))
+    assert len(one) > 20 and one == many

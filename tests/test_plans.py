@@ -113,6 +113,8 @@ def test_lake_of_a_tilted_plane(spark, survey):
     sync = align.find_alignment(frames, fixes)
     model = lake.lake_model(frames, fixes, sync, radius_m=2.0)
     cells = model.cells.collect()
+    spread = lake.lake_model(frames, fixes, sync, radius_m=2.0, track_rows=100).cells
+    assert {(c.i, c.j, c.source, c.n, round(c.depth, 9)) for c in cells} == {(c.i, c.j, c.source, c.n, round(c.depth, 9)) for c in spread.collect()}
     measured = [c for c in cells if c.source == lake.MEASURED]
     filled = [c for c in cells if c.source == lake.INTERPOLATED]
     assert model.cell_m == 1.0 and measured and filled
