@@ -24,7 +24,9 @@ CELL, CHUNK = "_cell", "_chunk"
 
 
 def chunked(df: DataFrame, keys: list[str], time: str, rows: int = CHUNK_ROWS) -> DataFrame:
-    """df with _chunk, a number that grows with time within a key; null for a null time."""
+    """df with _chunk, a number that grows with time within a key; null for a null time. df is written to the checkpoint folder
+    first: it is read several times, and must not be made anew by each of several brackets on top of each other."""
+    df = cut(df)
     t = F.col(time).cast("double")
     span = df.agg(F.min(t).alias("low"), F.max(t).alias("high"), F.count(t).alias("n")).first()
     if not span["n"]:
@@ -46,7 +48,7 @@ def bracket(probes: DataFrame, fixes: DataFrame, keys: list[str], time: str, val
     orders = F.struct(*order)
     left = probes.select(*keys, F.col(time).cast("double").alias("_t"), F.lit(None).cast(kind).alias("_fix"), F.lit(None).cast(fixes.select(orders.alias("o")).schema["o"].dataType).alias("_order"), F.struct(*probes.columns).alias("_probe"))
     right = fixes.where(F.col(time).isNotNull()).select(*keys, F.col(time).cast("double").alias("_t"), fix.alias("_fix"), orders.alias("_order"), F.lit(None).cast(left.schema["_probe"].dataType).alias("_probe"))
-    both = cut(chunked(left.unionByName(right), keys, "_t", rows))
+    both = chunked(left.unionByName(right), keys, "_t", rows)
     is_fix = F.col("_fix").isNotNull()
     place = F.struct("_t", "_order")
     ends = both.where(is_fix).groupBy(*keys, CHUNK).agg(F.min_by("_fix", place).alias("_first"), F.max_by("_fix", place).alias("_last"))
@@ -78,7 +80,7 @@ def interpolate(probes: DataFrame, fixes: DataFrame, keys: list[str], time: str,
 
 def numbered(df: DataFrame, keys: list[str], time: str, order: list[str], name: str = "n", rows: int = CHUNK_ROWS) -> DataFrame:
     """df with each row's number in its key from 0, by time (nulls first) and order."""
-    placed = cut(chunked(df, keys, time, rows).withColumn(CHUNK, F.coalesce(CHUNK, F.lit(-1))))
+    placed = chunked(df, keys, time, rows).withColumn(CHUNK, F.coalesce(CHUNK, F.lit(-1)))
     w = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_skip", F.coalesce(F.sum("_rows").over(w), F.lit(0))).drop("_rows")
     inside = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(time, *order)) - 1
@@ -87,7 +89,7 @@ def numbered(df: DataFrame, keys: list[str], time: str, order: list[str], name:
 
 def running_sum(df: DataFrame, keys: list[str], time: str, order: list[str], value: Column, name: str = "total", rows: int = CHUNK_ROWS) -> DataFrame:
     """df with the sum of a value over each row of its key and those before it, by time (nulls first) and order."""
-    placed = cut(chunked(df, keys, time, rows).withColumn(CHUNK, F.coalesce(CHUNK, F.lit(-1))).withColumn("_value", value))
+    placed = chunked(df, keys, time, rows).withColumn(CHUNK, F.coalesce(CHUNK, F.lit(-1))).withColumn("_value", value)
     w = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*keys, CHUNK).agg(F.sum("_value").alias("_sum")).withColumn("_skip", F.coalesce(F.sum("_sum").over(w), F.lit(0))).drop("_sum")
     inside = F.sum("_value").over(Window.partitionBy(*keys, CHUNK).orderBy(time, *order).rowsBetween(Window.unboundedPreceding, 0))
