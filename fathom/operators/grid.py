@@ -194,3 +194,16 @@ def stretch(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98, ev
     ends = robust.part_quantiles(base, [], value, {"_lo": low, "_hi": high})  # one row
     scaled = (F.col(value) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))
     return df.join(F.broadcast(ends)).withColumn("level", F.least(F.greatest(half_up(scaled * 255), F.lit(0)), F.lit(255)).cast("int")).drop("_lo", "_hi")
+
+
+def relief_range(cells: DataFrame, keys: list[str], value: str, base: str, least: float = 0.1, every: int = 3, share: float = 0.98) -> DataFrame:
+    """(keys, range): how far the values of a key's cells stand off their base at most, but for the farthest 2 %.
+
+    Every third cell counts, by rows of the key's whole rectangle from its lowest corner; a cell with a negative or
+    missing value or base doesn't. A key has at least 0.1, also if none of its cells counts.
+    """
+    box = cells.groupBy(*keys).agg(F.min("i").alias("_i0"), F.max("i").alias("_i1"), F.min("j").alias("_j0"))
+    place = (F.col("j") - F.col("_j0")) * (F.col("_i1") - F.col("_i0") + 1) + F.col("i") - F.col("_i0")
+    asked = cells.join(box, keys).where((place % every == 0) & (F.col(value) >= 0) & (F.col(base) >= 0))
+    found = robust.order_statistics(asked, keys, F.abs(F.col(base) - F.col(value)), {"range": robust.share_of(share)})
+    return box.select(*keys).join(found, keys, "left").withColumn("range", F.greatest(F.lit(least), F.col("range")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,5 +61,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "ran
     return ordinal(df, keys, order, name)
 
 
-def stride_for(n: int, most: int) -> int:
-    return max(1, math.ceil(n / most))
+def within_budget(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """Every so-many-th row of each key, from the first, by the least step that leaves the key `most` rows or fewer."""
+    w = Window.partitionBy(*keys)
+    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    return ranked.where(F.col("_i") % F.ceil(F.col("_n") / most) == 0).drop("_i", "_n")

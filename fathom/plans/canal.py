@@ -136,9 +136,9 @@ def objects_of(found: DataFrame, least_pings: int = 3, least_span: float = 0.25)
     return kept.select("survey", number.alias("id"), F.when(F.col("kind") == "object", "raised").otherwise("depression").alias("kind"), "x", "y", "height", "width", "length", "span", "heading", "time", "pings", "shadow_m", "contrast", "bed_depth", (F.col("bed_depth") - F.col("height")).alias("top_depth"), side.alias("side"), "offset_m", "along_m")
 
 
-def canal_model(frames: DataFrame, track: DataFrame, sync: DataFrame, draft_m: float = DRAFT_M, sensitivity: float = 0.5, shading: float = 0.8, cell: float = CELL_M, fill_passes: int = 3, time_range: tuple[float, float] | None = None, stride: int = 1, track_rows: int | None = None) -> CanalModel:
+def canal_model(frames: DataFrame, track: DataFrame, sync: DataFrame, draft_m: float = DRAFT_M, sensitivity: float = 0.5, shading: float = 0.8, cell: float = CELL_M, fill_passes: int = 3, time_range: tuple[float, float] | None = None, stride: int = 1, track_rows: int | None = None, most_pings: int | None = None) -> CanalModel:
     """The model of all surveys; frames need their samples. With track_rows a survey's track is spread over tasks of so many rows."""
-    pings = cut(read.baselines(read.steady_track(read.placed_pings(frames, track, sync, time_range, stride, track_rows), track_rows), draft_m))
+    pings = cut(read.baselines(read.steady_track(read.placed_pings(frames, track, sync, time_range, stride, track_rows, most_pings), track_rows), draft_m))
     sides = cut(sides_of(pings, draft_m, sensitivity, shading))
     cells = cut(lay_sections(pings, sides, cell))
     filled = cells.select("survey", "i", "j", F.col("depth").alias("value"))

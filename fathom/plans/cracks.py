@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import geo, text
-from fathom.operators import graph, groups, robust
+from fathom.operators import asof, graph, groups, robust
 from fathom.operators import lines as line_filter
 from fathom.operators.arrays import staged
 from fathom.operators.section import REFERENCE_STEP
@@ -309,15 +309,20 @@ def screen(pings: DataFrame, sides: DataFrame, reference: DataFrame, spans: Data
     )
 
 
-def placed(candidates: DataFrame, pings: DataFrame, reach_m: float = 1.0) -> DataFrame:
-    """candidates with lonlat, their two ends on the map: each end hangs on the ping nearest along the track."""
-    ends = candidates.withColumn("e", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("o"), F.col(f"y{k}").alias("at")) for k in (1, 2)]))).select("survey", "id", "e.k", "e.o", "e.at")
-    spread = ends.withColumn("b", F.explode(F.array(*[F.floor(F.col("at") / reach_m) + d for d in (-1, 0, 1)])))
-    rows = pings.select("survey", F.floor(F.col("along") / reach_m).alias("b"), "along", "x", "y", "hx", "hy", "lon0", "lat0")
-    near = spread.join(rows, ["survey", "b"]).groupBy("survey", "id", "k", "o", "at").agg(F.min_by(F.struct("x", "y", "hx", "hy", "lon0", "lat0"), F.struct(F.abs(F.col("along") - F.col("at")), "along")).alias("p"))
-    x, y = F.col("p.x") - F.col("o") * F.col("p.hy"), F.col("p.y") + F.col("o") * F.col("p.hx")
-    spot = F.array(geo.lon_of(x, F.col("p.lon0"), F.col("p.lat0")), geo.lat_of(y, F.col("p.lat0")))
-    both = near.groupBy("survey", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", spot.alias("s")))), lambda v: v["s"]).alias("lonlat"))
+def shown(found: DataFrame, low: bool = False, chosen: list[int] | None = None) -> DataFrame:
+    """The candidates on view: those of low confidence only if asked for, or if their id is among the chosen."""
+    sure = F.coalesce(F.col("confidence") != "low", F.lit(True))
+    return found if low else found.where(sure | F.col("id").isin(chosen or []))
+
+
+def placed(candidates: DataFrame, pings: DataFrame) -> DataFrame:
+    """candidates with lonlat, their two ends on the map: each end hangs on the ping nearest along the track, the earlier one
+    of two as near, however wide the gap; null in a survey without pings."""
+    ends = candidates.withColumn("e", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("o"), F.col(f"y{k}").alias("along")) for k in (1, 2)]))).select("survey", "id", "e.k", "e.o", "e.along")
+    near = asof.nearest_in_time(ends, pings, ["survey"], "along", ["x", "y", "hx", "hy", "lon0", "lat0"], ["ping"])
+    x, y = F.col("near.x") - F.col("o") * F.col("near.hy"), F.col("near.y") + F.col("o") * F.col("near.hx")
+    spot = F.array(geo.lon_of(x, F.col("near.lon0"), F.col("near.lat0")), geo.lat_of(y, F.col("near.lat0")))
+    both = near.where("near is not null").groupBy("survey", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", spot.alias("s")))), lambda v: v["s"]).alias("lonlat"))
     return candidates.join(both, ["survey", "id"], "left")
 
 

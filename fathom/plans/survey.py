@@ -30,14 +30,19 @@ def within(keys: list[str], column: str, reach: float) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy((F.col(column) * 1000).cast("long")).rangeBetween(-round(reach * 1000), round(reach * 1000))
 
 
-def placed_pings(frames: DataFrame, track: DataFrame, sync: DataFrame, time_range: tuple[float, float] | None = None, stride: int = 1, track_rows: int | None = None) -> DataFrame:
-    """(survey, ping, t, x, y, hx, hy, height, range_m, samples, lon0, lat0): side-scan pings with a steady heading."""
+def placed_pings(frames: DataFrame, track: DataFrame, sync: DataFrame, time_range: tuple[float, float] | None = None, stride: int = 1, track_rows: int | None = None, most_pings: int | None = None) -> DataFrame:
+    """(survey, ping, t, x, y, hx, hy, height, range_m, samples, lon0, lat0): side-scan pings with a steady heading.
+
+    Every stride-th ping is read; with most_pings (an interactive survey takes 8,000) each survey has the step that keeps to it.
+    """
     depths = accepted_depths(frames, time_range, track_rows)
     origin = depths.groupBy("survey").agg(F.percentile("lon", 0.5).alias("lon0"), F.percentile("lat", 0.5).alias("lat0"))
     side = survey_key(frames).where("channel = 5 and ping_size >= 16 and max_range_ft > 0").withColumn("t", F.col("time_ms") / 1000)
     if time_range is not None:
         side = side.where(F.col("t").between(*time_range))
-    chosen = sample.stride_sample(side, KEY, ["time_ms", "offset"], stride).withColumn("ping", F.col("offset"))
+    order = ["time_ms", "offset"]
+    chosen = sample.within_budget(side, KEY, order, most_pings) if most_pings else sample.stride_sample(side, KEY, order, stride)
+    chosen = chosen.withColumn("ping", F.col("offset"))
     probes = chosen.select("survey", "ping", "t", "lon", "lat").withColumn("dt", F.explode(F.array(*[F.lit(x) for x in (-HEADING_S, 0.0, HEADING_S)]))).withColumn("t", F.col("t") + F.col("dt"))
     at = resolve_positions(probes, frames, track, sync, track_rows).where("pos_lon is not null").join(origin, "survey")
     x, y = local_x(F.col("pos_lon"), F.col("lon0"), F.col("lat0")), local_y(F.col("pos_lat"), F.col("lat0"))

@@ -750,4 +750,4 @@ def route_stretch(spark, sf_dir):
     return got.select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), r6("length").alias("length"))
 
 
-from fathom import queries_more  # noqa: E402, F401  the further queries register themselves here
+from fathom import queries_more, queries_plans  # noqa: E402, F401  the further queries register themselves here
