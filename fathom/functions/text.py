@@ -97,11 +97,11 @@ def file_role(name: Column) -> Column:
 
 
 def picture_name(name: Column, channel: Column, s: Column, lon: Column, lat: Column) -> Column:
-    """The file of a recording's picture: stem, channel, time and, unless it is null, the place."""
+    """The file of a recording's picture: stem, channel, time and place, without those that are null; null for a null name."""
     label = F.when(channel == 5, "sidescan").when(channel == 2, "downscan")
     part = lambda x, low, high: F.when(x.isNotNull(), F.concat(F.format_string("%.5f", F.abs(x)), F.when(x < 0, low).otherwise(high)))
     time = F.replace(long_duration_text(s), F.lit(" "), F.lit(""))
-    return F.concat(F.concat_ws("_", file_stem(name), label, time, part(lat, "S", "N"), part(lon, "W", "E")), F.lit(".png"))
+    return F.when(name.isNotNull(), F.concat(F.concat_ws("_", file_stem(name), label, time, part(lat, "S", "N"), part(lon, "W", "E")), F.lit(".png")))
 
 
 def route_name(name: Column, kind: str) -> Column:
