@@ -157,17 +157,17 @@ def ping_budget(spark, sf_dir):
 
 
 @query(
-    """with s as (select l_suppkey as supplier, l_linenumber % 2 as side, l_discount > 0.05 as open, l_quantity as waterline, l_quantity * 0.6::double as toe, l_extendedprice / 10000 as height, l_tax > 0.03 as assumed from lineitem)
-select supplier, side, round(median(waterline), 6) as waterline, round(median(toe), 6) as toe, round(median(height / nullif(waterline - toe, 0)) filter (not open), 6) as slope, avg(assumed::int) filter (not open) >= 0.5 as assumed
+    """with s as (select l_suppkey as supplier, l_linenumber % 2 as side, l_discount > 0.05 as open, l_quantity as waterline, l_quantity * 0.6::double as toe, l_extendedprice / 9973 as height, l_tax > 0.03 as assumed from lineitem)
+select supplier, side, round(median(waterline), 6) as waterline, round(median(toe), 6) as toe, round(median(height / nullif(waterline - toe, 0)) filter (not open), 9) as slope, avg(assumed::int) filter (not open) >= 0.5 as assumed
 from s group by all having avg((not open)::int) >= 0.5"""
 )
 def bank_summary(spark, sf_dir):
     """Medians of every supplier's two sides, where at least half of a side is closed."""
     q = F.col("l_quantity").cast("double")
     sides = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("survey"), (F.col("l_linenumber") % 2).alias("side"), (F.col("l_discount") > 0.05).alias("open"), q.alias("waterline"), (q * 0.6).alias("toe"), (F.col("l_extendedprice") / 10000).alias("height"), (F.col("l_tax") > 0.03).alias("assumed")
+        F.col("l_suppkey").alias("survey"), (F.col("l_linenumber") % 2).alias("side"), (F.col("l_discount") > 0.05).alias("open"), q.alias("waterline"), (q * 0.6).alias("toe"), (F.col("l_extendedprice") / 9973).alias("height"), (F.col("l_tax") > 0.03).alias("assumed")
     )
-    return canal.bank_summary(sides).select(F.col("survey").alias("supplier"), "side", r6("waterline").alias("waterline"), r6("toe").alias("toe"), r6("slope").alias("slope"), "assumed")
+    return canal.bank_summary(sides).select(F.col("survey").alias("supplier"), "side", r6("waterline").alias("waterline"), r6("toe").alias("toe"), F.round("slope", 9).alias("slope"), "assumed")
 
 
 @query(
