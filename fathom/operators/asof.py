@@ -75,8 +75,8 @@ def nearest_in_time(probes: DataFrame, fixes: DataFrame, keys: list[str], time:
     right = fixes.select(*keys, F.col(time).cast("double").alias("_t"), F.lit(0).alias("_kind"), fix.alias("_fix"), F.lit(None).cast(probes.select(F.struct(*probes.columns).alias("p")).schema["p"].dataType).alias("_probe"))
     both = left.unionByName(right)
     # Of fixes with equal times the first by order must come last in either direction.
-    before = Window.partitionBy(*keys).orderBy("_t", F.desc("_kind"), F.desc("_fix")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_fix")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy("_t", "_kind", F.desc("_fix")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_t"), "_kind", F.desc("_fix")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("_a", F.last("_fix", ignorenulls=True).over(before)).withColumn("_b", F.last("_fix", ignorenulls=True).over(after))
     da, db = F.col("_t") - F.col("_a.t"), F.col("_b.t") - F.col("_t")
     near = F.when(F.col("_a").isNull() | (db < da), F.col("_b")).otherwise(F.col("_a"))

@@ -213,7 +213,7 @@ def relief_range(spark, sf_dir):
 
 @query(
     _N
-    + """, p as (select user_id, event_id, n * 1.7::double as along, n * 1.3::double as x, value / 50 as y, cos(n) as hx, sin(n) as hy from e where event_type not in ('purchase', 'error')), c as (select user_id, event_id, value / 60 as x1, n * 1.7::double + 0.3 as y1, -value / 90 as x2, n * 1.9137::double - 4 as y2 from e where event_type = 'purchase')
+    + """, p as (select user_id, event_id, n * 1.7::double as along, n * 1.3::double as x, value / 50 as y, cos(n) as hx, sin(n) as hy from e where event_type not in ('purchase', 'error')), c as (select user_id, event_id, value / 60 as x1, n * 1.7::double + 0.3 as y1, -value / 90 as x2, n * 1.9::double - 4 as y2 from e where event_type = 'purchase')
 , u as (select user_id, event_id, 1 as k, x1 as o, y1 as way from c union all select user_id, event_id, 2, x2, y2 from c)
 , b as (select u.user_id, u.event_id, k, o, arg_min({'x': p.x, 'y': p.y, 'hx': p.hx, 'hy': p.hy}, (abs(p.along - way), p.along)) as p from u left join p on p.user_id = u.user_id group by u.user_id, u.event_id, k, o)
 , s as (select user_id, event_id, k, 10 + (p.x - o * p.hy) / (111320 * cos(radians(50.0))) as lon, 50 + (p.y + o * p.hx) / 111320 as lat from b)
@@ -224,7 +224,7 @@ def placed_candidates(spark, sf_dir):
     e = _numbered(spark, sf_dir).withColumn("survey", F.col("user_id"))
     n = F.col("n")
     pings = e.where("event_type not in ('purchase', 'error')").select("survey", F.col("event_id").alias("ping"), (n * 1.7).alias("along"), (n * 1.3).alias("x"), (F.col("value") / 50).alias("y"), F.cos(n).alias("hx"), F.sin(n).alias("hy"), F.lit(10.0).alias("lon0"), F.lit(50.0).alias("lat0"))
-    found = e.where("event_type = 'purchase'").select("survey", F.col("event_id").alias("id"), (F.col("value") / 60).alias("x1"), (n * 1.7 + 0.3).alias("y1"), (-F.col("value") / 90).alias("x2"), (n * 1.9137 - 4).alias("y2"))
+    found = e.where("event_type = 'purchase'").select("survey", F.col("event_id").alias("id"), (F.col("value") / 60).alias("x1"), (n * 1.7 + 0.3).alias("y1"), (-F.col("value") / 90).alias("x2"), (n * 1.9 - 4).alias("y2"))
     ends = F.col("lonlat")
     return cracks.placed(found, pings).select(F.col("survey").alias("user_id"), F.col("id").alias("event_id"), *[F.round(ends[k][p], 9).alias(f"{c}{k + 1}") for k in (0, 1) for p, c in enumerate(("lon", "lat"))])
 
