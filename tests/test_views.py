@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from fathom.functions import text
-from fathom.operators import grid, sample
+from fathom.operators import asof, grid, sample
 from fathom.plans import cracks
 
 
@@ -58,3 +58,10 @@ def test_names(spark):
     got = [r[0] for r in df.select(text.picture_name(F.col("name"), F.col("channel"), F.col("s"), F.col("lon"), F.col("lat"))).collect()]
     assert got == ["Lake_a_b_sidescan_1h02m05s_52.25000N_1.50000W.png", "x_downscan_0h00m00s.png", "pic_0h01m00s_0.00001S_0.00000E.png", None]
     assert df.select(text.route_name(F.col("name"), "gpx")).first()[0] == "Lake_a_b_route.gpx"
+
+
+def test_a_fix_at_the_probes_own_time_is_nearest(spark):
+    probes = spark.createDataFrame([("k", 5.0), ("k", 6.5)], "k string, t double")
+    fixes = spark.createDataFrame([("k", 4.0, 1), ("k", 5.0, 3), ("k", 5.0, 2), ("k", 8.0, 4)], "k string, t double, id int")
+    got = {r.t: r.near.id for r in asof.nearest_in_time(probes, fixes, ["k"], "t", ["id"], ["id"]).collect()}
+    assert got == {5.0: 2, 6.5: 2}
