@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.geo import half_up
 from fathom.operators import robust
-from fathom.operators.asof import counted, repeats
+from fathom.operators.nearest import counted, repeats
 from fathom.session import cut
 
 
