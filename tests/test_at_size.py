@@ -66,3 +66,11 @@ def test_nearest_makes_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(nearest, "_possible", lambda found, itself: met.append(found.count()) or kept(found, itself))
     assert asof.nearest_anywhere(probes, rows, ("x", "y"), ("x", "y"), "id", 0.1, "id").where("near is null").count() == 0
     assert 1 < len(met) < 8 and max(met) < 2000 * 150
+
+
+def test_first_days_make_no_pairs(spark, tmp_path, monkeypatch):
+    """Many users and events of the same days: counted by ranks."""
+    rows = spark.range(3000).select(F.col("id").alias("event_id"), (F.col("id") % 700).alias("user_id"), F.timestamp_seconds(1_700_000_000 + F.pmod(F.hash("id"), F.lit(150_000))).cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(queries.graph, "overlap_join", lambda *a, **b: pytest.fail("pairs"))
+    assert same_as_sql(spark, tmp_path, "interval_overlap")
