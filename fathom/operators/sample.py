@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.functions.geo import finite
+from fathom.operators.skew import maybe_broadcast
+from fathom.session import cut
+
 
 def first_of_each(df: DataFrame, keys: list[str | Column], order: list[str]) -> DataFrame:
     """The first row by order for each key."""
@@ -36,25 +38,26 @@ def stride_sample(df: DataFrame, keys: list[str], order: list[str], step: int) -
     return ranked.where(F.col("_i") % step == 0).drop("_i")
 
 
-def farthest_points(df: DataFrame, keys: list[str], x: str, y: str, time: str, k: int = 8, apart: float = 30.0, most: int = 2400) -> DataFrame:
-    """Up to k rows of each key: the first by time, then each time the row farthest from all chosen
-    ones, none within `apart` of a chosen one in time. A key of more than `most` rows is thinned to that many
-    before, evenly in time, as the choice is one of places worth a look, so a group is bounded."""
-    thin = even_sample(df, keys, [time], most)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable").reset_index(drop=True)
-        px, py, t = (pdf[c].to_numpy(dtype=float) for c in (x, y, time))
-        taken, far = [0], np.hypot(px - px[0], py - py[0])
-        free = np.abs(t - t[0]) >= apart
-        while len(taken) < k and free.any():
-            i = int(np.argmax(np.where(free, far, -1)))
-            taken.append(i)
-            far = np.minimum(far, np.hypot(px - px[i], py - py[i]))
-            free &= np.abs(t - t[i]) >= apart
-        return pdf.iloc[sorted(taken)]
-
-    return thin.groupBy(*keys).applyInPandas(choose, df.schema)
+def farthest_points(df: DataFrame, keys: list[str], x: str, y: str, time: str, k: int = 8, apart: float = 30.0) -> DataFrame:
+    """Up to k rows of each key: the first by time, then each time the row farthest from all chosen ones, the first by time among
+    equals, none within `apart` of a chosen one in time. Each choice reads all rows of all keys beside the few chosen ones of
+    their key, so a key may have any number of rows. Rows without a time or a finite place are not chosen."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    own = F.struct(F.col(time).alias("t"), finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y"))
+    held = cut(df.select(F.struct(*keys).alias("_key"), row.alias("_row"), own.alias("_p")).where("_p.t is not null and _p.x is not null and _p.y is not null"))
+    pick = F.struct("_p", "_row")
+    chosen = cut(held.groupBy("_key").agg(F.array(F.min_by(pick, "_p")).alias("_chosen")))
+    n = chosen.count()
+    for _ in range(k - 1):
+        met = held.join(maybe_broadcast(chosen, n, k * 128), "_key")
+        free = F.forall("_chosen", lambda c: F.abs(F.col("_p.t") - c["_p"]["t"]) >= apart)
+        dx, dy = (lambda c, d=d: F.col(f"_p.{d}") - c["_p"][d] for d in "xy")
+        far = F.array_min(F.transform("_chosen", lambda c: F.sqrt(dx(c) * dx(c) + dy(c) * dy(c))))
+        best = cut(met.where(free).groupBy("_key").agg(F.min_by(pick, F.struct((-far).alias("far"), "_p")).alias("_best")))
+        if best.isEmpty():
+            break
+        chosen = cut(chosen.join(best, "_key", "left").select("_key", F.when(F.col("_best").isNull(), F.col("_chosen")).otherwise(F.concat("_chosen", F.array("_best"))).alias("_chosen")))
+    return chosen.select(F.explode("_chosen").alias("_c")).select("_c._row.*")
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:

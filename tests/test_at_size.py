@@ -74,3 +74,10 @@ def test_first_days_make_no_pairs(spark, tmp_path, monkeypatch):
     rows.write.parquet(str(tmp_path / "events.parquet"))
     monkeypatch.setattr(queries.graph, "overlap_join", lambda *a, **b: pytest.fail("pairs"))
     assert same_as_sql(spark, tmp_path, "interval_overlap")
+
+
+def test_farthest_points_of_many_rows_are_those_of_the_sql(spark, tmp_path):
+    """More rows of a label than were once kept, copies of places among them."""
+    rows = spark.range(6000).select(F.col("id").alias("vec_id"), F.array((F.pmod(F.hash("id"), F.lit(997)) / 7).cast("float"), (F.pmod(F.xxhash64("id"), F.lit(991)) / 7).cast("float")).alias("embedding"), F.when(F.col("id") < 5900, 0).otherwise(F.col("id") % 2 + 1).cast("int").alias("label"))
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert same_as_sql(spark, tmp_path, "farthest_points")
